@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup
+from . import exact_dedup, mixing, near_dedup, packing, tokens, wavelet
 from .common import prepare, table
 
 
@@ -20,6 +20,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(prepare(spark), sf_dir, "documents"), form="none", keep="largest")
 
 
+def op9_wavelet_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = wavelet.write(table(prepare(spark), sf_dir, "documents"), tokens.public("word_bpe_49k.json"), True, 2)
+    return wavelet.read(spark, path)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(prepare(spark), sf_dir, "documents"), tokens.public("byte_bpe_50k.json"), False, 0)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
