@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, tokens, wavelet
+from . import exact_dedup, mixing, near_dedup, packing, tokens, topk, wavelet
 from .common import prepare, table
 
 
@@ -16,6 +16,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes_of(table(prepare(spark), sf_dir, "documents"))
 
 
+def op5_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(prepare(spark), sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(prepare(spark), sf_dir, "documents"), form="none", keep="largest")
 
@@ -93,10 +98,16 @@ WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(
 SELECT m.doc_id, m.n::BIGINT AS n_shingles, coalesce(top.root, m.doc_id) AS component_id, m.doc_id = coalesce(top.root, m.doc_id) AS kept
 FROM m LEFT JOIN c ON c.node = m.node AND m.n > 0 LEFT JOIN top ON top.id = c.id"""
 
+_OP5 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+, s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s) WHERE rank <= 5"""
+
 _OP6 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW g AS (PARTITION BY t)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _mixing_sql(), "op4_minhash_near_dedup": _OP4, "op6_exact_dedup": _OP6}
+    return {"op3_mixing": _mixing_sql(), "op4_minhash_near_dedup": _OP4, "op5_norm_sorted_topk": _OP5, "op6_exact_dedup": _OP6}
