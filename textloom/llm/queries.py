@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, tokens, topk, wavelet
-from .common import prepare, table
+from . import exact_dedup, lm, mixing, near_dedup, packing, quality, rollups, tokens, topk, toxicity, wavelet
+from .common import prepare, scratch_path, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(prepare(spark), sf_dir, "documents"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +34,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(prepare(spark), sf_dir, "documents"), form="none", keep="largest")
 
 
+def op7_masked_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
+def op8_token_count_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = rollups.Store(spark, scratch_path(spark, "rollups"))
+    versions = {"words/1": None, "byte_bpe_50k/1": (tokens.public("byte_bpe_50k.json"), False)}
+    changes = rollups.token_counts(table(prepare(spark), sf_dir, "documents"), versions)
+    store.commit("documents", changes)
+    store.commit("documents", changes)  # repeated commits change nothing
+    return store.totals()
+
+
 def op9_wavelet_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = wavelet.write(table(prepare(spark), sf_dir, "documents"), tokens.public("word_bpe_49k.json"), True, 2)
     return wavelet.read(spark, path)
@@ -34,8 +57,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(prepare(spark), sf_dir, "documents"), tokens.public("byte_bpe_50k.json"), False, 0)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {"pipeline": pipeline} | {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def _mixing_sql() -> str:
