@@ -1,32 +1,40 @@
 """Encoding by public tokenizers in Python workers, with a memory of pieces that were encoded before.
 
-A text is cut where no token of the tokenizer can cross: around ASCII white space.  Each piece is encoded by the tokenizers library alone, so the ids are
-those of the whole text; texts with other white space, for which that isn't so in byte-level vocabularies, are encoded as a whole.
+A tokenizer first cuts a text into pieces that no token crosses, then encodes each piece by itself.  Texts in common Latin characters are cut here by the
+same rule, all others around ASCII white space only, or not at all where that could change ids.  New pieces go to the tokenizers library, many words in
+one text, and what it returns is remembered by piece; so the ids are those of the whole text.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces that a worker remembers, and the characters of the longest that it remembers.
-REMEMBERED, LONGEST = 300_000, 48
+#: Pieces that a worker remembers, the characters of the longest that it remembers, and words that are encoded in one text.
+REMEMBERED, LONGEST, JOINED = 1_200_000, 48, 500
+#: Texts that are encoded together.
+AT_ONCE = 64
+_SPACE = r" \t\n\r\x0b\x0c"
+#: Letters whose lower case is one letter and that are the same in composed form, and marks that are neither letters, numbers nor space.
+_LETTERS = r"A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž"
+_MARKS = r"!-/:-@\[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-―‘-•…"
+_UNCOMMON = re.compile(f"[^{_LETTERS}{_MARKS}0-9{_SPACE}]").search
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: White space beyond ASCII, and separators that libraries treat differently.
-_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-_SPACE = " \t\n\r\x0b\x0c"
-_BYTE_PIECES = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
-_WORD_PIECES = re.compile(f"[^{_SPACE}]+").findall
+_OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]").search
+_WORD = re.compile(f"[{_LETTERS}]+").fullmatch
+_SPACED = re.compile(f" [{_LETTERS}]+").fullmatch
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers in bytes.
 
-    word_ends: the vocabulary marks ends of words and drops white space; otherwise a piece carries the space before it.
+    word_ends: the vocabulary is of lower-case words with marked ends and drops white space; otherwise a piece carries the space before it.
     """
 
     def __init__(self, path: str, word_ends: bool):
@@ -34,26 +42,75 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces: Callable[[str], list[str]] = _WORD_PIECES if word_ends else _BYTE_PIECES
-        self.whole = None if word_ends else _OTHER_SPACE.search
-        self.known: dict[str, bytes] = {}
+        self.word_ends, self.known = word_ends, {}
+        marks = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            marks[i] = token.endswith("</w>") if word_ends else token.startswith("Ġ")
+        self.marks = marks
+        if word_ends:
+            self.cut = re.compile(f"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[^{_SPACE}{_LETTERS}0-9]+").findall
+            self.around_space = re.compile(f"[^{_SPACE}]+").findall
+        else:
+            self.cut = re.compile(f"{_ENDINGS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_SPACE}{_LETTERS}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
+            self.around_space = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
+
+    def pieces(self, text: str) -> list[str]:
+        if not _UNCOMMON(text):
+            return self.cut(text.lower() if self.word_ends else text)
+        return [text] if not self.word_ends and _OTHER_SPACE(text) else self.around_space(text)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces: plain words are joined to texts, and their ids told apart by the tokens that mark a word's end or beginning."""
+        plain = _WORD if self.word_ends else _SPACED
+        words = [p for p in pieces if plain(p)]
+        found = {}
+        for lo in range(0, len(words), JOINED):
+            part = words[lo : lo + JOINED]
+            raw = self._encoded([(" " if self.word_ends else "").join(part)])[0]
+            marked = np.flatnonzero(self.marks[np.frombuffer(raw, "<u4")])
+            if len(marked) != len(part):  # not told apart
+                found.update(zip(part, self._encoded(part), strict=True))
+                continue
+            at = (4 * (marked + 1)).tolist() if self.word_ends else [*(4 * marked[1:]).tolist(), len(raw)]
+            found.update((w, raw[a:b]) for w, a, b in zip(part, [0, *at], at, strict=False))
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self._encoded(rest), strict=True))
+        return found
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        cut = [[t] if self.whole and self.whole(t) else self.pieces(t) for t in (x or "" for x in texts)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in set().union(*cut).difference(self.known)]
+        """A few texts at a time, whose pieces then are still in the processor's cache."""
+        texts, out = list(texts), []
+        for lo in range(0, len(texts), AT_ONCE):
+            out += self._few(texts[lo : lo + AT_ONCE])
+        return out
+
+    def _few(self, texts: list[str | None]) -> list[bytes]:
+        known, get = self.known, self.known.get
+        if len(known) > REMEMBERED:
+            known.clear()
+        cut, out, gaps, new = [], [], [], set()
+        for text in texts:
+            ps = self.pieces(text or "")
+            ids, gap, i = list(map(get, ps)), [], -1
+            try:
+                while True:
+                    i = ids.index(None, i + 1)
+                    gap.append(i)
+                    new.add(ps[i])
+            except ValueError:  # no more pieces that are new
+                cut.append(ps)
+                out.append(ids)
+                gaps.append(gap)
         if new:
-            found = dict(zip(new, self._encoded(new), strict=True))
-            self.known.update((p, b) for p, b in found.items() if len(p) <= LONGEST)
-            here = {p: b for p, b in found.items() if len(p) > LONGEST}
-            if here:
-                get = self.known.get
-                return [b"".join([here[p] if (b := get(p)) is None else b for p in ps]) for ps in cut]
-        return [b"".join(map(self.known.__getitem__, ps)) for ps in cut]
+            found = self._new(list(new))
+            for ps, ids, gap in zip(cut, out, gaps, strict=True):
+                for i in gap:
+                    ids[i] = found[ps[i]]
+            known.update((p, b) for p, b in found.items() if len(p) <= LONGEST)
+        return [b"".join(ids) for ids in out]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
