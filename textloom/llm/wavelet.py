@@ -41,12 +41,12 @@ class WaveletMatrix:
         a = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         planes, ranks = [], []
         for shift in range(levels - 1, -1, -1):
-            bits = (a >> a.dtype.type(shift)) & a.dtype.type(1)
-            packed = np.packbits(bits.astype(np.uint8))
+            ones = (a & a.dtype.type(1 << shift)) != 0
+            packed = np.packbits(ones)
             planes.append(packed)
             ranks.append(cls._directory(packed))
-            ones = bits.astype(bool)
-            a = np.concatenate([a[~ones], a[ones]])
+            if shift:
+                a = np.concatenate([a.take(np.flatnonzero(~ones)), a.take(np.flatnonzero(ones))])  # far faster than masks
         return cls(len(ids), planes, ranks)
 
     @staticmethod
@@ -127,10 +127,10 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         a = np.zeros(self.n, kind)
         for shift, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
-            ones = np.unpackbits(plane, count=self.n).astype(bool)
+            ones = np.unpackbits(plane, count=self.n).view(bool)
             out = np.empty(self.n, kind)
-            out[~ones] = a[:zeros]
-            out[ones] = a[zeros:] | kind(1 << shift)
+            out[np.flatnonzero(~ones)] = a[:zeros]
+            out[np.flatnonzero(ones)] = a[zeros:] | kind(1 << shift)
             a = out
         return a
 
