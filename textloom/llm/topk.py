@@ -38,7 +38,7 @@ def _ints(flat: np.ndarray, dims: int, scale: int) -> np.ndarray:
 
 def _axes(rows: np.ndarray) -> np.ndarray:
     """Orthogonal axes, those with the largest share first; any orthogonal matrix keeps inner products, so the fit only decides how much is pruned."""
-    return np.linalg.svd(rows, full_matrices=True)[2].T if len(rows) else np.eye(rows.shape[1])
+    return np.linalg.svd(rows.T @ rows)[0]
 
 
 def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, axes: np.ndarray, k: int, level: np.ndarray) -> list[tuple[int, int, int]]:
@@ -138,7 +138,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SC
     once = once.repartitionByRange(max(1, -(-once.count() // QUERIES)), "dims", "id").sortWithinPartitions("dims", "id")
     asked = written(once.mapInArrow(lambda it: _blocks(it, QUERIES), schema).withColumn("asked", F.monotonically_increasing_id()), "topk-queries")
     # A matrix of axes for each number of dimensions, from a bounded sample of the rows in order of a hash.
-    sample = base.filter("dims between 2 and 4096").select("dims", "v", F.xxhash64("id").alias("h")).orderBy("h").limit(FITTED).select("dims", "v").toPandas()
+    sample = base.filter("dims between 2 and 4096").select("dims", "v", F.xxhash64("id").alias("h")).orderBy("h").limit(FITTED).select("dims", "v").toArrow().to_pandas()
     axes = {int(d): _axes(np.floor(scale * np.stack(g["v"].to_numpy()))) for d, g in sample.groupby("dims")}
     longest = F.struct("longest", (-F.col("block")).alias("first"))
     first = written(blocks.groupBy("dims").agg(F.max_by("block", longest).alias("block")), "topk-first")
