@@ -133,7 +133,9 @@ def pack(docs: DataFrame, tokenizer: str, word_ends: bool, end_id: int, length:
     for number, shift in enumerate(ROOMS, 1):
         if groups_for(count) == 1:
             break  # nobody to exchange with
-        gap = (F.col("bins") > F.col("bound")) & (F.col("used") <= length - max(1, length >> shift))
+        # A certified partition gives up only what it can't fill for lack of documents: sequences that are a quarter empty.
+        open_ = (F.col("bins") > F.col("bound")) | (F.col("used") <= length - (length >> 2))
+        gap = open_ & (F.col("used") <= length - max(1, length >> shift))
         freed = last.filter(gap)
         had = freed.agg(F.count("*").alias("rows"), F.count_distinct("grp", "bin").alias("bins")).first()
         if had["bins"] < 2:
