@@ -20,6 +20,8 @@ from .operators import relational as R
 from .operators import retrieval as B
 from .operators import scaling as C
 from .operators import text as T
+from .plans import rank as RANK
+from .plans import recall as RECALL
 from .sources import io as IO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -858,3 +860,17 @@ def stack_features(spark, d):
     e = _t(spark, d, "events")
     models = {"a": e.select("user_id", "event_id", (F.col("value") / 2).alias("p")), "b": e.filter("event_type = 'click'").select("user_id", "event_id", F.col("value").alias("p"))}
     return FE.stacked(e.select("user_id", "event_id"), models, ["user_id", "event_id"], "p").drop("user_id")
+
+
+# flows
+
+@query()
+def rank_flow(spark, d):
+    """Recall, features, folds and answers: the best candidate of a query by BM25 is taken as its right answer."""
+    docs, items = _field_docs(spark, d), _items(spark, d)
+    queries = items.select("item_id", F.col("ts").alias("tokens"))
+    corpus = docs.select("doc_id", F.col("corp").alias("tokens"))
+    gold = _recall(spark, d, 1).select("item_id", "doc_id")
+    pairs = RECALL.candidates(corpus, queries, "doc_id", "item_id", gold, k=20).drop("rank")
+    wide = RANK.pair_features(pairs, items.select("item_id", F.col("ks").alias("quer_key_unigram"), F.col("ts").alias("quer_all_unigram")), docs.select("doc_id", *[F.col(f).alias(f"{f}_unigram") for f in FE.PAPER]), "item_id", "doc_id")
+    return RANK.rank(wide, "item_id", "doc_id", L.Variant("flow", keep=("sim_score", "jaccard", "ratio"), rounds=3, depth=3), gold).answers
