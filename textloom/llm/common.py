@@ -70,3 +70,19 @@ def word_count(text: str | Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_caches: list[dict] = []
+
+
+def cache(of: dict) -> dict:
+    """Make a worker's memory known, so that claim() can free it for another operator's."""
+    _caches.append(of)
+    return of
+
+
+def claim(of: dict) -> None:
+    """Called at the start of a task: workers outlive tasks, and only one operator's memory is kept in them."""
+    for other in _caches:
+        if other is not of:
+            other.clear()

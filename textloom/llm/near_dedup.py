@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import cache, claim, prepare, written
 
 #: Words of a shingle, similarity as a fraction, values that a sketch retains, chance to miss a pair at the similarity.
 WORDS, SIMILAR, KEPT, MISS = 5, (3, 4), 48, 1e-6
@@ -42,7 +42,7 @@ class _Words(dict):
         return h
 
 
-_hashes = _Words()
+_hashes = cache(_Words())
 
 
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -81,6 +81,7 @@ def least_overlap(size: int, kept: int = KEPT, similar=SIMILAR, miss: float = MI
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], words: int, kept: int) -> Iterator[pa.RecordBatch]:
+    claim(_hashes)
     for b in batches:
         keys, sizes, sketches = [], [], []
         for text in b.column(1).cast(pa.binary()).to_pylist():
@@ -93,6 +94,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int, kept: int) -> Itera
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """doc_id, text, cid, node to cid, shingles for the rows whose set is the class's."""
+    claim(_hashes)
     for b in batches:
         cids, sets = [], []
         for text, cid, node in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):

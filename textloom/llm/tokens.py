@@ -13,6 +13,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .common import cache, claim
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a worker remembers, the characters of the longest that it remembers, and words that are encoded in one text.
@@ -42,7 +44,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.word_ends, self.known = word_ends, {}
+        self.word_ends, self.known = word_ends, cache({})
         marks = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             marks[i] = token.endswith("</w>") if word_ends else token.startswith("Ġ")
@@ -117,10 +119,11 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, word_ends: bool) -> Encoder:
-    """The worker's encoder for a vocabulary file, which all machines have at the same path."""
+    """The worker's encoder for a vocabulary file, which all machines have at the same path; called once a task."""
     key = (path, word_ends)
     if key not in _encoders:
         _encoders[key] = Encoder(path, word_ends)
+    claim(_encoders[key].known)
     return _encoders[key]
 
 
