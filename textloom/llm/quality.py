@@ -1,6 +1,6 @@
 """Quality scores without labels: overlapping heuristics vote, expectation-maximisation weighs them, and a hashed linear scorer learns the outcome.
 
-Heuristics are column expressions, each voting good (1), bad (0) or nothing (-1).  Patterns of votes are counted over all documents, so the
+Heuristics vote good (1), bad (0) or nothing (-1).  Patterns of votes are counted over all documents, so the
 expectation-maximisation runs on a table whose size depends on the number of heuristics alone.  Its posterior labels train a logistic model over hashed
 shapes of words, which generalise where heuristics abstain.
 """
@@ -8,6 +8,7 @@ shapes of words, which generalise where heuristics abstain.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, prepare
+from .common import WORD, cache, claim, prepare
 from .linear import fit
 
 #: Documents that train the scorer, in order of a hash of their texts; a documented bound of the fit.  Patterns and scores cover all documents.
@@ -29,35 +30,80 @@ MOST_FALSE = 0.01
 #: Words that count as seen in every text besides its own, so that short texts say little.
 SHRINK = 10
 #: A document stays if its score reaches this.
-THRESHOLD = 0.5
-
-
-def labellers(text: str = "text") -> dict[str, Column]:
-    """Votes of the heuristics: 1 good, 0 bad, -1 none.  They overlap, so each kind of junk meets several; short texts get few votes."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    n = count(WORD)
-    share = lambda pattern, of: count(pattern) / F.greatest(of, F.lit(1))
-    some, many = n >= 5, n >= 20
-    words = F.split(F.lower(t), r"[\x20\x09-\x0D]+")
-    distinct = F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
-    letters, chars = count(r"\p{L}"), F.length(t)
-    plain = share(r"(?<!\S)[\"'(]?\p{L}[\p{L}\p{M}'’-]*[.,;:!?\"')]?(?!\S)", n)
-    ends = share(r"[\p{L}\p{N}][.!?](?!\S)", n)
-    again = share(r"(?<!\S)(\S+)(?=\s+\1(?!\S))", n)
-    bad = lambda when: F.when(when, 0).otherwise(-1)
-    return {
-        "symbols": bad(some & (share(r"[^\p{L}\p{M}\p{N}\s.,;:'\"()?-]", chars) > 0.06)),
-        "marked_words": bad(some & (share(r"[^\p{L}\p{M}\p{N}\s]{2,}(?!\S)", n) > 0.25)),
-        "bare_marks": bad(some & (share(r"(?<!\S)[^\p{L}\p{M}\p{N}\s]+(?!\S)", n) > 0.15)),
-        "plain_words": F.when(some & (plain < 0.6), 0).when(some & (plain > 0.85) & (distinct > 0.5), 1).otherwise(-1),
-        "shouting": bad(some & (share(r"\p{Lu}", letters) > 0.35)),
-        "few_distinct": bad(many & (distinct < 0.45)),
-        "very_few_distinct": bad(many & (distinct < 0.25)),
-        "stutter": bad(some & (again > 0.1)),
-        "sentences": F.when(many & ((ends < 0.005) | (ends > 0.7)), 0).when(some & (ends > 0.02) & (ends < 0.5) & (plain > 0.7) & (distinct > 0.5), 1).otherwise(-1),
-        "digits": bad(some & (share(r"\p{N}", chars) > 0.4)),
-    }
+THRESHOLD = 0.3
+#: Words that a worker remembers.
+REMEMBERED = 1 << 17
+
+_words = re.compile(WORD).findall
+
+
+_PLAIN = re.compile(r"[\"'(]?[^\W\d_](?:[^\W\d_]|['’-])*[.,;:!?\"')]?").fullmatch
+_MARKED, _ENDS = re.compile(r"[^\w\s]{2,}$").search, re.compile(r"[^\W_][.!?]$").search
+_QUIET = set(".,;:'\"()?-")
+#: What is counted of each word: characters, letters, capitals, digits, loud symbols; whether it is plain, ends in marks, is marks alone, ends a sentence.
+CHARS, LETTERS, CAPITALS, DIGITS, LOUD, PLAIN, MARKED, BARE, ENDS = range(9)
+NAMES = ("symbols", "marked_words", "bare_marks", "plain_words", "shouting", "few_distinct", "very_few_distinct", "stutter", "sentences", "digits")
+
+
+def _describe(word: str) -> tuple[int, ...]:
+    letters, digits = sum(map(str.isalpha, word)), sum(map(str.isdigit, word))
+    loud = sum(not c.isalnum() and c not in _QUIET and not unicodedata.category(c).startswith("M") for c in word)
+    alone = not any(map(str.isalnum, word))
+    return len(word), letters, sum(map(str.isupper, word)), digits, loud, bool(_PLAIN(word)), bool(_MARKED(word)), alone, bool(_ENDS(word))
+
+
+class _Words(dict):
+    """Rows of described words by word."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows = np.zeros((1024, 9), np.int32)
+
+    def __missing__(self, word: str) -> int:
+        n = len(self)
+        if n >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[n] = _describe(word)
+        self[word] = n
+        return n
+
+
+_known = cache(_Words())
+
+
+def votes(text: str | None) -> tuple[int, ...]:
+    """Votes of the heuristics in NAMES: 1 good, 0 bad, -1 none.  They overlap, so each kind of junk meets several; short texts get few votes."""
+    ws = _words(text or "")
+    n = len(ws)
+    if n < 5:
+        return (-1,) * len(NAMES)
+    if len(_known) > REMEMBERED:
+        _known.clear()
+    at = np.fromiter(map(_known.__getitem__, ws), np.int64, n)
+    total = _known.rows[at].sum(0, dtype=np.int64).tolist()
+    distinct, again = len(set(ws)) / n, np.count_nonzero(at[1:] == at[:-1]) / n
+    plain, ends, many = total[PLAIN] / n, total[ENDS] / n, n >= 20
+    bad = lambda x: 0 if x else -1
+    return (
+        bad(total[LOUD] > 0.06 * total[CHARS]),
+        bad(total[MARKED] > 0.25 * n),
+        bad(total[BARE] > 0.15 * n),
+        0 if plain < 0.6 else 1 if plain > 0.85 and distinct > 0.5 else -1,
+        bad(total[CAPITALS] > 0.35 * max(1, total[LETTERS])),
+        bad(many and distinct < 0.45),
+        bad(many and distinct < 0.25),
+        bad(again > 0.1),
+        0 if many and not 0.005 <= ends <= 0.7 else 1 if 0.02 < ends < 0.5 and plain > 0.7 and distinct > 0.5 else -1,
+        bad(total[DIGITS] > 0.4 * total[CHARS]),
+    )
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim(_known)
+    found = Counter()
+    for b in batches:
+        found.update(map(votes, b.column(0).to_pylist()))
+    yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, k)) for k in found]), pa.array(list(found.values()), pa.int64())], ["pattern", "n"])
 
 
 def em(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
@@ -90,10 +136,6 @@ def posterior(votes: np.ndarray, prior: float, acc: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(lb - lg, -50, 50)))
 
 
-_RUNS = (re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_A-Z]+"), re.compile(r"\d+"))
-_words = re.compile(WORD).findall
-
-
 def shape(word: str) -> str:
     """A word's shape: runs of capitals as A, of other letters as a, of digits as 9, other characters as they are."""
     out = []
@@ -104,7 +146,7 @@ def shape(word: str) -> str:
     return "".join(out[:12])
 
 
-_shapes: dict[str, str] = {}
+_shapes: dict[str, str] = cache({})
 
 
 def features(text: str | None) -> tuple[list[int], list[float]]:
@@ -112,7 +154,7 @@ def features(text: str | None) -> tuple[list[int], list[float]]:
     ws = _words(text or "")
     if not ws:
         return [], []
-    if len(_shapes) > 1 << 19:
+    if len(_shapes) > REMEMBERED:
         _shapes.clear()
     shapes = []
     for w in ws:
@@ -130,8 +172,10 @@ def features(text: str | None) -> tuple[list[int], list[float]]:
 
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [features(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float64()))], ["pattern", "idx", "val"])
+        texts = b.column(0).to_pylist()
+        found = [features(t) for t in texts]
+        patterns = [",".join(map(str, votes(t))) for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.string()), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float64()))], ["pattern", "idx", "val"])
 
 
 class Scorer:
@@ -147,17 +191,19 @@ class Scorer:
 def train(docs: DataFrame, text: str = "text", fitted: int = FITTED) -> tuple[Scorer, float, np.ndarray]:
     """Scorer, share of good documents and accuracies of the heuristics.  An empty table gives a scorer of 0.5 for all."""
     prepare(docs.sparkSession)
-    named = labellers(text)
-    k = len(named)
-    voted = docs.select(F.concat_ws(",", *[v.cast("string") for v in named.values()]).alias("pattern"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
-    counted = voted.groupBy("pattern").count().toPandas()  # at most 3 ** k rows
+    k = len(NAMES)
+    texts = docs.select(F.col(text).alias("text"))
+    counted = texts.mapInArrow(_counted, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()  # at most 3 ** k rows
     if not len(counted):
         return Scorer(np.zeros(DIMS), 0.0), 0.5, np.full((k, 2, 3), 1 / 3)
-    votes = np.array([[int(x) for x in p.split(",")] for p in counted["pattern"]])
-    prior, acc = em(votes, counted["count"].to_numpy(float))
-    soft = dict(zip(counted["pattern"], posterior(votes, prior, acc), strict=True))
-    sample = voted.select("h").distinct().orderBy("h").limit(fitted)
-    made = voted.join(F.broadcast(sample), "h").dropDuplicates(["h"]).select("pattern", "text").mapInArrow(_prepared, "pattern string, idx array<int>, val array<double>").toArrow()
+    found = np.array([[int(x) for x in p.split(",")] for p in counted["pattern"]])
+    prior, acc = em(found, counted["n"].to_numpy(float))
+    soft = dict(zip(counted["pattern"], posterior(found, prior, acc), strict=True))
+    hashed = texts.withColumn("h", F.xxhash64("text"))
+    sample = hashed.select("h").distinct().orderBy("h").limit(fitted)
+    # One row for each text of the sample: equal texts have one hash.
+    rows = hashed.join(F.broadcast(sample), "h").groupBy("h").agg(F.min("text").alias("text")).select("text")
+    made = rows.mapInArrow(_prepared, "pattern string, idx array<int>, val array<double>").toArrow()
     y = np.array([soft[p] for p in made["pattern"].to_pylist()])
     lists = made["idx"].combine_chunks()
     if not len(y) or not len(lists):
