@@ -21,11 +21,11 @@ from .common import prepare
 from .linear import fit
 
 #: Labelled documents that are read at most, in order of a hash of their identifiers; a documented bound of the fit, not of the scoring.
-FITTED = 12_000
+FITTED = 40_000
 #: Size of the hashed space, beginnings of words in characters, weight of the penalty.
 DIMS, BEGINNINGS, FAIR = 1 << 18, (3, 4, 5, 6), 2.0
 #: Documents of the sample that a feature needs, the share that it may have at most, and the deviations by which its shares in toxic and other documents differ.
-LEAST_DF, MOST_DF, DEVIATIONS = 3, 0.15, 3.5
+LEAST_DF, MOST_DF, DEVIATIONS = 3, 0.4, 3.5
 L2, STEPS, RATE, POSITIVE = 1e-5, 400, 0.05, 3.0
 REMEMBERED = 1 << 20
 
@@ -61,9 +61,26 @@ def swapped(sentence: str, terms=IDENTITY_TERMS) -> tuple[set[str], set[str]] |
     return (before, after) if any(w in following for w in before) else None
 
 
-def _prepared(batches: Iterator[pa.RecordBatch], terms) -> Iterator[pa.RecordBatch]:
-    """label, text to label, buckets of all distinct words, buckets lost and gained by swaps, one pair of lists per sentence that names a group."""
-    named = {a for kind in terms for a in kind}
+def _buckets_of(found: set[str]) -> np.ndarray:
+    return np.array([x for w in sorted(found) for x in features(w)], np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """label, text to documents and toxic documents per bucket."""
+    df, hits = np.zeros(DIMS, np.int64), np.zeros(DIMS, np.int64)
+    for b in batches:
+        for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            at = np.unique(_buckets_of(words(text)))
+            df[at] += 1
+            hits[at] += label
+    at = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at]), pa.array(hits[at])], ["bucket", "df", "hits"])
+
+
+def _prepared(batches: Iterator[pa.RecordBatch], kept: np.ndarray, terms) -> Iterator[pa.RecordBatch]:
+    """label, text to label, kept buckets of all distinct words, and buckets lost and gained by swaps, a pair of lists per sentence that names a group."""
+    named, keep = {a for kind in terms for a in kind}, np.zeros(DIMS, bool)
+    keep[kept] = True
     for b in batches:
         rows = []
         for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -72,11 +89,12 @@ def _prepared(batches: Iterator[pa.RecordBatch], terms) -> Iterator[pa.RecordBat
             if not named.isdisjoint(all_words):
                 for s in _sentences(text):
                     if found := swapped(s, terms):
-                        lost.append([x for w in found[0] - found[1] for x in features(w)])
-                        gained.append([x for w in found[1] - found[0] for x in features(w)])
-            rows.append((label, np.array([x for w in sorted(all_words) for x in features(w)], np.int32), lost, gained))
+                        lost.append(_buckets_of(found[0] - found[1]))
+                        gained.append(_buckets_of(found[1] - found[0]))
+            at = _buckets_of(all_words)
+            rows.append((label, at[keep[at]], lost, gained))
         cols = list(zip(*rows, strict=True)) or [()] * 4
-        kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32()))]
+        kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["label", "idx", "lost", "gained"])
 
 
@@ -119,22 +137,21 @@ def train(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, fitted: int
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h")).orderBy("h", "toxic").limit(fitted)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").select("toxic", "text")
-    made = rows.mapInArrow(lambda it: _prepared(it, terms), "label int, idx array<int>, lost array<array<int>>, gained array<array<int>>").toArrow()
+    counts = rows.mapInArrow(_counted, "bucket long, df long, hits long").groupBy("bucket").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits")).toArrow()
+    total = rows.agg(F.count("*"), F.sum("toxic")).first()
+    n, toxic = total[0], total[1] or 0
+    if not toxic or toxic == n:
+        return Model(np.zeros(DIMS), float(np.log((toxic + 0.5) / (n - toxic + 0.5))))
+    # What hardly any or very many documents hold, or both kinds alike, says nothing.
+    bucket, df, hits = (counts[c].to_numpy() for c in ("bucket", "df", "hits"))
+    share = toxic / n
+    apart = np.abs(hits - df * share) / np.sqrt(df * share * (1 - share))
+    kept = bucket[(df >= LEAST_DF) & (df <= MOST_DF * n) & (apart >= DEVIATIONS)]
+    made = rows.mapInArrow(lambda it: _prepared(it, kept, terms), "label int, idx array<long>, lost array<array<long>>, gained array<array<long>>").toArrow()
     y = made["label"].to_numpy().astype(float)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(DIMS), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
     lists = made["idx"].combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
-    idx = lists.flatten().to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(y)), sizes)
-    # Count a feature once per document for the filter; features of hardly any document say nothing.
-    once = np.unique(row * DIMS + idx)
-    df, hits = np.bincount(once % DIMS, minlength=DIMS), np.bincount(once % DIMS, weights=y[once // DIMS], minlength=DIMS)
-    share = y.mean()
-    apart = np.abs(hits - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
-    keep = ((df >= LEAST_DF) & (df <= MOST_DF * len(y)) & (apart >= DEVIATIONS))[idx]
-    idx, row = idx[keep], row[keep]
-    ptr = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(y)))])
+    ptr, idx = lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy()
+    ptr = ptr - ptr[0]
     diffs = []
     for lost, gained in zip(made["lost"].to_pylist(), made["gained"].to_pylist(), strict=True):
         for a, b in zip(lost, gained, strict=True):
