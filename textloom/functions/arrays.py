@@ -10,6 +10,11 @@ from .scalars import _c, safe_divide
 STATS = ("min", "mean", "median", "max", "std")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mean(xs) -> Column:
     xs = _c(xs)
     return F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), F.size(xs))
@@ -24,9 +29,9 @@ def median(xs) -> Column:
 
 def std(xs) -> Column:
     """Population standard deviation, by two passes."""
-    xs = _c(xs)
-    m = mean(xs)
-    return F.sqrt(F.try_divide(F.aggregate(F.transform(xs, lambda x: (x - m) * (x - m)), F.lit(0.0), lambda a, x: a + x), F.size(xs)))
+    both = F.struct(_c(xs).alias("xs"), mean(xs).alias("m"))
+    squares = lambda s: F.aggregate(s["xs"], F.lit(0.0), lambda a, x: a + (x - s["m"]) * (x - s["m"]))
+    return let(both, lambda s: F.sqrt(F.try_divide(squares(s), F.size(s["xs"]))))
 
 
 def stats(xs) -> dict[str, Column]:
@@ -47,9 +52,9 @@ def dice(a, b) -> Column:
 
 def positions(obs, target) -> Column:
     """1-based places in obs of tokens that target holds; [0] if there are none."""
-    obs, target = _c(obs), F.array_distinct(_c(target))
-    found = F.filter(F.transform(obs, lambda w, i: F.when(F.array_contains(target, w), i + 1).otherwise(0)), lambda p: p > 0)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(0)))
+    both = F.struct(_c(obs).alias("obs"), F.array_intersect(_c(obs), _c(target)).alias("shared"))
+    places = lambda s: F.filter(F.transform(s["obs"], lambda w, i: F.when(F.array_contains(s["shared"], w), i + 1).otherwise(0)), lambda p: p > 0)
+    return let(let(both, places), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(0))))
 
 
 def tail(xs, n: int) -> Column:
@@ -92,5 +97,5 @@ def vector_sub(a, b) -> Column:
 
 def unit(a) -> Column:
     """The vector scaled to length 1; null elements where it has length 0."""
-    n = norm(a)
-    return F.transform(_c(a), lambda x: F.try_divide(x.cast("double"), n))
+    both = F.struct(_c(a).alias("a"), norm(a).alias("n"))
+    return let(both, lambda s: F.transform(s["a"], lambda x: F.try_divide(x.cast("double"), s["n"])))

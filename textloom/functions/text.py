@@ -38,10 +38,19 @@ def replaced(text, table: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
+_LONG = tuple(p for p in PUNCTUATION if len(p) > 1)
+_BREAK = "[" + "".join("\\" + p for p in PUNCTUATION if len(p) == 1) + r" \t\n\x0B\f\r]+"
+_ANY_GREEK = "[" + "".join(g for g, _ in GREEK) + "]"
+
+
 def normalize(text) -> Column:
-    """Lower case, Greek letters by name, punctuation to spaces, single spaces between words; null is empty."""
-    out = replaced(F.lower(F.coalesce(_c(text), F.lit(""))), [*GREEK, *((p, " ") for p in PUNCTUATION)])
-    return F.btrim(F.regexp_replace(out, r"[ \t\n\x0B\f\r]+", " "))
+    """Lower case, Greek letters by name, punctuation to spaces, single spaces between words; null is empty.
+
+    Letters are replaced where there are any; longer marks before single ones, which with white space are one pattern.
+    """
+    low = F.lower(F.coalesce(_c(text), F.lit("")))
+    named = F.when(low.rlike(_ANY_GREEK), replaced(low, GREEK)).otherwise(low)
+    return F.btrim(F.regexp_replace(replaced(named, [(p, " ") for p in _LONG]), _BREAK, " "))
 
 
 def split_keep(text) -> Column:

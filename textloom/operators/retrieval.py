@@ -46,16 +46,11 @@ class Index:
     stats: DataFrame
     doc: str
 
-    def cache(self) -> Index:
-        for f in (self.postings, self.terms):
-            f.cache()
-        return self
-
 
 def build_index(docs: DataFrame, doc: str, tokens: str) -> Index:
-    """Lengths ride along in the postings, so scoring needs no further join."""
+    """Lengths ride along in the postings, so scoring needs no further join.  Postings are cached: statistics and scores read them again."""
     clean = F.filter(F.col(tokens), lambda w: w != "")
-    bow = docs.select(doc, clean.alias("t")).select(doc, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(doc, "len", "term").agg(F.count("*").alias("tf"))
+    bow = docs.select(doc, clean.alias("t")).select(doc, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(doc, "len", "term").agg(F.count("*").alias("tf")).cache()
     stats = corpus_stats(docs, tokens)
     return Index(docs.select(doc), bow, bm25_idf(doc_freq(bow), stats), stats, doc)
 
@@ -82,7 +77,7 @@ def bm25_topk(queries: DataFrame, query: str, tokens: str, index: Index, k: int
     Documents without shared terms score 0.  Only the first k documents can fill up a query, and negative scores stand behind them.
     """
     doc = index.doc
-    scores = bm25_scores(queries, query, tokens, index)
+    scores = bm25_scores(queries, query, tokens, index).cache()
     order = Window.partitionBy(query).orderBy(F.desc("score"), F.col(doc))
     best = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     found = best.filter("score > 0").groupBy(query).agg(F.count("*").alias("n"))

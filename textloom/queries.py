@@ -84,7 +84,8 @@ _RECALL = f"""{_DOC}, {_ITEM}, {_sql_index('a', 'ts')}, {_SCORES}
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", "lang", "source", X.normalized_tokens("text").alias("ts"))
+    """Tokenised once, however many statistics read it."""
+    return _t(spark, d, "documents").select("doc_id", "lang", "source", X.normalized_tokens("text").alias("ts")).cache()
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -677,15 +678,13 @@ def _sql_distances() -> str:
 @query(_sql_distances())
 def tfidf_distances(spark, d):
     docs, items = _field_docs(spark, d), _items(spark, d)
-    out = _recall(spark, d).select("item_id", "doc_id")
+    pairs = _recall(spark, d).select("item_id", "doc_id").cache()
     corp = B.bag_of_words(docs, "doc_id", "corp")
-    df, stats = B.doc_freq(corp), B.corpus_stats(docs, "corp")
-    left = {q: B.tfidf(B.bag_of_words(items, "item_id", c), df, stats, "item_id") for q, c in (("quer_key", "ks"), ("quer_all", "ts"))}
-    right = {f: B.tfidf(B.bag_of_words(docs, "doc_id", f), df, stats, "doc_id") for f in FE.PAPER}
-    for q in FE.QUERY:
-        for f in FE.PAPER:
-            out = B.distances(out, left[q], right[f], "item_id", "doc_id", f"{q}_tfidf_{f}")
-    return _round(out)
+    df, stats = B.doc_freq(corp).cache(), B.corpus_stats(docs, "corp")
+    left = {q: B.tfidf(B.bag_of_words(items, "item_id", c), df, stats, "item_id").cache() for q, c in (("quer_key", "ks"), ("quer_all", "ts"))}
+    right = {f: B.tfidf(B.bag_of_words(docs, "doc_id", f), df, stats, "doc_id").cache() for f in FE.PAPER}
+    parts = [B.distances(pairs, left[q], right[f], "item_id", "doc_id", f"{q}_tfidf_{f}") for q in FE.QUERY for f in FE.PAPER]
+    return _round(R.one_to_one(parts, ["item_id", "doc_id"]))
 
 
 # pair features
