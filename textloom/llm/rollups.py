@@ -45,7 +45,7 @@ class Store:
         entries = [self._entry("counts", *b) for b in self.batches()]
         if not entries:
             return None
-        log = self.spark.read.parquet(*entries)
+        log = self.spark.read.parquet(*entries).filter("doc_id IS NOT NULL")
         last = log.groupBy("doc_id", "tokenizer").agg(F.max_by(F.struct("source", "lang", "tokens", "there"), "number").alias("x"))
         return last.filter("x.there").select("doc_id", "tokenizer", "x.source", "x.lang", "x.tokens")
 
@@ -69,12 +69,12 @@ class Store:
             F.coalesce(F.col("tokenizer").cast("string"), F.lit("")).alias("tokenizer"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"), seq.cast("long").alias("seq"),
         )
         order = F.struct(F.coalesce("seq", F.lit(0)), "tokens", "op", "source", "lang")
-        new = told.filter("doc_id IS NOT NULL").groupBy("doc_id", "tokenizer").agg(F.max_by(F.struct("op", "source", "lang", "tokens"), order).alias("x"))
+        told = told.filter("doc_id IS NOT NULL OR op = 'insert'").withColumn("loose", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+        new = told.groupBy("doc_id", "tokenizer", "loose").agg(F.max_by(F.struct("op", "source", "lang", "tokens"), order).alias("x"))
         new = new.select("doc_id", "tokenizer", "x.source", "x.lang", "x.tokens", (F.col("x.op") != "delete").alias("there"))
-        loose = told.filter("doc_id IS NULL AND op = 'insert'").select(*GROUP, F.lit(1).alias("docs"), "tokens")
         new.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(self._entry("counts", number, batch))
         new = self.spark.read.parquet(self._entry("counts", number, batch))
-        signed = new.filter("there").select(*GROUP, F.lit(1).alias("docs"), "tokens").unionByName(loose)
+        signed = new.filter("there").select(*GROUP, F.lit(1).alias("docs"), "tokens")
         before = self.counts()
         if before is not None:
             old = before.join(new.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
