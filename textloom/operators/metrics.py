@@ -19,13 +19,13 @@ def running_before(counted: DataFrame, value: str, n: str, by: Sequence[str] = (
     """
     v = F.col(value).cast("double")
     ends = counted.groupBy(*by).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
-    out = counted.join(F.broadcast(ends), list(by)) if by else counted.crossJoin(F.broadcast(ends))
+    out = counted.join(ends, list(by)) if by else counted.crossJoin(F.broadcast(ends))
     cell = F.coalesce(F.floor(F.try_divide((v - F.col("__lo")) * (CELLS - 1), F.col("__hi") - F.col("__lo"))), F.lit(0)).cast("int")
     out = out.withColumn("__cell", cell).drop("__lo", "__hi")
     cells = out.groupBy(*by, "__cell").agg(F.sum(n).alias("__all"))
     cells = cells.withColumn("__start", F.sum("__all").over(Window.partitionBy(*by).orderBy("__cell")) - F.col("__all")).drop("__all")
     inside = Window.partitionBy(*by, "__cell").orderBy(value)
-    out = out.join(F.broadcast(cells), [*by, "__cell"])
+    out = out.join(cells if by else F.broadcast(cells), [*by, "__cell"])
     return out.withColumn(name, F.col("__start") + F.sum(n).over(inside) - F.col(n)).drop("__cell", "__start")
 
 
