@@ -159,3 +159,10 @@ def test_pipeline_on_edges(spark):
             if k + 1 < len(cp.STAGES):
                 docs = cp.written(docs, "test-edge")
         assert docs.count() >= 0
+
+
+def test_mix_with_many_sources_needs_no_broadcast(spark, monkeypatch):
+    rows = [(i, "w " * (i % 9), f"s{i % 6}") for i in range(200)]
+    small = sorted(map(tuple, mixing.mix(table(spark, rows)).collect()))
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert sorted(map(tuple, mixing.mix(table(spark, rows)).collect())) == small

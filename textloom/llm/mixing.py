@@ -8,6 +8,8 @@ size in words.  The cut is found by histograms over Q, never by one ordered scan
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ CLASS_FALL = 0.02
 TOP_CLASS = 40
 #: Cells of one histogram level of the rank, and rounds of filling what the cut leaves over.
 CELLS, FILLS = 4096, 3
+#: Rows of the table of sources and length classes up to which tables of sources are broadcast; beyond, they are joined by shuffles.
+FEW = 200_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -82,29 +86,29 @@ def class_weight(c: int) -> int:
     return round(10_000 * (1 - CLASS_FALL) ** c)
 
 
-def _threshold(pool: DataFrame, room: DataFrame) -> DataFrame:
+def _threshold(pool: DataFrame, room: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``source, k, t, left``: the last (key, tie) of a source whose words, in this order, fit in its room, and the words then left."""
     fine = F.floor((F.col("key") * CELLS - F.col("cell")) * CELLS).cast("int")
     pool = pool.withColumn("cell", F.floor(F.col("key") * CELLS).cast("int")).withColumn("fine", fine)
 
     def first_over(rows: DataFrame, at: list[str], room: DataFrame) -> DataFrame:
         h = rows.groupBy("source", *at).agg(F.sum("size").alias("words"))
-        h = h.join(F.broadcast(room.select(F.col("source").alias("s"), "room")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        h = h.join(small(room.select(F.col("source").alias("s"), "room")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         h = h.withColumn("run", F.sum("words").over(Window.partitionBy("source").orderBy(*at))).filter(F.col("run") > F.col("room"))
         h = h.groupBy("source").agg(F.min(F.struct(*at, (F.col("room") - F.col("run") + F.col("words")).alias("r"))).alias("x"))
         return h.select(F.col("source").alias("s"), *[F.col(f"x.{c}").alias(f"{c}_cut") for c in at], F.col("x.r").alias("room"))
 
     on = F.col("source").eqNullSafe(F.col("s"))
     rough = first_over(pool, ["cell"], room)
-    inside = pool.join(F.broadcast(rough.select("s", "cell_cut")), on & (F.col("cell") == F.col("cell_cut"))).drop("s", "cell_cut")
+    inside = pool.join(small(rough.select("s", "cell_cut")), on & (F.col("cell") == F.col("cell_cut"))).drop("s", "cell_cut")
     close = first_over(inside, ["cell", "fine"], rough.select(F.col("s").alias("source"), "room"))
-    last = inside.join(F.broadcast(close), on & (F.col("cell") == F.col("cell_cut")) & (F.col("fine") == F.col("fine_cut")))
+    last = inside.join(small(close), on & (F.col("cell") == F.col("cell_cut")) & (F.col("fine") == F.col("fine_cut")))
     order = Window.partitionBy("source").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0)
     last = last.withColumn("run", F.sum("size").over(order)).filter(F.col("run") <= F.col("room"))
     last = last.groupBy(F.col("source").alias("z")).agg(F.max(F.struct("key", "tie")).alias("end"), F.sum("size").alias("got"))
     total = pool.groupBy(F.col("source").alias("q")).agg(F.sum("size").alias("all"))
-    out = room.join(F.broadcast(close.withColumnRenamed("room", "room_in")), on, "left")
-    out = out.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("z")), "left").join(F.broadcast(total), F.col("source").eqNullSafe(F.col("q")), "left")
+    out = room.join(small(close.withColumnRenamed("room", "room_in")), on, "left")
+    out = out.join(small(last), F.col("source").eqNullSafe(F.col("z")), "left").join(small(total), F.col("source").eqNullSafe(F.col("q")), "left")
     edge = (F.col("cell_cut") + F.col("fine_cut") / F.lit(float(CELLS))) / F.lit(float(CELLS))
     cut = F.col("cell_cut").isNotNull()
     return out.select(
@@ -122,26 +126,30 @@ class Mix:
         self.cols, self.seed = (id_col, text_col, source_col), seed
         sized = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")), "mix-sizes")
         self.sized = sized
-        # One row per source, and TOP_CLASS + 1 per source: small as long as sources are (a name list, not a key of rows).
+        # At most TOP_CLASS + 1 rows per source.
         by_class = written(sized.withColumn("class", _class()).groupBy("source", "class").agg(F.sum("size").alias("words")), "mix-classes")
+        self.few = by_class.count() <= FEW
         self.targets = targets(by_class.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-        joined = by_class.join(F.broadcast(self.targets.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        joined = by_class.join(self._small(self.targets.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         copies = _scaled(joined, most).withColumnsRenamed({"source": "cs", "class": "cc"})
         out = joined.join(copies, F.col("source").eqNullSafe(F.col("cs")) & (F.col("class") == F.col("cc")))
         self.rates = written(out.select("source", "class", "source_size", "target", "copies", (F.floor("copies") * F.col("words")).cast("long").alias("sure")), "mix-rates")
         # Words to take by sampling, rounded to the nearest.
         room = self.rates.groupBy("source").agg(F.floor(F.max("target") + F.lit(0.5)).cast("long").alias("goal"), F.sum("sure").alias("sure")).select("source", (F.col("goal") - F.col("sure")).alias("room"))
         pool = self._ranked(sized).filter((F.col("key") < 1) & (F.col("size") > 0)).select("source", "key", F.coalesce("doc_id", F.lit(0)).alias("tie"), "size")
-        self.cuts = [written(_threshold(pool, room), "mix-cut")]
+        self.cuts = [written(_threshold(pool, room, self._small), "mix-cut")]
         for _ in range(FILLS - 1):
             prev = self.cuts[-1].select(F.col("source").alias("s0"), F.col("k").alias("k0"), F.col("t").alias("t0"), "left")
-            rest = pool.join(F.broadcast(prev), F.col("source").eqNullSafe(F.col("s0"))).filter(_after(F.col("key"), F.col("tie"), F.col("k0"), F.col("t0")) & (F.col("size") <= F.col("left")))
-            self.cuts.append(written(_threshold(rest.select("source", "key", "tie", "size"), self.cuts[-1].select("source", F.col("left").alias("room"))), "mix-cut"))
+            rest = pool.join(self._small(prev), F.col("source").eqNullSafe(F.col("s0"))).filter(_after(F.col("key"), F.col("tie"), F.col("k0"), F.col("t0")) & (F.col("size") <= F.col("left")))
+            self.cuts.append(written(_threshold(rest.select("source", "key", "tie", "size"), self.cuts[-1].select("source", F.col("left").alias("room")), self._small), "mix-cut"))
+
+    def _small(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.few else df
 
     def _ranked(self, sized: DataFrame) -> DataFrame:
         """Adds class, the source's figures, whole copies and the rank key in [0, 1); key 2 where no odds are left."""
         r = self.rates.select(F.col("source").alias("rs"), F.col("class").alias("rc"), "source_size", "target", "copies")
-        out = sized.withColumn("class", _class()).join(F.broadcast(r), F.col("source").eqNullSafe(F.col("rs")) & (F.col("class") == F.col("rc")), "left").drop("rs", "rc")
+        out = sized.withColumn("class", _class()).join(self._small(r), F.col("source").eqNullSafe(F.col("rs")) & (F.col("class") == F.col("rc")), "left").drop("rs", "rc")
         u, p = uniform(F.col("doc_id"), self.seed), F.col("copies") - F.floor("copies")
         q = (u / (F.lit(1.0) - u)) / (p / (F.lit(1.0) - p))
         return out.withColumn("q", F.when(p > 0, q)).withColumn("key", F.when(F.col("q").isNotNull(), F.least(F.col("q") / (F.lit(1.0) + F.col("q")), F.lit(1 - 2.0**-53))).otherwise(F.lit(2.0)))
@@ -151,7 +159,7 @@ class Mix:
         out = self._ranked(sized)
         tie, extra = F.coalesce("doc_id", F.lit(0)), F.lit(False)
         for i, c in enumerate(self.cuts):
-            out = out.join(F.broadcast(c.select(F.col("source").alias(f"s{i}"), F.col("k").alias(f"k{i}"), F.col("t").alias(f"t{i}"), F.col("left").alias(f"left{i}"))), F.col("source").eqNullSafe(F.col(f"s{i}")), "left")
+            out = out.join(self._small(c.select(F.col("source").alias(f"s{i}"), F.col("k").alias(f"k{i}"), F.col("t").alias(f"t{i}"), F.col("left").alias(f"left{i}"))), F.col("source").eqNullSafe(F.col(f"s{i}")), "left")
             inside = ~_after(F.col("key"), tie, F.col(f"k{i}"), F.col(f"t{i}"))
             if i:
                 inside &= _after(F.col("key"), tie, F.col(f"k{i - 1}"), F.col(f"t{i - 1}")) & (F.col("size") <= F.col(f"left{i - 1}"))
