@@ -31,7 +31,7 @@ WORDS, SIMILAR, KEPT, MISS = 5, (3, 4), 48, 1e-6
 #: Cells by hash in which the intersection with a pivot is counted.
 CELLS = 16
 #: Hashes of words that a Python worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 
 class _Words(dict):
