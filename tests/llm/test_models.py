@@ -175,3 +175,21 @@ def test_lm_probabilities_sum_to_one(spark):
 def test_lm_query(spark, data, name):
     got = queries()[name](spark, data)
     assert got.count() == spark.read.parquet(f"{data}/documents.parquet").count() and got.filter(F.col("log_prob") > 0).count() == 0
+
+
+def test_lm_words_have_counts_of_their_own(spark, monkeypatch):
+    # With two known words the others share entries; a frequent and a rare word of one entry differ by their counts.
+    monkeypatch.setattr(lm, "KNOWN", 2)
+    monkeypatch.setattr(lm, "BUCKETS", 3)
+    monkeypatch.setattr(lm, "SHARED", 1)
+    text = "a " * 40 + "b " * 30 + "c " * 16 + "d"
+    model = lm.train(table(spark, [(1, text)]), rounds=0)
+    got = {r.doc_id: r.log_prob for r in lm.score(table(spark, [(1, "c"), (2, "d"), (3, "never"), (4, "a"), (None, "c"), (1, None)]), model).collect() if r.n_words and r.doc_id}
+    assert len(model.keys) == 2 and model.others.count() == 2
+    assert abs(got[1] - got[2] - np.log(16)) < 1e-5 and abs(got[2] - got[3] - np.log(2)) < 1e-5 and got[4] > got[1]
+
+
+def test_lm_grows_with_the_vocabulary(spark):
+    docs = table(spark, [(i, " ".join(f"w{j}" for j in range(i * 500, i * 500 + 500))) for i in range(400)])
+    model = lm.train(docs, rounds=0)
+    assert len(model.keys) == 200_000 and model.classes.n == 512 > lm.CLASSES and len(set(model.classes.of[: len(model.keys)])) > 400
