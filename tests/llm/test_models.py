@@ -104,6 +104,15 @@ def test_votes():
     assert set(quality.votes("short")) == {-1} == set(quality.votes(None))
 
 
+def test_quality_sees_the_end_of_texts_without_spaces():
+    plain = "文章の内容です。" * 40
+    junk = plain + "#$%&@!" * 100
+    assert quality.features(plain) != quality.features(junk)
+    shown = quality.shapes("a1-" * 20)
+    assert "".join(s[: quality.APART] for s in shown[:-1]) + shown[-1] == "a9-" * 20 and quality.shapes("Word,") == ("Aa,",)
+    assert set(quality.votes(plain)) == {-1} and quality.votes(junk)[0] == 0 and quality.votes("0123456789" * 30)[9] == 0
+
+
 def test_quality_edges(spark):
     got = quality.classify(table(spark, EDGE)).collect()
     assert len(got) == len(EDGE) and all(0 <= r.score <= 1 for r in got)

@@ -31,8 +31,12 @@ MOST_FALSE = 0.01
 SHRINK = 10
 #: A document stays if its score reaches this.
 THRESHOLD = 0.3
-#: Words that a worker remembers.
-REMEMBERED = 1 << 17
+#: Words that a worker remembers, and the longest of them in characters.
+REMEMBERED, LONGEST = 1 << 17, 1 << 10
+#: Marks of a shape in one piece; longer shapes are overlapping pieces, each starting so many marks after the last.
+PIECE, APART = 12, 6
+#: A text of fewer than 5 words votes by its characters from so many on.
+LONG_TEXT = 200
 
 _words = re.compile(WORD).findall
 
@@ -72,11 +76,14 @@ _known = cache(_Words())
 
 
 def votes(text: str | None) -> tuple[int, ...]:
-    """Votes of the heuristics in NAMES: 1 good, 0 bad, -1 none.  They overlap, so each kind of junk meets several; short texts get few votes."""
+    """Votes of the heuristics in NAMES: 1 good, 0 bad, -1 none.  They overlap, so each kind of junk meets several; short texts get few votes.
+
+    Long texts of fewer than 5 words vote by shares of their characters; words have no say in them.
+    """
     ws = _words(text or "")
     n = len(ws)
     if n < 5:
-        return (-1,) * len(NAMES)
+        return _votes_of_characters("".join(ws))
     if len(_known) > REMEMBERED:
         _known.clear()
     at = np.fromiter(map(_known.__getitem__, ws), np.int64, n)
@@ -98,6 +105,20 @@ def votes(text: str | None) -> tuple[int, ...]:
     )
 
 
+def _votes_of_characters(run: str) -> tuple[int, ...]:
+    """Votes for a text almost without spaces: loud symbols, capitals, digits, and stutter, which is a share of equal neighbours."""
+    n = len(run)
+    none = [-1] * len(NAMES)
+    if n < LONG_TEXT:
+        return tuple(none)
+    _, letters, capitals, digits, loud, *_ = _describe(run)
+    loud -= sum(not c.isascii() and c not in _QUIET and unicodedata.category(c)[0] == "P" for c in run)  # such texts are marked off by their own punctuation
+    again = sum(map(str.__eq__, run, run[1:]))
+    for name, bad in (("symbols", loud > 0.06 * n), ("shouting", capitals > 0.35 * max(1, letters)), ("digits", digits > 0.4 * n), ("stutter", again > 0.3 * n)):
+        none[NAMES.index(name)] = 0 if bad else -1
+    return tuple(none)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim(_known)
     found = Counter()
@@ -136,17 +157,18 @@ def posterior(votes: np.ndarray, prior: float, acc: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(lb - lg, -50, 50)))
 
 
-def shape(word: str) -> str:
-    """A word's shape: runs of capitals as A, of other letters as a, of digits as 9, other characters as they are."""
+def shapes(word: str) -> tuple[str, ...]:
+    """A word's shape: runs of capitals as A, of other letters as a, of digits as 9, other characters as they are; overlapping pieces of a long one."""
     out = []
     for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != kind or kind not in "Aa9":
             out.append(kind)
-    return "".join(out[:12])
+    whole = "".join(out)
+    return tuple(whole[i : i + PIECE] for i in range(0, max(1, len(whole) - PIECE + APART), APART))
 
 
-_shapes: dict[str, str] = cache({})
+_shapes: dict[str, tuple[str, ...]] = cache({})
 
 
 def features(text: str | None) -> tuple[list[int], list[float]]:
@@ -156,17 +178,19 @@ def features(text: str | None) -> tuple[list[int], list[float]]:
         return [], []
     if len(_shapes) > REMEMBERED:
         _shapes.clear()
-    shapes = []
+    found = []
     for w in ws:
         s = _shapes.get(w)
         if s is None:
-            s = _shapes[w] = shape(w)
-        shapes.append(s)
-    n = len(ws)
-    names = Counter(shapes)
-    names.update(map("\x00".join, zip(shapes, shapes[1:], strict=False)))
+            s = shapes(w)
+            if len(w) <= LONGEST:
+                _shapes[w] = s
+        found += s
+    n = len(found)
+    names = Counter(found)
+    names.update(map("\x00".join, zip(found, found[1:], strict=False)))
     names["\x01same"] = sum(a == b for a, b in zip(ws, ws[1:], strict=False))
-    names[f"\x01distinct{int(10 * len(set(ws)) / n)}"] = n
+    names[f"\x01distinct{int(10 * len(set(ws)) / len(ws))}"] = n
     return [zlib.crc32(x.encode()) % DIMS for x in names], [(c / (n + SHRINK)) ** 0.5 for c in names.values()]
 
 
