@@ -23,11 +23,10 @@ def table(spark, rows):
 
 def direct(name, texts):
     t = Tokenizer.from_file(tokens.public(name))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-PARTS = ["a", "b", "s", "t", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "'", "'s", "'ll", "'re", "é", "É", "ß", "İ", "ſ", "1", "23", "²", "½", "ª", "!", "...", "—", "“", " ", " ", "​", "́", "中文", "Ω", "ς", "Σ", "<|endoftext|>", "</w>", "Ġ", "_", "the", "Don't", "x" * 70, "Ĳ", "ŉ", "😀", "﻿"]
+PARTS = ["a", "b", "s", "t", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "'", "'s", "'ll", "'re", "é", "É", "ß", "İ", "ſ", "1", "23", "²", "½", "ª", "!", "...", "—", "“", " ", " ", "​", "́", "中文", "Ω", "ς", "Σ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "</w>", "Ġ", "_", "the", "Don't", "x" * 70, "Ĳ", "ŉ", "😀", "﻿"]
 
 
 @pytest.mark.parametrize(("name", "ends"), FILES)

@@ -2,7 +2,8 @@
 
 A tokenizer first cuts a text into pieces that no token crosses, then encodes each piece by itself.  Texts in common Latin characters are cut here by the
 same rule, all others around ASCII white space only, or not at all where that could change ids.  New pieces go to the tokenizers library, many words in
-one text, and what it returns is remembered by piece; so the ids are those of the whole text.
+one text, and what it returns is remembered by piece; so the ids are those of the whole text.  A text that holds the string of a special token goes to the
+library as a whole, which gives that token's id for the string.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.word_ends, self.known = word_ends, cache({})
         marks = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -57,6 +58,8 @@ class Encoder:
             self.around_space = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
 
     def pieces(self, text: str) -> list[str]:
+        if any(s in text for s in self.specials):
+            return [text]
         if not _UNCOMMON(text):
             return self.cut(text.lower() if self.word_ends else text)
         return [text] if not self.word_ends and _OTHER_SPACE(text) else self.around_space(text)
