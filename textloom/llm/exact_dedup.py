@@ -37,11 +37,11 @@ def _runs(salted: DataFrame, parts: int, pick, last_first: bool = False, extra:
     run = Window.partitionBy("first", "sha", "salt", "body")
     order = F.col("id").desc_nulls_last() if last_first else F.col("id").asc_nulls_last()
     size, place = F.count(F.lit(1)).over(run), F.row_number().over(run.orderBy(order))
-    return dealt.select("id", "sha", "split", "body", *extra, pick("id").over(run).alias("run_keep"), size.alias("run_size"), place.alias("n"))
+    return dealt.select("id", "sha", "split", "salt", "body", *extra, pick("id").over(run).alias("run_keep"), size.alias("run_size"), place.alias("n"))
 
 
 def _sorted(docs: DataFrame, form: str, keep: str, id_col: str, text_col: str, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """All rows in runs, and the small table ``split_sha, all_keep, all_size`` of texts whose copies were dealt over several blocks."""
+    """All rows in runs, and the small table ``split_sha, all_keep, all_size, all_salt`` of texts whose copies were dealt over several blocks."""
     pick = {"smallest": F.min, "largest": F.max}[keep]
     parts = n_partitions(docs.sparkSession)
     text = normalised(F.col(text_col), form)
@@ -52,11 +52,13 @@ def _sorted(docs: DataFrame, form: str, keep: str, id_col: str, text_col: str, e
     # At most rows / block digests pass, that is 4 for each partition.
     heavy = counted.filter(F.col("copies") > block).select(F.col("sha").alias("heavy_sha"), F.ceil(F.col("copies") / block).alias("blocks"))
     salted = base.join(F.broadcast(heavy), F.col("sha") == F.col("heavy_sha"), "left")
-    salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int"))
+    # Dealt by place, so copies that share an identifier, or have none, are dealt out as well.
+    salted = salted.withColumn("salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("blocks")), F.lit(0)).cast("int"))
     # Blocks of a split text meet once more, one row each, compared by digest and full text.
     blocks = _runs(salted.filter(F.col("blocks").isNotNull()), parts, pick).filter(F.col("n") == 1)
-    met = blocks.groupBy("sha", "body").agg(pick("run_keep").alias("all_keep"), F.sum("run_size").alias("all_size"))
-    return _runs(salted, parts, pick, keep == "largest", extra), met.select(F.col("sha").alias("split_sha"), "all_keep", "all_size")
+    found = F.col("run_keep").isNull() if keep == "smallest" else F.col("run_keep").isNotNull()  # a block without identifiers stays only if all are
+    met = blocks.groupBy("sha", "body").agg(pick("run_keep").alias("all_keep"), F.sum("run_size").alias("all_size"), pick(F.struct(found.alias("found"), "run_keep", "salt"))["salt"].alias("all_salt"))
+    return _runs(salted, parts, pick, keep == "largest", extra), met.select(F.col("sha").alias("split_sha"), "all_keep", "all_size", "all_salt")
 
 
 def groups(docs: DataFrame, form: str = "none", keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,5 +78,5 @@ def dedup(docs: DataFrame, form: str = "none", keep: str = "smallest", id_col: s
     told = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(*docs.columns).alias("row"))
     runs, met = _sorted(told, form, keep, "__id", "__text", ("row",))
     out = runs.filter(F.col("n") == 1).join(F.broadcast(met), F.col("split") & (F.col("sha") == F.col("split_sha")), "left")
-    # Copies with one identifier share a block, so one row at most is first in its block and has the identifier that all blocks keep.
-    return out.filter(~F.col("split") | F.col("id").eqNullSafe(F.col("all_keep"))).select("row.*")
+    # Of a text's blocks one keeps its first row.
+    return out.filter(~F.col("split") | (F.col("salt") == F.col("all_salt"))).select("row.*")
