@@ -2,8 +2,8 @@
 
 Every document gets whole copies that are certain, and odds for one copy more.  Odds follow a weight for the document's length class, scaled in each
 source so that the expected words equal the source's target.  Documents are then ranked by Q = [u / (1 - u)] / [p / (1 - p)], with u a uniform number
-from a hash of the identifier and p the inclusion probability, and the ranking is cut where the words left to take are used up: a sample of fixed
-size in words.  The cut is found by histograms over Q, never by one ordered scan of a source.
+from a hash of identifier, text and, for rows equal in both, a running number, and p the inclusion probability, and the ranking is cut where the words left
+to take are used up: a sample of fixed size in words.  The cut is found by histograms over Q, never by one ordered scan of a source.
 """
 
 from __future__ import annotations
@@ -52,12 +52,44 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return capped.withColumn("line", level).select("source", "source_size", F.coalesce(F.least(cap, F.col("line") * F.col("weight")), cap).alias("target"))
 
 
-def uniform(key: Column, seed: str = "") -> Column:
-    """A number in (0, 1) from the first 52 bits of an MD5 digest."""
-    head = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("double")
+def digest(seed: str = "") -> Column:
+    """What the chance of a row is drawn from: its identifier, its text's hash and its number among rows equal in these."""
+    return F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("h").cast("string"), F.col("copy").cast("string")).cast("binary"))
+
+
+def uniform(digest: Column) -> Column:
+    """A number in (0, 1) from the first 52 bits of a digest."""
+    head = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
     return (head + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def _told(docs: DataFrame, id_col: str, text_col: str, source_col: str, *extra: Column) -> DataFrame:
+    """``doc_id, source, size, h`` (60 bits of the text's digest) and extra columns."""
+    h = F.conv(F.substring(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), h.alias("h"), *extra)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``copy``, the number from 0 of a row among those of one source, identifier and text.
+
+    Such rows are numbered within the partitions that they lie in, after the rows of partitions before, so that a group of any size is never in one task.
+    """
+    keys = ["source", "doc_id", "h"]
+    again = written(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*[F.col(k).alias(f"__{k}") for k in keys]), "mix-again")
+    if again.isEmpty():
+        return rows.withColumn("copy", F.lit(0))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    placed = rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    repeated = written(placed.join(again, on, "left_semi"), "mix-repeated")
+    of_part = Window.partitionBy(*keys, "__part")
+    counts = repeated.groupBy(*keys, "__part").agg(F.count("*").alias("n"))  # a row for each key and partition at most
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("__part")) - F.col("n")
+    counts = counts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p"), before.alias("before"))
+    inside = repeated.withColumn("inside", F.row_number().over(of_part.orderBy("__at")) - 1).join(counts, [*on, F.col("__part") == F.col("__p")])
+    numbered = inside.select(*rows.columns, (F.col("before") + F.col("inside")).cast("int").alias("copy"))
+    return written(rows.join(again, on, "left_anti").withColumn("copy", F.lit(0)).unionByName(numbered), "mix-numbered")
+
+
 def _class() -> Column:
     """Floor of log2(size + 1), at most TOP_CLASS."""
     return F.least(F.length(F.bin(F.col("size") + 1)) - 1, F.lit(TOP_CLASS)).cast("int")
@@ -124,7 +156,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = "", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
         self.cols, self.seed = (id_col, text_col, source_col), seed
-        sized = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")), "mix-sizes")
+        sized = _numbered(written(_told(docs, id_col, text_col, source_col), "mix-sizes"))
         self.sized = sized
         # At most TOP_CLASS + 1 rows per source.
         by_class = written(sized.withColumn("class", _class()).groupBy("source", "class").agg(F.sum("size").alias("words")), "mix-classes")
@@ -136,7 +168,7 @@ class Mix:
         self.rates = written(out.select("source", "class", "source_size", "target", "copies", (F.floor("copies") * F.col("words")).cast("long").alias("sure")), "mix-rates")
         # Words to take by sampling, rounded to the nearest.
         room = self.rates.groupBy("source").agg(F.floor(F.max("target") + F.lit(0.5)).cast("long").alias("goal"), F.sum("sure").alias("sure")).select("source", (F.col("goal") - F.col("sure")).alias("room"))
-        pool = self._ranked(sized).filter((F.col("key") < 1) & (F.col("size") > 0)).select("source", "key", F.coalesce("doc_id", F.lit(0)).alias("tie"), "size")
+        pool = self._ranked(sized).filter((F.col("key") < 1) & (F.col("size") > 0)).select("source", "key", "tie", "size")
         self.cuts = [written(_threshold(pool, room, self._small), "mix-cut")]
         for _ in range(FILLS - 1):
             prev = self.cuts[-1].select(F.col("source").alias("s0"), F.col("k").alias("k0"), F.col("t").alias("t0"), "left")
@@ -147,17 +179,18 @@ class Mix:
         return F.broadcast(df) if self.few else df
 
     def _ranked(self, sized: DataFrame) -> DataFrame:
-        """Adds class, the source's figures, whole copies and the rank key in [0, 1); key 2 where no odds are left."""
+        """Adds class, the source's figures, whole copies and the rank: key in [0, 1), 2 where no odds are left, and tie."""
         r = self.rates.select(F.col("source").alias("rs"), F.col("class").alias("rc"), "source_size", "target", "copies")
         out = sized.withColumn("class", _class()).join(self._small(r), F.col("source").eqNullSafe(F.col("rs")) & (F.col("class") == F.col("rc")), "left").drop("rs", "rc")
-        u, p = uniform(F.col("doc_id"), self.seed), F.col("copies") - F.floor("copies")
+        out = out.withColumn("digest", digest(self.seed)).withColumn("tie", F.conv(F.substring("digest", 14, 15), 16, 10).cast("long"))
+        u, p = uniform(F.col("digest")), F.col("copies") - F.floor("copies")
         q = (u / (F.lit(1.0) - u)) / (p / (F.lit(1.0) - p))
         return out.withColumn("q", F.when(p > 0, q)).withColumn("key", F.when(F.col("q").isNotNull(), F.least(F.col("q") / (F.lit(1.0) + F.col("q")), F.lit(1 - 2.0**-53))).otherwise(F.lit(2.0)))
 
     def copies_of(self, sized: DataFrame) -> DataFrame:
-        """Adds ``source_size, target, taken_copies`` to rows with ``doc_id, source, size``."""
+        """Adds ``source_size, target, taken_copies`` to rows with ``doc_id, source, size, h, copy``."""
         out = self._ranked(sized)
-        tie, extra = F.coalesce("doc_id", F.lit(0)), F.lit(False)
+        tie, extra = F.col("tie"), F.lit(False)
         for i, c in enumerate(self.cuts):
             out = out.join(self._small(c.select(F.col("source").alias(f"s{i}"), F.col("k").alias(f"k{i}"), F.col("t").alias(f"t{i}"), F.col("left").alias(f"left{i}"))), F.col("source").eqNullSafe(F.col(f"s{i}")), "left")
             inside = ~_after(F.col("key"), tie, F.col(f"k{i}"), F.col(f"t{i}"))
@@ -166,12 +199,12 @@ class Mix:
             extra |= inside
         drop = [f"{x}{i}" for x in ("s", "k", "t", "left") for i in range(len(self.cuts))]
         taken = F.floor(F.coalesce("copies", F.lit(0.0))) + F.when((F.col("key") < 1) & (F.col("size") > 0) & extra, 1).otherwise(0)
-        return out.withColumn("taken_copies", taken.cast("int")).drop(*drop, "class", "copies", "q", "key")
+        return out.withColumn("taken_copies", taken.cast("int")).drop(*drop, "class", "copies", "q", "key", "digest", "tie")
 
     def repeated(self, docs: DataFrame) -> DataFrame:
         """The documents themselves, each as often as the mix takes it."""
         id_col, text_col, source_col = self.cols
-        sized = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
+        sized = _numbered(_told(docs, id_col, text_col, source_col, F.struct(*docs.columns).alias("row")))
         out = self.copies_of(sized).filter("taken_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("taken_copies"))))
         return out.select("row.*")
 
@@ -181,10 +214,11 @@ def _after(key: Column, tie: Column, k: Column, t: Column) -> Column:
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row of docs; see Mix for the keywords.
+    """``doc_id, size, source_size, target, taken, source`` for every row of docs; see Mix for the keywords.
 
-    Null text has size 0; a null source is a source of its own, last in order.  Rows that share an identifier share their random number.  Sources
-    without words have target 0.  An empty table gives no rows.
+    Null text has size 0; a null source is a source of its own, last in order.  Rows that share an identifier, or have none, are drawn each by itself; of
+    rows equal in identifier, source and text it doesn't matter which is taken.  Sources without words have target 0.  An empty table gives no rows.
+    Other columns are ignored.
     """
     made = Mix(docs, **kw)
-    return made.copies_of(made.sized).select("doc_id", "source", "size", "source_size", "target", (F.col("taken_copies") * F.col("size")).cast("long").alias("taken"))
+    return made.copies_of(made.sized).select("doc_id", "size", "source_size", "target", (F.col("taken_copies") * F.col("size")).cast("long").alias("taken"), "source")
