@@ -1,14 +1,16 @@
 """Exact top-k inner products of integer vectors, over blocks of norm-sorted vectors.
 
-Vectors become integers, floor(scale * x), and are sorted by descending length into blocks.  Each block is stored rotated by the axes of a singular value
-decomposition, so the first coordinates carry most of an inner product.  A query goes through a block from the longest vector on and stops where
-|query| * |vector| falls below its k-th best score; of the others, the partial sum over the first coordinates plus the Cauchy-Schwarz bound on the rest
-drops most.  What remains is scored exactly in integers.  Every block of queries first meets the block of the longest vectors, which sets the level that
-all other blocks begin with.
+Vectors become integers, floor(scale * x), and are sorted by descending length into blocks.  An inner product is split by the leading axes of a singular
+value decomposition: a partial sum over these plus the Cauchy-Schwarz bound on the lengths of what they leave over.  Every block of queries first meets the
+block of the longest vectors, which sets each query's level, its k-th best score so far.  Queries are then dealt anew by level / |query|, the length that
+a vector must have to matter, and a block travels only to blocks of queries of which one needs no more than its longest vector.  There a query goes through
+the vectors from the longest on, stops where |query| * |vector| falls below its level, drops others by the bound, and scores what remains exactly in
+integers, whatever their size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +18,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import n_partitions, prepare, written
 
-#: Factor of the integers; results; vectors of a block and queries of a block; vectors that the rotation is fitted on; coordinates of the partial sum.
-SCALE, TOP, BLOCK, QUERIES, FITTED, HEAD = 256, 5, 4096, 1024, 20_000, 16
-#: Integers up to this size have exact products and sums in doubles at any usual number of dimensions; beyond it Python's own integers are used.
+#: Factor of the integers; results; vectors of a block and queries of a block; coordinates of the partial sum.
+SCALE, TOP, BLOCK, QUERIES, HEAD = 256, 5, 4096, 1024, 16
+#: Vectors and components that the axes of one number of dimensions are fitted on at most; any axes give right results.
+FITTED, FITTED_VALUES = 20_000, 1 << 24
+#: Integers up to this size have exact products and sums in doubles at any usual number of dimensions; beyond it doubles bound and Python's integers score.
 SAFE = 1 << 20
+#: Numbers of dimensions up to which the first blocks, one for each, are broadcast; more travel by key.
+FEW_DIMS = 16
+#: Blocks of queries that one copy of a block of vectors meets.
+TOGETHER = 16
 
 
 def usable(vec: Column) -> Column:
@@ -32,13 +40,30 @@ def usable(vec: Column) -> Column:
 
 def _ints(flat: np.ndarray, dims: int, scale: int) -> np.ndarray:
     """Rows of integers: doubles while they are exact, else objects."""
-    x = np.floor(scale * flat.astype(np.float64)).reshape(-1, dims)
-    return x if not x.size or np.abs(x).max() <= SAFE else np.array([[int(v) for v in row] for row in x], object).reshape(-1, dims)
+    x = flat.astype(np.float64).reshape(-1, dims)
+    if not x.size or np.abs(x).max() <= SAFE / scale:
+        return np.floor(scale * x)
+    return np.array([[math.floor(scale * v) if abs(v) < 1 << 40 else scale * int(v) for v in row] for row in x.tolist()], object).reshape(-1, dims)
+
+
+def _doubles(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """Doubles near x / 2**shift, off by one unit at most where x was shifted."""
+    if x.dtype != object:
+        return x, 0
+    shift = max(0, max((abs(v).bit_length() for v in x.flat), default=0) - 400)
+    return np.array([float(v >> shift) for v in x.flat]).reshape(x.shape), shift
 
 
 def _axes(rows: np.ndarray) -> np.ndarray:
-    """Orthogonal axes, those with the largest share first; any orthogonal matrix keeps inner products, so the fit only decides how much is pruned."""
-    return np.linalg.svd(rows.T @ rows)[0]
+    """The leading orthonormal axes; they decide how much is pruned, never a result."""
+    size = np.abs(rows).max(initial=0)
+    rows = rows / size if size else rows
+    if rows.shape[1] <= 1024:
+        return np.linalg.svd(rows.T @ rows)[0][:, :HEAD]
+    q = np.linalg.qr(np.random.default_rng(1).normal(size=(rows.shape[1], HEAD)))[0]
+    for _ in range(6):  # subspace iteration: no square matrix of the dimensions
+        q = np.linalg.qr(rows.T @ (rows @ q))[0]
+    return q
 
 
 def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, axes: np.ndarray, k: int, level: np.ndarray) -> list[tuple[int, int, int]]:
@@ -46,132 +71,136 @@ def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, axe
     out: list[tuple[int, int, int]] = []
     if not len(x) or not len(q):
         return out
-    exact = x.dtype != object and q.dtype != object
-    if not exact:
-        q, x = q.astype(object), x.astype(object)
-        products = q @ x.T
-        for i, name in enumerate(q_ids.tolist()):
-            found = sorted(((-int(products[i, j]), int(x_ids[j])) for j in range(len(x)) if x_ids[j] != name))[:k]
-            out += [(name, v, max(min(-s, (1 << 63) - 1), -(1 << 63))) for s, v in found]
-        return out
-    head = min(HEAD, x.shape[1])
-    qr, xr = q @ axes, x @ axes
-    q_len, x_len = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
-    q_rest, x_rest = np.sqrt((qr[:, head:] ** 2).sum(1)), np.sqrt((xr[:, head:] ** 2).sum(1))
-    slack = 1e-7 * (q_len * float(x_len[0]) + 1)  # far over what rounding in the rotation makes
-    level = level.astype(np.float64).copy()
-    top_s, top_v = [np.zeros(0)] * len(q), [np.zeros(0, np.int64)] * len(q)
+    (qf, qs), (xf, xs) = _doubles(q), _doubles(x)
+    unit = 2.0 ** -(qs + xs)
+    qr, xr = qf @ axes, xf @ axes
+    q_sq, x_sq = (qf * qf).sum(1), (xf * xf).sum(1)
+    q_len, x_len = np.sqrt(q_sq), np.sqrt(x_sq)
+    q_rest, x_rest = np.sqrt(np.maximum(q_sq - (qr * qr).sum(1), 0)), np.sqrt(np.maximum(x_sq - (xr * xr).sum(1), 0))
+    # Far over what rounding makes, and over a unit in each component where integers were shifted.
+    slack = 1e-6 * (q_len * float(x_len.max()) + 1) + ((qs > 0) + (xs > 0)) * np.sqrt(x.shape[1]) * (q_len + float(x_len.max()) + x.shape[1])
+    floor = np.where(level <= -(2.0**63), -np.inf, level * unit)
+    exact = object in (q.dtype, x.dtype)
+    if exact:
+        q, x = (v if v.dtype == object else np.array([[int(c) for c in row] for row in v.tolist()], object).reshape(v.shape) for v in (q, x))
+    top: list[list[tuple[int, int]]] = [[] for _ in q_ids]
     step = 512
     for lo in range(0, len(x), step):
-        live = np.flatnonzero(q_len * x_len[lo] + slack >= level)
+        live = np.flatnonzero(q_len * x_len[lo:].max() + slack >= floor)
         if not len(live):
             break
         hi = min(lo + step, len(x))
-        bound = qr[live, :head] @ xr[lo:hi, :head].T + np.outer(q_rest[live], x_rest[lo:hi])
+        bound = qr[live] @ xr[lo:hi].T + np.outer(q_rest[live], x_rest[lo:hi])
         for i, row in zip(live.tolist(), bound, strict=True):
-            at = lo + np.flatnonzero(row + slack[i] >= level[i])
+            at = lo + np.flatnonzero(row + slack[i] >= floor[i])
             at = at[x_ids[at] != q_ids[i]]
             if len(at):
-                s, v = np.concatenate([top_s[i], x[at] @ q[i]]), np.concatenate([top_v[i], x_ids[at]])
-                order = np.lexsort((v, -s))[:k]
-                top_s[i], top_v[i] = s[order], v[order]
-                if len(order) == k:
-                    level[i] = max(level[i], s[order[-1]])
-    for name, s, v in zip(q_ids.tolist(), top_s, top_v, strict=True):
-        out += [(name, int(b), int(a)) for a, b in zip(s, v, strict=True)]
+                s = x[at] @ q[i]
+                if len(at) > 4 * k and not exact:
+                    keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                    at, s = at[keep], s[keep]
+                top[i] = sorted([*top[i], *((-int(a), int(b)) for a, b in zip(s, x_ids[at], strict=True))])[:k]
+                if len(top[i]) == k:
+                    floor[i] = max(floor[i], float(-top[i][-1][0] >> (qs + xs)) if exact else -top[i][-1][0])
+    for name, found in zip(q_ids.tolist(), top, strict=True):
+        out += [(name, v, max(min(-s, (1 << 63) - 1), -(1 << 63))) for s, v in found]
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (dims, id, vector) to blocks (dims, longest, ids, values), cut where dims change."""
-    dims, ids, rows = None, [], []
+def _blocks(batches: Iterator[pa.RecordBatch], size: int, scale: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (dims, id, need, level, vector) to blocks, cut where dims change: the longest vector, the least need, identifiers, levels and values."""
+    dims, ids, needs, levels, rows = None, [], [], [], []
 
     def made() -> pa.RecordBatch:
         x = np.concatenate(rows) if dims else np.zeros(0)
-        longest = float(np.sqrt((np.floor(SCALE * x[:dims]) ** 2).sum())) if dims else 0.0
-        return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([longest]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary())], ["dims", "longest", "ids", "vectors"])
+        with np.errstate(over="ignore"):
+            longest = float(np.sqrt((np.floor(scale * x.reshape(len(ids), -1)) ** 2).sum(1)).max()) if dims else 0.0
+        return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([longest]), pa.array([min(needs)]), *(pa.array([np.array(v, kind).tobytes()], pa.binary()) for v, kind in ((ids, "<i8"), (levels, "<f8"), (x, "<f8")))], ["dims", "longest", "need", "ids", "levels", "vectors"])
 
     for b in batches:
-        for d, name, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+        for d, name, need, level, v in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
             if ids and (d != dims or len(ids) >= size):
                 yield made()
-                ids, rows = [], []
+                ids, needs, levels, rows = [], [], [], []
             dims = d
             ids.append(name)
+            needs.append(-math.inf if need is None else need)
+            levels.append(-math.inf if level is None else level)
             rows.append(np.asarray(v.values, np.float64))
     if ids:
         yield made()
 
 
+_BLOCKS = "dims int, longest double, need double, ids binary, levels binary, vectors binary"
+
+
 def _scored(batches: Iterator[pa.RecordBatch], axes: dict[int, np.ndarray], scale: int, k: int) -> Iterator[pa.RecordBatch]:
     """dims, q_ids, q_vectors, levels, x_ids, x_vectors to query_id, vec_id, score."""
     for b in batches:
         for d, qi, qv, lv, xi, xv in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             q_ids, x_ids = np.frombuffer(qi, "<i8"), np.frombuffer(xi, "<i8")
             q, x = (_ints(np.frombuffer(v, "<f8"), d, scale) if d else np.zeros((len(n), 0)) for v, n in ((qv, q_ids), (xv, x_ids)))
-            level = np.full(len(q_ids), -np.inf)
-            if lv is not None:
-                known = dict(zip(*(np.frombuffer(lv, "<i8").reshape(2, -1).tolist()), strict=True))
-                level = np.array([known.get(n, -np.inf) for n in q_ids.tolist()], np.float64)
             rot = axes.get(d)
-            found = best(q, q_ids, x, x_ids, np.eye(d) if rot is None else rot, k, level)
+            found = best(q, q_ids, x, x_ids, np.eye(d)[:, :HEAD] if rot is None else rot, k, np.frombuffer(lv, "<f8"))
             cols = list(zip(*found, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, per_block: int = QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of queries the k rows of vectors with the highest integer inner product, but for its own id.
 
     Ties go to the smaller id.  Rows whose id or vector is null, or holds a null or non-finite component, take no part; vectors are compared with those
-    of the same number of dimensions only.  Rows of vectors that repeat an id count each; queries that repeat one are one query.  Scores beyond 64 bits are cut to the nearest long.
+    of the same number of dimensions only.  Rows of vectors that repeat an id count each; queries that repeat one id and vector are one query, those that
+    repeat an id with other vectors share one ranking of all that they find.  Scores beyond 64 bits are cut to the nearest long.
     """
-    spark = prepare(vectors.sparkSession)
+    prepare(vectors.sparkSession)
     told = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("dims", F.size("v"))
-    squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.floor(x * scale).cast("double") * F.floor(x * scale).cast("double"))
-    base = told(vectors)
-    schema = "dims int, longest double, ids binary, vectors binary"
-    # The id breaks ties of equal vectors, so copies of one vector don't meet in one partition.
-    rows = base.select("dims", (-squared).alias("by"), "id", "v").repartitionByRange(max(1, -(-base.count() // block)), "dims", "by", "id")
-    rows = rows.sortWithinPartitions("dims", "by", "id").select("dims", "id", "v")
-    blocks = written(rows.mapInArrow(lambda it: _blocks(it, block), schema).withColumn("block", F.monotonically_increasing_id()), "topk-blocks")
-    once = told(queries).select("dims", "id", "v").distinct()
-    once = once.repartitionByRange(max(1, -(-once.count() // QUERIES)), "dims", "id").sortWithinPartitions("dims", "id")
-    asked = written(once.mapInArrow(lambda it: _blocks(it, QUERIES), schema).withColumn("asked", F.monotonically_increasing_id()), "topk-queries")
-    # A matrix of axes for each number of dimensions, from a bounded sample of the rows in order of a hash.
-    sample = base.filter("dims between 2 and 4096").select("dims", "v", F.xxhash64("id").alias("h")).orderBy("h").limit(FITTED).select("dims", "v").toArrow().to_pandas()
-    axes = {int(d): _axes(np.floor(scale * np.stack(g["v"].to_numpy()))) for d, g in sample.groupby("dims")}
-    longest = F.struct("longest", (-F.col("block")).alias("first"))
-    first = written(blocks.groupBy("dims").agg(F.max_by("block", longest).alias("block")), "topk-first")
-
-    def scored(of_blocks: DataFrame, levels: DataFrame | None) -> DataFrame:
-        """Pairs of blocks are made from their names alone, over as many keys as the shuffle has; then vectors of queries travel, blocks stay."""
-        keys = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        names = asked.select(F.col("dims").alias("d"), "asked", F.explode(F.sequence(F.lit(0), F.lit(keys - 1))).alias("key"))
-        at = of_blocks.select("dims", "block", F.pmod(F.xxhash64("block"), F.lit(keys)).cast("int").alias("at"))
-        pairs = at.join(names, (F.col("dims") == F.col("d")) & (F.col("at") == F.col("key"))).select("asked", "block")
-        data = asked.select("asked", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-        data = data.join(levels, "asked", "left") if levels is not None else data.withColumn("level", F.lit(None).cast("binary"))
-        out = pairs.join(data, "asked").join(blocks, "block").select("dims", "q_ids", "q_vectors", "level", "ids", "vectors")
-        return out.mapInArrow(lambda it: _scored(it, axes, scale, k), "query_id long, vec_id long, score long")
-
-    begun = written(scored(blocks.join(first.select("block"), "block", "left_semi"), None), "topk-begun")
-    # The k-th score of each query so far goes with its block of queries.
-    got = begun.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("level")).filter(F.col("n") == k)
-    packed = asked.select("asked", "ids").mapInArrow(_names, "asked long, query_id long").join(got, "query_id")
-    packed = packed.groupBy("asked").agg(F.collect_list(F.struct("query_id", "level")).alias("x")).mapInArrow(_levels, "asked long, level binary")
-    found = begun.unionByName(scored(blocks.join(first.select("block"), "block", "left_anti"), packed))
+    whole = lambda x: F.when(F.abs(x * scale) < float(1 << 52), F.floor(x * scale).cast("double")).otherwise(x * scale)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + whole(x) * whole(x)))
+    none = F.lit(None).cast("double")
+
+    def in_blocks(rows: DataFrame, by: Column, size: int, name: str, n: int) -> DataFrame:
+        # The id breaks ties of equal vectors, so copies of one vector don't meet in one partition.
+        dealt = rows.withColumn("by", by).repartitionByRange(max(1, -(-n // size)), "dims", "by", "id").sortWithinPartitions("dims", "by", "id")
+        return written(dealt.select("dims", "id", "need", "level", "v").mapInArrow(lambda it: _blocks(it, size, scale), _BLOCKS).withColumn("block", F.monotonically_increasing_id()), name)
+
+    base, once = told(vectors), told(queries).select("dims", "id", "v").distinct()
+    blocks = in_blocks(base.withColumn("need", none).withColumn("level", none), -length, block, "topk-blocks", base.count())
+    asks = once.count()
+    asked = in_blocks(once.withColumn("need", none).withColumn("level", none), F.col("id"), per_block, "topk-queries", asks)
+    # Axes for each number of dimensions, from a bounded sample of the rows in order of a hash.
+    sized = base.select("dims", "v", F.xxhash64("id").alias("h")).filter(F.col("dims") >= 2)
+    room = F.greatest(F.lit(1), F.least(F.lit(FITTED), F.floor(F.lit(FITTED_VALUES) / F.col("dims"))))
+    sample = sized.orderBy("h").limit(FITTED).withColumn("at", F.row_number().over(Window.partitionBy("dims").orderBy("h"))).filter(F.col("at") <= room).select("dims", "v").toArrow().to_pandas()
+    axes = {int(d): _axes(np.stack(g["v"].to_numpy())) for d, g in sample.groupby("dims")}
+    first = written(blocks.groupBy("dims").agg(F.max_by("block", F.struct("longest", (-F.col("block")).alias("first"))).alias("block")), "topk-first")
+    few = first.count() <= FEW_DIMS
+    found_schema = "query_id long, vec_id long, score long"
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return rows.select("dims", "q_ids", "q_vectors", "q_levels", "ids", "vectors").mapInArrow(lambda it: _scored(it, axes, scale, k), found_schema)
+
+    of_queries = lambda df: df.select(F.col("dims").alias("d"), F.col("need").alias("needed"), F.col("ids").alias("q_ids"), F.col("levels").alias("q_levels"), F.col("vectors").alias("q_vectors"), F.col("block").alias("asked"))
+    # The longest block of each number of dimensions: at most FEW_DIMS of them are broadcast, so blocks of queries stay where they are.
+    longest = blocks.join(first.select("block"), "block", "left_semi")
+    begun = written(scored(of_queries(asked).join(F.broadcast(longest) if few else longest, F.col("d") == F.col("dims"))), "topk-begun")
+    got = begun.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("level")).filter(F.col("n") == k).select(F.col("query_id").alias("id"), "level")
+    # An id with several vectors or dimensions has no level of its own.
+    one = once.groupBy("id").agg(F.count("*").alias("n")).filter("n = 1").select("id")
+    known = once.join(got.join(one, "id"), "id", "left").withColumn("length", length)
+    # A vector matters only if |query| * |vector| reaches the level; what rounding could make is taken off.
+    known = known.withColumn("need", F.when(F.col("length") > 0, F.col("level") / F.col("length")).when(F.col("level") > 0, F.lit(float("inf"))))
+    known = known.withColumn("need", F.col("need") - F.abs("need") * 1e-9 - 1e-9)
+    again = in_blocks(known, F.coalesce("need", F.lit(float("-inf"))), per_block, "topk-asked", asks)
+    # Pairs of blocks by their lengths and needs alone; each copy of a block meets a bounded number of blocks of queries.
+    keys = n_partitions(vectors.sparkSession)
+    names = again.select(F.col("dims").alias("d"), F.col("need").alias("needed"), F.col("block").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(keys - 1))).alias("key"))
+    rest = blocks.join(first.select("block"), "block", "left_anti")
+    at = rest.select("dims", "longest", "block", F.pmod(F.xxhash64("block"), F.lit(keys)).cast("int").alias("at"))
+    near = (F.col("dims") == F.col("d")) & (F.col("at") == F.col("key")) & (F.col("longest") >= F.col("needed"))
+    pairs = written(at.join(names, near).select("block", "asked", F.pmod(F.xxhash64("asked"), F.lit(max(1, asks // per_block // TOGETHER))).alias("copy")), "topk-pairs")
+    copies = pairs.select("block", "copy").distinct().join(rest, "block")
+    met = pairs.join(of_queries(again).drop("d", "needed"), "asked").join(copies, ["block", "copy"])
+    found = begun.unionByName(scored(met))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for asked, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            names = np.unique(np.frombuffer(ids, "<i8"))
-            yield pa.RecordBatch.from_arrays([pa.array([asked] * len(names), pa.int64()), pa.array(names, pa.int64())], ["asked", "query_id"])
-
-
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = [np.array([[x["query_id"] for x in xs], [x["level"] for x in xs]], "<i8").tobytes() for xs in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["asked", "level"])
