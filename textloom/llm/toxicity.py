@@ -2,7 +2,8 @@
 
 A logistic model over hashed counts of distinct words and word beginnings is fitted on labelled documents.  For every labelled sentence that names a group
 of people, a counterfactual sentence names another group of the same kind; the loss penalises the squared change of the score, so that naming a group is
-no evidence.  Whole texts are scored.
+no evidence.  Both sides of a swap are told by the features that the model has, so a group that it knows can't lend its weight to one that it doesn't.
+Whole texts are scored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, written
 from .linear import fit
 
 #: Labelled documents that are read at most, in order of a hash of their identifiers; a documented bound of the fit, not of the scoring.
@@ -78,7 +79,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prepared(batches: Iterator[pa.RecordBatch], kept: np.ndarray, terms) -> Iterator[pa.RecordBatch]:
-    """label, text to label, kept buckets of all distinct words, and buckets lost and gained by swaps, a pair of lists per sentence that names a group."""
+    """label, text to label, kept buckets of all distinct words, and kept buckets lost and gained by swaps, a pair of lists per sentence that names a group."""
     named, keep = {a for kind in terms for a in kind}, np.zeros(DIMS, bool)
     keep[kept] = True
     for b in batches:
@@ -89,8 +90,9 @@ def _prepared(batches: Iterator[pa.RecordBatch], kept: np.ndarray, terms) -> Ite
             if not named.isdisjoint(all_words):
                 for s in _sentences(text):
                     if found := swapped(s, terms):
-                        lost.append(_buckets_of(found[0] - found[1]))
-                        gained.append(_buckets_of(found[1] - found[0]))
+                        before, after = _buckets_of(found[0] - found[1]), _buckets_of(found[1] - found[0])
+                        lost.append(before[keep[before]])
+                        gained.append(after[keep[after]])
             at = _buckets_of(all_words)
             rows.append((label, at[keep[at]], lost, gained))
         cols = list(zip(*rows, strict=True)) or [()] * 4
@@ -132,11 +134,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, fitted: int = FITTED, fair: float = FAIR) -> Model:
-    """Fit on labelled rows that aren't held out.  Null labels and identifiers are passed over; without both kinds of labels every score is the share."""
+    """Fit on labelled rows that aren't held out.  Null labels and identifiers are passed over; without both kinds of labels every score is the share.
+
+    An identifier that several documents have stands for the first of their texts in order, and one with both labels counts once with each.
+    """
     prepare(docs.sparkSession)
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h")).orderBy("h", "toxic").limit(fitted)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").select("toxic", "text")
+    sample = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "toxic").limit(fitted)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id")
+    rows = written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "toxicity-sample")
     counts = rows.mapInArrow(_counted, "bucket long, df long, hits long").groupBy("bucket").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits")).toArrow()
     total = rows.agg(F.count("*"), F.sum("toxic")).first()
     n, toxic = total[0], total[1] or 0
