@@ -5,12 +5,14 @@ entries of their own, known to all workers; the others share entries by hash, an
 Entries belong to classes by frequency, whose number grows with the square root of the vocabulary, the most frequent words each to a class of its own;
 log p(word | both sides) = log p(class | both sides), by the network, + log p(entry | class) + log p(word | entry), both by the corpus' counts.  The network
 predicts a group of classes, then the class within it.  It is trained in numpy from a sample of positions of all documents: each task masks a fixed share
-and descends on them from the weights of the last round, and the tasks' weights are averaged by what they have seen, in Spark.
+and descends on them from the weights of the last round, and the tasks' weights are averaged by what they have seen, in Spark.  Which positions are masked
+follows from the document alone.  Words become entries once, in a written table that training and scoring read.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -133,15 +135,38 @@ def start(counts: np.ndarray, classes: Classes) -> list[np.ndarray]:
     ]
 
 
-def _joined(texts: list[bytes | None], keys: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of the words of all texts, -1 for SIDE places around each text, and the number of words of each."""
+def _entries(texts: list[bytes | None], keys: np.ndarray, shared: int) -> list[np.ndarray]:
+    """Entries of the words of each text."""
     _buckets.use(keys, shared)
-    parts, sizes, gap = [np.full(SIDE, -1, np.int64)], [], np.full(SIDE, -1, np.int64)
-    for t in texts:
-        found = words(t)
-        sizes.append(len(found))
-        parts += [np.fromiter(map(_buckets.__getitem__, found), np.int64, len(found)), gap]
-    return np.concatenate(parts), np.array(sizes, np.int64)
+    return [np.fromiter(map(_buckets.__getitem__, w), np.int32, len(w)) for w in map(words, texts)]
+
+
+def _joined(entries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of all texts, -1 for SIDE places around each, and the number of words of each."""
+    gap = np.full(SIDE, -1, np.int32)
+    parts = [gap]
+    for x in entries:
+        parts += [x, gap]
+    return np.concatenate(parts).astype(np.int64), np.array([len(x) for x in entries], np.int64)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], keys: np.ndarray, shared: int) -> Iterator[pa.RecordBatch]:
+    """Identifier and text to identifier, entries, and hashes of the words that aren't known."""
+    claim(_buckets)
+    for b in batches:
+        texts = b.column(1).cast(pa.binary()).to_pylist()
+        entries, hashes = _entries(texts, keys, shared), []
+        for t, x in zip(texts, entries, strict=True):
+            at = np.flatnonzero(x >= len(keys)).tolist()
+            found = words(t) if at else []
+            hashes.append([word_hash(found[i]) for i in at])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("<i4").tobytes() for x in entries], pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "entries", "others"])
+
+
+def encode(docs: DataFrame, keys: np.ndarray, shared: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, entries, others`` for every row: 32-bit entries of all words in order, and hashes of those that aren't known."""
+    told = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return told.mapInArrow(lambda it: _encoded(it, keys, shared), "doc_id long, entries binary, others array<long>")
 
 
 def _context(cls: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -218,18 +243,23 @@ def descend(w: list[np.ndarray], cls: np.ndarray, at: np.ndarray, g2: list[np.nd
         step(3, ..., d.sum(0))
 
 
-def _trained(batches: Iterator[pa.RecordBatch], w: list[np.ndarray], of: np.ndarray, keys: np.ndarray, round_: int) -> Iterator[pa.RecordBatch]:
-    claim(_buckets)
+def masked(entries: list[np.ndarray], round_: int) -> np.ndarray:
+    """Which words of the texts are masked in a round: a share that follows from the text and the place in it, not from chance or the task."""
+    sizes = np.array([len(x) for x in entries], np.int64)
+    seed = np.repeat(np.array([zlib.crc32(x.tobytes()) for x in entries], np.uint64), sizes)
+    place = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)
+    key = (place * np.uint64(0x9E3779B97F4A7C15) + seed + np.uint64(round_ * 7919)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((key ^ (key >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(40)).astype(np.float64) < MASKED * (1 << 24)
+
+
+def _trained(batches: Iterator[pa.RecordBatch], w: list[np.ndarray], of: np.ndarray, round_: int) -> Iterator[pa.RecordBatch]:
     w, seen, g2 = [x.copy() for x in w], 0, [np.full_like(x, 1e-4) for x in w]
-    shared = len(of) - len(keys)
     of = np.append(of, w[0].shape[1] - 1)  # -1: beyond the text
     for b in batches:
-        joined, _ = _joined(b.column(0).cast(pa.binary()).to_pylist(), keys, shared)
-        cls, inside = of[joined], np.flatnonzero(joined >= 0)
-        # Which places are masked follows from place and word, not from chance.
-        key = (inside.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + joined[inside].astype(np.uint64) + np.uint64(round_ * 7919)) * np.uint64(0xBF58476D1CE4E5B9)
-        at = inside[(key >> np.uint64(40)).astype(np.float64) < MASKED * (1 << 24)]
-        descend(w, cls, at, g2)
+        entries = [np.frombuffer(x, "<i4") for x in b.column(0).to_pylist()]
+        joined, _ = _joined(entries)
+        at = np.flatnonzero(joined >= 0)[masked(entries, round_)]
+        descend(w, of[joined], at, g2)
         seen += len(at)
     if seen:
         flat = np.concatenate([x.ravel() for x in w]).astype(np.float64)
@@ -245,9 +275,9 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"others": None}  # a table stays with the driver
 
-    def places(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def places(self, entries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of words of each text; entry and log-probability of each word's entry, in order."""
-        joined, sizes = _joined(texts, self.keys, len(self.classes.of) - len(self.keys))
+        joined, sizes = _joined(entries)
         cls = np.append(self.classes.of, self.classes.n)[joined]
         at = np.flatnonzero(joined >= 0)
         lp = np.empty(len(at), np.float64)
@@ -258,7 +288,7 @@ class Model:
 
     def log_probs(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Number of words and summed log-probabilities of the words' entries, of each text."""
-        sizes, _, lp = self.places(texts)
+        sizes, _, lp = self.places(_entries(texts, self.keys, len(self.classes.of) - len(self.keys)))
         return sizes, np.bincount(np.repeat(np.arange(len(texts)), sizes), weights=lp, minlength=len(texts))
 
 
@@ -285,51 +315,44 @@ def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame | No
     return keys, counts, others, n_words
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
-    """Counts and network over all documents.  Without any words the model is the smoothed start."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """Counts and network over all documents, and the documents' entries, a written table for scored().  Without any words the model is the smoothed start.
+
+    Null and empty texts have no words; repeated rows count as often as they come; other columns are ignored.
+    """
     prepare(docs.sparkSession)
-    texts = docs.select(F.col(text_col).alias("text"))
-    keys, counts, others, n_words = vocabulary(texts)
+    keys, counts, others, n_words = vocabulary(docs.select(F.col(text_col).alias("text")))
     classes = Classes(counts, len(keys), n_classes(n_words))
+    made = written(encode(docs, keys, len(counts) - len(keys), id_col, text_col), "lm-entries")
     w = start(counts, classes)
     shapes = [x.shape for x in w]
     for r in range(rounds):
         of, now = classes.of, w
-        rows = texts.mapInArrow(lambda it, now=now, r=r: _trained(it, now, of, keys, r), "i long, w long, seen long")
+        rows = made.select("entries").mapInArrow(lambda it, now=now, r=r: _trained(it, now, of, r), "i long, w long, seen long")
         mean = rows.groupBy("i").agg(F.sum("w").alias("w"), F.sum("seen").alias("seen")).toPandas().sort_values("i")  # a row per weight
         if not len(mean):
             break
         flat = (mean["w"] * 1024 / FIXED / mean["seen"]).to_numpy(np.float32)
         at = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
         w = [flat[a:b].reshape(s) for a, b, s in zip(at, at[1:], shapes, strict=False)]
-    return Model(w, classes, keys, others)
+    return Model(w, classes, keys, others), made
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model, asks: bool) -> Iterator[pa.RecordBatch]:
-    """Counts and log-probabilities; words that aren't known count as unseen (a mass of one half) and are handed on by hash."""
-    claim(_buckets)
+def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Counts and log-probabilities; words that aren't known count as unseen (a mass of one half)."""
     known = len(model.keys)
     for b in batches:
-        texts = b.column(1).cast(pa.binary()).to_pylist()
-        n, entry, lp = model.places(texts)
+        n, entry, lp = model.places([np.frombuffer(x, "<i4") for x in b.column(1).to_pylist()])
         other = entry >= known
         lp[other] += np.log(0.5) - np.log(model.classes.mass[entry[other]])
-        total = np.bincount(np.repeat(np.arange(len(texts)), n), weights=lp, minlength=len(texts))
-        ends = np.cumsum(n)
-        hashes = []
-        for t, hi, size in zip(texts, ends.tolist(), n.tolist(), strict=True):
-            at = np.flatnonzero(other[hi - size : hi]).tolist() if asks else []
-            found = words(t) if at else []
-            hashes.append([word_hash(found[i]) for i in at])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total.astype(np.float64)), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "n_words", "log_prob", "others"])
+        total = np.bincount(np.repeat(np.arange(len(n)), n), weights=lp, minlength=len(n))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total.astype(np.float64)), b.column(2)], ["doc_id", "n_words", "log_prob", "others"])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, log_prob, mean_log_prob, perplexity`` for every row; texts without words have log_prob 0 and null means."""
-    prepare(docs.sparkSession)
-    asks = model.others is not None
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _scored(it, model, asks), "doc_id long, n_words long, log_prob double, others array<long>")
-    if asks:
+def scored(made: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, n_words, log_prob, mean_log_prob, perplexity`` for every row of encode(); texts without words have log_prob 0 and null means."""
+    out = made.mapInArrow(lambda it: _scored(it, model), "doc_id long, n_words long, log_prob double, others array<long>")
+    if model.others is not None:
         # Each word's own count in place of the half that _scored took; sums in fixed point, so that their order doesn't matter.
         rows = written(out.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
         own = model.others.select("h", F.rint(F.log(2 * F.col("n")) * FIXED * FIXED).cast("long").alias("x"))
@@ -338,3 +361,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     out = out.select("doc_id", "n_words", "log_prob")
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
     return out.withColumn("mean_log_prob", mean).withColumn("perplexity", F.exp(-F.col("mean_log_prob")))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """scored() of any documents, also such as the model has never seen."""
+    prepare(docs.sparkSession)
+    return scored(encode(docs, model.keys, len(model.classes.of) - len(model.keys), id_col, text_col), model)
