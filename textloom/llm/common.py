@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,8 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: Names of the tables in the shared folder that were made in each open call of a tidied function; the first list holds what results still read.
+_made: list[list[str]] = [[]]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    _made[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -59,6 +68,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, but tables in the shared folder that it made and its result doesn't read are deleted when it returns; cleanup() deletes the others."""
+
+    @functools.wraps(f)
+    def run(*args, **kw) -> DataFrame:
+        _made.append([])
+        out = None
+        try:
+            out = f(*args, **kw)
+        finally:
+            made = _made.pop()
+            read = {n for file in (out.inputFiles() if out is not None else []) for n in re.findall(r"[0-9a-f]{32}", file)}
+            _made[-1] += [p for p in made if p[-32:] in read]
+            if spark := SparkSession.getActiveSession():
+                _delete(spark, [p for p in made if p[-32:] not in read])
+        return out
+
+    return run
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables that results of this session read; call it when they have been used."""
+    _delete(spark, _made[0])
+    _made[0].clear()
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,7 +2,8 @@
 
 A store is a folder with two logs, one entry per batch: ``counts`` says what each changed document has since then, ``deltas`` holds the batch's signed sums
 per group.  Totals are the sum of all deltas.  A batch counts once its deltas are written; a batch whose name is already there changes nothing, and one
-that broke off is written anew, so commits can be repeated at will.
+that broke off is written anew, so commits can be repeated at will.  Every COMPACTED batches the counts are written anew as a snapshot, so a commit reads what
+documents have and a bounded number of batches, not the whole history.  A number is claimed by creating a file, so that two writers can't both take it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .tokens import encoder
 GROUP = ("source", "lang", "tokenizer")
 #: What a change may be: a document comes or is replaced, is taken away, or has its count revised.
 OPS = ("insert", "delete", "revise")
+#: Batches after which a snapshot is written.
+COMPACTED = 8
 
 
 class Store:
@@ -29,26 +32,59 @@ class Store:
     def _entry(self, log: str, number: int, batch: str) -> str:
         return f"{self.path}/{log}/{number:09d}-{batch}"
 
-    def batches(self) -> list[tuple[int, str]]:
-        """Committed batches in order: number and name."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/deltas")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _done(self, log: str) -> list[str]:
+        """Names of a log's whole entries."""
+        fs, root = self._fs(f"{self.path}/{log}")
         if not fs.exists(root):
             return []
         names = [s.getPath() for s in fs.listStatus(root)]
-        done = [p.getName() for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted((int(n[:9]), n[10:]) for n in done)
+        return [p.getName() for p in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+    def batches(self) -> list[tuple[int, str]]:
+        """Committed batches in order: number and name."""
+        return sorted((int(n[:9]), n[10:]) for n in self._done("deltas"))
+
+    def _claim(self, number: int, batch: str) -> None:
+        """Take a number for a batch; one that broke off can take it again, another can't."""
+        fs, at = self._fs(f"{self.path}/claims/{number:09d}")
+        try:
+            out = fs.create(at, False)
+        except Exception as e:
+            if not fs.exists(at):
+                raise
+            given = fs.open(at)
+            try:
+                owner = bytes(given.readNBytes(1 << 16)).decode()
+            finally:
+                given.close()
+            if owner != batch:
+                raise RuntimeError(f"batch {owner} has taken number {number} and isn't committed; repeat it, or remove {at.toString()} if it never will be") from e
+            return
+        out.write(bytearray(batch.encode()))
+        out.close()
 
     def counts(self) -> DataFrame | None:
         """Latest ``doc_id, tokenizer, source, lang, tokens`` of every document that is there; None before any batch."""
-        entries = [self._entry("counts", *b) for b in self.batches()]
-        if not entries:
+        known = self.batches()
+        if not known:
             return None
+        upto = max((int(n) for n in self._done("snapshots")), default=0)
+        entries = [self._entry("counts", *b) for b in known if b[0] > upto] + [f"{self.path}/snapshots/{upto:09d}"] * (upto > 0)
         log = self.spark.read.parquet(*entries).filter("doc_id IS NOT NULL")
         last = log.groupBy("doc_id", "tokenizer").agg(F.max_by(F.struct("source", "lang", "tokens", "there"), "number").alias("x"))
         return last.filter("x.there").select("doc_id", "tokenizer", "x.source", "x.lang", "x.tokens")
 
+    def compact(self) -> None:
+        """Write what all documents have as a snapshot; entries before it are no longer read."""
+        known, now = self.batches(), self.counts()
+        if now is not None:
+            rows = now.select("doc_id", "tokenizer", "source", "lang", "tokens", F.lit(True).alias("there"), F.lit(known[-1][0]).alias("number"))
+            rows.write.mode("overwrite").parquet(f"{self.path}/snapshots/{known[-1][0]:09d}")
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply ``op, doc_id, source, lang, tokenizer, tokens`` (and ``seq``, the order within the batch) once; False if the batch is there already.
 
@@ -62,6 +98,7 @@ class Store:
         if batch in {name for _, name in known}:
             return False
         number = known[-1][0] + 1 if known else 1
+        self._claim(number, batch)
         seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
         told = changes.select(
             F.when(F.col("op").isin(*OPS), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce("op", F.lit("null"))))).alias("op"),
@@ -81,6 +118,8 @@ class Store:
             signed = signed.unionByName(old.select(*GROUP, F.lit(-1).alias("docs"), (-F.col("tokens")).alias("tokens")))
         deltas = signed.groupBy(*GROUP).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").alias("tokens"))
         deltas.write.mode("overwrite").parquet(self._entry("deltas", number, batch))
+        if number % COMPACTED == 0:
+            self.compact()
         return True
 
     def totals(self) -> DataFrame:
@@ -101,7 +140,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, word_ends: bool) -> I
 def token_counts(docs: DataFrame, versions: dict[str, tuple[str, bool] | None]) -> DataFrame:
     """Insertions for every document and tokenizer version; a version is a vocabulary file and whether it marks ends of words, or None for plain words.
 
-    At most one version may be a vocabulary file in one call.
+    At most one version may be a vocabulary file in one call.  Null and empty texts have no tokens but are documents; null identifiers, sources and languages
+    stay null.  An empty table gives no changes; other columns are ignored.
     """
     files = [(k, v) for k, v in versions.items() if v]
     if len(files) > 1:
