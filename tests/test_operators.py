@@ -194,3 +194,47 @@ def test_results_do_not_depend_on_partitions(spark, data):
     a = B.bm25_topk(_items(spark, data), "item_id", "ts", B.build_index(_docs(spark, data), "doc_id", "ts"), 5)
     b = B.bm25_topk(_items(spark, data).repartition(7), "item_id", "ts", B.build_index(_docs(spark, data).repartition(13), "doc_id", "ts"), 5)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_draws_of_pairs_stay_in_their_query(spark):
+    rows = [(q, 100 * q + i, int(i < 3)) for q, n in ((1, 20), (2, 5), (3, 3)) for i in range(n)] + [(4, 401, 0)]
+    got = K.pairwise_samples(spark.createDataFrame(rows, "q long, i long, y int"), "q", "i", "y", 6, 10).collect()
+    sizes = {}
+    for r in got:
+        assert r.positive // 100 == r.negative // 100 == r.q and r.positive % 100 < 3 <= r.negative % 100
+        sizes.setdefault((r.q, r.positive, r.draw), []).append(r.negative)
+    assert all(len(set(v)) == len(v) == min(10, {1: 17, 2: 2}[q]) for (q, _, _), v in sizes.items()) and len(sizes) == 2 * 3 * 6
+
+
+def test_cooccurrence_records(spark, tmp_path):
+    x = np.array([(i, i + 1, i / 2) for i in range(1000)], io.RECORD)
+    x.tofile(tmp_path / "a.bin")
+    got = io.cooccurrences(spark, f"file://{tmp_path}/a.bin", size=64).orderBy("w1").collect()
+    assert [tuple(r) for r in got] == x.tolist()
+
+
+def test_vectors_of_one_component(spark, tmp_path):
+    (tmp_path / "v.txt").write_text("2 1\na 0.5\nb -1.0\n")
+    assert [(r.word, r.vector) for r in io.vectors(spark, f"file://{tmp_path}/v.txt").orderBy("word").collect()] == [("a", [0.5]), ("b", [-1.0])]
+
+
+def test_random_vectors_follow_from_the_word(spark):
+    words = spark.createDataFrame([("a",), ("a",), ("b",)], "word string")
+    got = E.fallback_lookup(words, "word", spark.createDataFrame([], "word string, vector array<double>"), None, dims=400).orderBy("word").collect()
+    a, again, b = (np.array(r.vector) for r in got)
+    assert (a == again).all() and (a != b).any() and abs(a.mean()) < 0.2 and abs(a.std() - 1) < 0.15
+
+
+def test_glove_modes():
+    import pandas as pd
+
+    v = pd.DataFrame({"rank": [1], "vector": [np.array([1.0, 2.0])], "context": [np.array([3.0, 4.0])], "bias": [5.0], "context_bias": [6.0]})
+    assert [E.glove_rows(v, m)["values"][0].tolist() for m in (0, 1, 2)] == [[1, 2, 5, 3, 4, 6], [1, 2], [4, 6]]
+
+
+def test_boosting_stops_early(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, float(rng.normal()), int(i % 2), i % 2 + 1, None if i % 5 else "no-content", 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, target int, cv int, journal string, year double")
+    out = L.boosted(df, L.Variant("v", drop=("year",), rows=L.FILTERED, rounds=12, depth=2), ["id"])
+    assert out.features == ["x"] and out.out_of_fold.count() == 200 and all(m.getNumTrees < 12 for m in out.models.values())

@@ -127,3 +127,12 @@ def key_sentences(text, mark: str = MARK, short: int = 3) -> Column:
 def pipe_array(text) -> Column:
     """Parts between '|'; none for null."""
     return F.coalesce(F.split(_c(text), r"\|"), F.array().cast("array<string>"))
+
+
+def truncate_utf8(text: str | Column, size: int = 1000) -> Column:
+    """The longest beginning that has at most so many bytes in UTF-8, without half characters."""
+    raw = F.encode(F.col(text) if isinstance(text, str) else text, "UTF-8")
+    cut = F.hex(F.substring(raw, 1, size))
+    # If the byte behind the cut continues a character, what the cut left of that character goes as well.
+    halved = F.hex(F.substring(raw, size + 1, 1)).rlike("^[89AB]")
+    return F.decode(F.unhex(F.when(halved, F.regexp_replace(cut, "[C-F][0-9A-F](?:[89AB][0-9A-F])*$", "")).otherwise(cut)), "UTF-8")

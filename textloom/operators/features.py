@@ -75,6 +75,11 @@ def stacked(pairs: DataFrame, models: dict[str, DataFrame], ids: Sequence[str],
     return reduce(lambda a, b: a.join(b, list(ids), "left"), parts, pairs)
 
 
+def deep_columns(df: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Identifiers and the columns of DEEP, in its order; those that are missing are null."""
+    return df.select(*ids, *[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in DEEP])
+
+
 def feature_vector(df: DataFrame, cols: Sequence[str], name: str = "features") -> DataFrame:
     """Adds an array of the columns as doubles, nulls as 0."""
     return df.withColumn(name, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]))

@@ -69,8 +69,15 @@ def listwise(df: DataFrame, query: str, item: str, pred: str, ks: Sequence[int]
 
 def pairwise_samples(pairs: DataFrame, query: str, item: str, label: str, positives: int = 6, negatives: int = 10, seed: int = 7) -> DataFrame:
     """``query, positive, negative, draw``: each positive up to ``positives`` times, each time with up to ``negatives`` negatives of its query at random."""
-    neg = pairs.filter(F.col(label) == 0).select(query, F.col(item).alias("negative"))
-    pos = pairs.filter(F.col(label) == 1).select(query, F.col(item).alias("positive"), F.explode(F.sequence(F.lit(1), F.lit(positives))).alias("draw"))
-    drawn = F.xxhash64(F.lit(seed), query, "positive", "draw", "negative")
-    w = Window.partitionBy(query, "positive", "draw").orderBy(drawn, "negative")
-    return pos.join(neg, query).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= negatives).drop("__n")
+    draws = F.explode(F.sequence(F.lit(1), F.lit(positives))).alias("draw")
+    # For each draw the query's negatives stand in an order by chance, and a positive takes so many in a row from a place by chance on: rows follow the
+    # result's size, never positives times negatives.
+    neg = pairs.filter(F.col(label) == 0).select(query, F.col(item).alias("negative"), draws)
+    order = Window.partitionBy(query, "draw").orderBy(F.xxhash64(F.lit(seed), query, "draw", "negative"), "negative")
+    neg = neg.withColumn("__at", F.row_number().over(order) - 1)
+    sizes = neg.filter("draw = 1").groupBy(query).agg(F.count("*").alias("__m"))
+    pos = pairs.filter(F.col(label) == 1).select(query, F.col(item).alias("positive"), draws).join(sizes, query)
+    start = F.pmod(F.xxhash64(F.lit(seed), query, "positive", "draw"), F.col("__m"))
+    places = F.sequence(F.lit(0), F.least(F.lit(negatives), F.col("__m")).cast("int") - 1)
+    pos = pos.withColumn("__from", start).withColumn("__k", F.explode(places)).withColumn("__at", F.pmod(F.col("__from") + F.col("__k"), F.col("__m")).cast("int"))
+    return pos.join(neg, [query, "draw", "__at"]).select(query, "positive", "draw", "negative")

@@ -125,3 +125,29 @@ def random_order(df: DataFrame, seed: int = 7, partitions: int | None = None) ->
     """Rows dealt out at random and shuffled within their partition."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.withColumn("__r", F.rand(seed)).repartition(n, "__r").sortWithinPartitions("__r").drop("__r")
+
+
+def row_label(df: DataFrame, col: str, mark: str, name: str = "label") -> DataFrame:
+    """Adds the value of a column with a mark behind it, such as one for the part that a row belongs to; null stays null."""
+    return df.withColumn(name, F.concat(F.col(col).cast("string"), F.lit(mark)))
+
+
+def tagged_union(parts: Mapping[str, DataFrame], tag: str = "part") -> DataFrame:
+    """All rows by name, nulls for columns that a part lacks, with the part's name, so that part_of() can tell them apart again."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn(tag, F.lit(name)) for name, df in parts.items()])
+
+
+def part_of(df: DataFrame, name: str, tag: str = "part") -> DataFrame:
+    """The rows that came from one part."""
+    return df.filter(F.col(tag) == name).drop(tag)
+
+
+def split_ids(col: str | Column, sep: str = ",") -> Column:
+    """Identifiers of a separated text as an array; an empty text has none, null stays null."""
+    text = F.col(col) if isinstance(col, str) else col
+    return F.filter(F.split(text, sep), lambda x: x != "")
+
+
+def as_list(col: str | Column) -> Column:
+    """A single value as an array of one; null gives an empty array."""
+    return F.array_compact(F.array(F.col(col) if isinstance(col, str) else col))

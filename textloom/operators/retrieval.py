@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,14 +46,38 @@ class Index:
     terms: DataFrame
     stats: DataFrame
     doc: str
+    tokens: DataFrame
+
+    def postings_of(self, some: DataFrame) -> DataFrame:
+        """Postings of the documents that some names only."""
+        return _postings(self.tokens.join(some.select(self.doc).distinct(), self.doc, "left_semi"), self.doc)
+
+    def postings_with(self, terms: DataFrame) -> DataFrame:
+        """Postings of the terms in a table of terms only; tokens are dropped before they are counted."""
+        kept = self.tokens.select(self.doc, F.size("t").alias("len"), F.explode("t").alias("term")).join(_small(terms.select("term").distinct()), "term", "left_semi")
+        return kept.groupBy(self.doc, "len", "term").agg(F.count("*").alias("tf"))
+
+
+#: Rows of a table of query terms up to which it is broadcast.
+FEW_TERMS = 200_000
+
+
+def _small(terms: DataFrame) -> DataFrame:
+    """Broadcast if it is counted to be small."""
+    return F.broadcast(terms) if terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS else terms
+
+
+def _postings(tokens: DataFrame, doc: str) -> DataFrame:
+    return tokens.select(doc, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(doc, "len", "term").agg(F.count("*").alias("tf"))
 
 
 def build_index(docs: DataFrame, doc: str, tokens: str) -> Index:
-    """Lengths ride along in the postings, so scoring needs no further join.  Postings are cached: statistics and scores read them again."""
-    clean = F.filter(F.col(tokens), lambda w: w != "")
-    bow = docs.select(doc, clean.alias("t")).select(doc, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(doc, "len", "term").agg(F.count("*").alias("tf")).cache()
+    """Lengths ride along in the postings, so scoring needs no further join.  Document frequencies come from each document's distinct terms, added up before
+    they travel; postings are made for the terms or documents that are asked for."""
+    clean = docs.select(doc, F.filter(F.col(tokens), lambda w: w != "").alias("t"))
+    df = clean.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(docs, tokens)
-    return Index(docs.select(doc), bow, bm25_idf(doc_freq(bow), stats), stats, doc)
+    return Index(docs.select(doc), _postings(clean, doc), bm25_idf(df, stats), stats, doc, clean)
 
 
 def weight(tf: Column, length: Column, mean_len: Column, idf: Column, k1: float = K1, b: float = B) -> Column:
@@ -66,7 +91,7 @@ def bm25_scores(queries: DataFrame, query: str, tokens: str, index: Index) -> Da
     """
     wanted = queries.select(query, F.explode(F.array_distinct(tokens)).alias("term"))
     terms = wanted.join(index.terms.select("term", "idf"), "term")
-    hits = index.postings.join(terms, "term").crossJoin(F.broadcast(index.stats.select("mean_len")))
+    hits = index.postings_with(wanted).join(terms, "term").crossJoin(F.broadcast(index.stats.select("mean_len")))
     scored = hits.withColumn("w", weight(F.col("tf"), F.col("len"), F.col("mean_len"), F.col("idf")))
     return scored.groupBy(query, index.doc).agg(F.round(F.sum("w"), PLACES).alias("score"))
 
@@ -88,21 +113,23 @@ def bm25_topk(queries: DataFrame, query: str, tokens: str, index: Index, k: int
     if lowest is not None and lowest <= 0:
         room += hit.filter("score <= 0").groupBy(query).count().agg(F.max("count")).first()[0] or 0
     places = index.docs.orderBy(doc).limit(room).select(doc)
-    fill = short.crossJoin(F.broadcast(places)).join(hit.select(query, doc), [query, doc], "left_anti").withColumn("score", F.lit(0.0))
+    fill = short.crossJoin(F.broadcast(places) if room <= FEW_TERMS else places).join(hit.select(query, doc), [query, doc], "left_anti").withColumn("score", F.lit(0.0))
     more = best.select(query, doc, "score").unionByName(fill)
     return more.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def bm25_pair_scores(pairs: DataFrame, query: str, tokens: Sequence[str], fields: dict[str, Index]) -> DataFrame:
     """Adds ``<tokens>_<field>_bm25_score`` to (query, doc, tokens...) pairs; 0 without shared terms.  Each field has its own statistics."""
+    kinds = [F.struct(F.lit(t).alias("kind"), F.array_distinct(t).alias("terms")) for t in tokens]
+    first = next(iter(fields.values()))
+    wanted = pairs.select(query, first.doc, F.explode(F.array(*kinds)).alias("x")).select(query, first.doc, "x.kind", F.explode("x.terms").alias("term")).distinct()
     out = pairs
-    for t in tokens:
-        for name, index in fields.items():
-            wanted = pairs.select(query, index.doc, F.explode(F.array_distinct(t)).alias("term")).distinct()
-            hits = wanted.join(index.postings, [index.doc, "term"]).join(index.terms.select("term", "idf"), "term").crossJoin(F.broadcast(index.stats.select("mean_len")))
-            col = f"{t}_{name}_bm25_score"
-            score = hits.groupBy(query, index.doc).agg(F.sum(weight(F.col("tf"), F.col("len"), F.col("mean_len"), F.col("idf"))).alias(col))
-            out = out.join(score, [query, index.doc], "left").withColumn(col, F.coalesce(col, F.lit(0.0)))
+    for name, index in fields.items():
+        hits = wanted.join(index.postings_of(pairs), [index.doc, "term"]).join(index.terms.select("term", "idf"), "term").crossJoin(F.broadcast(index.stats.select("mean_len")))
+        hits = hits.withColumn("w", weight(F.col("tf"), F.col("len"), F.col("mean_len"), F.col("idf")))
+        cols = {t: f"{t}_{name}_bm25_score" for t in tokens}
+        scores = hits.groupBy(query, index.doc).agg(*[F.sum(F.when(F.col("kind") == t, F.col("w"))).alias(c) for t, c in cols.items()])
+        out = out.join(scores, [query, index.doc], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in cols.values()})
     return out
 
 
@@ -113,11 +140,19 @@ def tfidf(bow: DataFrame, df: DataFrame, stats: DataFrame, doc: str) -> DataFram
     return raw.join(norm, doc).select(doc, "term", (F.col("x") / F.col("norm")).alias("w"))
 
 
-def distances(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, prefix: str) -> DataFrame:
+def distance_summary(df: DataFrame, parts: Sequence[str], name: str) -> DataFrame:
+    """Adds ``{max,min,sum}_<name>`` of columns; a sum takes what is below 0 as 0, and a null among them makes all three null."""
+    some = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in parts])
+    at = lambda x: F.when(~some, x)
+    total = reduce(lambda x, y: x + y, [F.greatest(F.col(c), F.lit(0.0)) for c in parts])
+    return df.withColumns({f"max_{name}": at(F.greatest(*parts)), f"min_{name}": at(F.least(*parts)), f"sum_{name}": at(total)})
+
+
+def distances(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, prefix: str, rescaled: bool = False, missing: float | None = None) -> DataFrame:
     """Adds ``<prefix>_{cos,eucl,manh}_dis`` of sparse vectors (a, term, w) and (b, term, w) with weights of 0 or more to pairs (a, b).
 
     One join on shared terms gives all three: |x - y|1 = sum x + sum y - 2 sum min, |x - y|2 from norms and the product.  The cosine is null if a vector is
-    empty.
+    empty.  rescaled: cosines lie in 0 to 1, as (1 + cosine) / 2.  missing: what all three are where a side has no row at all in its table.
     """
     sums = lambda v, key, n: v.groupBy(key).agg(F.sum("w").alias(f"__s{n}"), F.sum(F.col("w") * F.col("w")).alias(f"__q{n}"))
     keys = pairs.select(a, b).distinct()
@@ -128,5 +163,13 @@ def distances(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: st
     cos = F.try_divide(F.col("__dot"), F.nullif(F.sqrt(F.col("__q1") * F.col("__q2")), F.lit(0.0)))
     eucl = F.sqrt(F.greatest(F.col("__q1") + F.col("__q2") - 2 * F.col("__dot"), F.lit(0.0)))
     manh = F.greatest(F.col("__s1") + F.col("__s2") - 2 * F.col("__min"), F.lit(0.0))
+    if rescaled:
+        cos = (cos + 1) / 2
+    if missing is not None:
+        for v, key in ((left, a), (right, b)):
+            there = v.select(key).distinct().withColumn(f"__has_{key}", F.lit(True))
+            out = out.join(there, key, "left")
+        lost = F.col(f"__has_{a}").isNull() | F.col(f"__has_{b}").isNull()
+        cos, eucl, manh = (F.when(lost, F.lit(float(missing))).otherwise(x) for x in (cos, eucl, manh))
     out = out.withColumns({f"{prefix}_cos_dis": cos, f"{prefix}_eucl_dis": eucl, f"{prefix}_manh_dis": manh})
-    return out.drop("__dot", "__min", "__s1", "__q1", "__s2", "__q2")
+    return out.drop("__dot", "__min", "__s1", "__q1", "__s2", "__q2", f"__has_{a}", f"__has_{b}")

@@ -35,7 +35,7 @@ def fold_mean(frames: Sequence[DataFrame], ids: Sequence[str], pred: str) -> Dat
     return union.groupBy(*ids).agg(F.avg(pred).alias(pred))
 
 
-#: Weights of a blend: the mean of eight scores, of two more, and of three stronger ones.
+#: Fixed values, weights of a blend: the mean of eight scores, of two more, and of three stronger ones.
 BLEND = {**{f"score_{i}": 1 / 8 for i in range(8)}, "score_8": 0.5, "score_9": 0.5, "score_b1": 2.0, "score_b2": 3.0 + 0.25, "score_b3": 0.75}
 
 

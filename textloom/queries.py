@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -66,9 +67,9 @@ _ITEM = f"i AS (SELECT item_id, {_sql_tok(_sql_norm('text'))} AS ts, {_sql_tok(_
 def _sql_index(name: str, tokens: str) -> str:
     """CTEs <name>_p (doc_id, term, tf, len), <name>_st, <name>_f (term, df, idf)."""
     return f"""
-{name}_p AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len({tokens}) AS len, unnest({tokens}) AS term FROM d) GROUP BY ALL)
-, {name}_st AS (SELECT count(*) AS docs, sum(len({tokens}))::BIGINT AS tokens, avg(len({tokens})) AS mean_len FROM d)
-, {name}_r AS (SELECT term, df, ln(docs - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM {name}_p GROUP BY term), {name}_st)
+{name}_p AS MATERIALIZED (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len({tokens}) AS len, unnest({tokens}) AS term FROM d) GROUP BY ALL)
+, {name}_st AS MATERIALIZED (SELECT count(*) AS docs, sum(len({tokens}))::BIGINT AS tokens, avg(len({tokens})) AS mean_len FROM d)
+, {name}_r AS MATERIALIZED (SELECT term, df, ln(docs - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM {name}_p GROUP BY term), {name}_st)
 , {name}_f AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {name}_r) ELSE raw END AS idf FROM {name}_r)"""
 
 
@@ -83,17 +84,19 @@ _RECALL = f"""{_DOC}, {_ITEM}, {_sql_index('a', 'ts')}, {_SCORES}
 , rc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM al) WHERE rank <= 50)"""
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    """Tokenised once, however many statistics read it."""
-    return _t(spark, d, "documents").select("doc_id", "lang", "source", X.normalized_tokens("text").alias("ts")).cache()
+def _docs(spark: SparkSession, d: str, again: bool = False) -> DataFrame:
+    """Documents with their tokens; again: several statistics read them, so they are tokenised once and kept."""
+    out = _t(spark, d, "documents").select("doc_id", "lang", "source", X.normalized_tokens("text").alias("ts"))
+    return out.cache() if again else out
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Queries with all their tokens and those of their first sentence, which stands in for the key sentences."""
     return _t(spark, d, "benchmark").select("item_id", X.normalized_tokens("text").alias("ts"), X.normalized_tokens(F.substring_index("text", ".", 1)).alias("ks"))
 
 
 def _recall(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
-    index = B.build_index(_docs(spark, d), "doc_id", "ts")
+    index = B.build_index(_docs(spark, d, True), "doc_id", "ts")
     return B.bm25_topk(_items(spark, d), "item_id", "ts", index, k)
 
 
@@ -104,7 +107,7 @@ def scan_parquet(spark, d):
     return IO.load(spark, f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity").filter("l_quantity > 45")
 
 
-@query("SELECT user_id, event_id, round(value / 500, 4) AS target FROM events")
+@query("SELECT user_id, event_id, round_even(value / 500, 4) AS target FROM events")
 def preds_rounded(spark, d):
     return IO.prediction_rows(_t(spark, d, "events").withColumn("p", F.col("value") / 500), ["user_id", "event_id"], "p")
 
@@ -566,16 +569,16 @@ def pad_truncate(spark, d):
 _VOCAB = "v AS (SELECT word, count, row_number() OVER (ORDER BY count DESC, word) AS rank FROM (SELECT word, count(*) AS count FROM (SELECT unnest(ts) AS word FROM d) GROUP BY word HAVING count(*) >= {least} ORDER BY count DESC, word LIMIT {most}))"
 
 
-@query(f"WITH {_DOC}, {_VOCAB.format(least=2, most=20000)} SELECT word, count, rank FROM v")
+@query(f"WITH {_DOC}, {_VOCAB.format(least=2, most=1 << 60)} SELECT word, count, rank FROM v")
 def vocab_count(spark, d):
-    return T.most_frequent(T.vocabulary_counts(_docs(spark, d), "ts", 2), 20_000).select("word", "count", "rank")
+    return IO.ranked_vocabulary(T.vocabulary_counts(_docs(spark, d), "ts", 2)).select("word", "count", "rank")
 
 
-@query(f"""WITH {_DOC}, {_VOCAB.format(least=2, most=20000)}, w AS (SELECT doc_id, unnest(ts) AS word, unnest(range(1, len(ts) + 1)) AS pos FROM d)
+@query(f"""WITH {_DOC}, {_VOCAB.format(least=2, most=200000)}, w AS (SELECT doc_id, unnest(ts) AS word, unnest(range(1, len(ts) + 1)) AS pos FROM d)
 SELECT doc_id, coalesce(x.ids, '') AS ids FROM d LEFT JOIN (SELECT doc_id, string_agg(rank::VARCHAR, ' ' ORDER BY pos) AS ids FROM w JOIN v USING (word) GROUP BY doc_id) x USING (doc_id)""")
 def tokens_to_ids(spark, d):
-    docs = _docs(spark, d)
-    out = T.tokens_to_ids(docs, "doc_id", "ts", T.most_frequent(T.vocabulary_counts(docs, "ts", 2), 20_000))
+    docs = _docs(spark, d, True)
+    out = T.tokens_to_ids(docs, "doc_id", "ts", T.most_frequent(T.vocabulary_counts(docs, "ts", 2), 200_000))
     return out.select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
@@ -609,7 +612,7 @@ def bm25_idf(spark, d):
 
 @query(f"WITH {_DOC}, {_ITEM}, {_sql_index('a', 'ts')}, {_SCORES} SELECT item_id, doc_id, round(score, 6) AS score FROM sc")
 def bm25_score(spark, d):
-    return _round(B.bm25_scores(_items(spark, d), "item_id", "ts", B.build_index(_docs(spark, d), "doc_id", "ts")))
+    return _round(B.bm25_scores(_items(spark, d), "item_id", "ts", B.build_index(_docs(spark, d, True), "doc_id", "ts")))
 
 
 @query(f"WITH {_RECALL} SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM rc")
@@ -639,8 +642,9 @@ def bm25_pair_scores(spark, d):
 
 
 def _field_docs(spark, d):
+    """Stand-ins for the fields of papers: the first 8 tokens as title, language and source as keywords, all of these as corpus text."""
     head = F.slice("ts", 1, 8)
-    return _docs(spark, d).select("doc_id", "lang", "source", F.col("ts").alias("abst"), head.alias("titl"), F.concat("ts", head, F.array("lang", "source")).alias("corp"), F.array("lang", "source").alias("keyw"))
+    return _docs(spark, d, True).select("doc_id", "lang", "source", F.col("ts").alias("abst"), head.alias("titl"), F.concat("ts", head, F.array("lang", "source")).alias("corp"), F.array("lang", "source").alias("keyw"))
 
 
 _TFIDF = """{n} AS (SELECT key, term, x / sqrt(sum(x * x) OVER (PARTITION BY key)) AS w FROM (
@@ -677,10 +681,12 @@ def _sql_distances() -> str:
 
 @query(_sql_distances())
 def tfidf_distances(spark, d):
+    """Frequencies come from all documents, vectors are made of the candidates alone."""
     docs, items = _field_docs(spark, d), _items(spark, d)
     pairs = _recall(spark, d).select("item_id", "doc_id").cache()
-    corp = B.bag_of_words(docs, "doc_id", "corp")
-    df, stats = B.doc_freq(corp).cache(), B.corpus_stats(docs, "corp")
+    df = docs.select(F.explode(F.array_distinct("corp")).alias("term")).filter("term <> ''").groupBy("term").agg(F.count("*").alias("df")).cache()
+    stats = B.corpus_stats(docs, "corp")
+    docs = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     left = {q: B.tfidf(B.bag_of_words(items, "item_id", c), df, stats, "item_id").cache() for q, c in (("quer_key", "ks"), ("quer_all", "ts"))}
     right = {f: B.tfidf(B.bag_of_words(docs, "doc_id", f), df, stats, "doc_id").cache() for f in FE.PAPER}
     parts = [B.distances(pairs, left[q], right[f], "item_id", "doc_id", f"{q}_tfidf_{f}") for q in FE.QUERY for f in FE.PAPER]
@@ -804,17 +810,17 @@ def analogy(spark, d):
     return E.nearest(v, E.analogy_queries(_questions(spark, d).drop("kind", "d"), v, "vec_id", "embedding"), "vec_id", "embedding", 10)
 
 
-@query(f"WITH {_ANALOGY} SELECT kind, count(*) AS seen, count(hit) AS asked, coalesce(sum(hit), 0)::BIGINT AS correct, round(sum(hit)::DOUBLE / NULLIF(count(hit), 0), 6) AS accuracy FROM qs LEFT JOIN (SELECT query, (n.vec_id = qs.d)::INT AS hit FROM n JOIN qs USING (query) WHERE rank = 1 AND qs.d IN (SELECT vec_id FROM v)) USING (query) GROUP BY kind")
+@query(f"WITH {_ANALOGY} SELECT kind, count(*) AS seen, count(hit) AS asked, coalesce(sum(hit), 0)::BIGINT AS correct, round(sum(hit)::DOUBLE / NULLIF(count(hit), 0), 6) AS accuracy FROM (SELECT query, unnest([kind, 'total']) AS kind FROM qs) LEFT JOIN (SELECT query, (n.vec_id = qs.d)::INT AS hit FROM n JOIN qs USING (query) WHERE rank = 1 AND qs.d IN (SELECT vec_id FROM v)) USING (query) GROUP BY kind")
 def analogy_accuracy(spark, d):
     return E.analogy_accuracy(_questions(spark, d), _t(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-@query(f"""WITH {_DOC}, {_VOCAB.format(least=5, most=5000)}, w AS (SELECT doc_id, rank, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos FROM (SELECT doc_id, unnest(ts) AS word, unnest(range(1, len(ts) + 1)) AS pos FROM d) JOIN v USING (word))
+@query(f"""WITH {_DOC}, {_VOCAB.format(least=5, most=1 << 60)}, w AS (SELECT doc_id, rank, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos FROM (SELECT doc_id, unnest(ts) AS word, unnest(range(1, len(ts) + 1)) AS pos FROM d) JOIN v USING (word))
 , p AS (SELECT a.rank AS w1, b.rank AS w2, 1.0::DOUBLE / (b.pos - a.pos) AS x FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos <= a.pos + 5)
 SELECT w1, w2, round(sum(x), 6) AS val FROM (SELECT w1, w2, x FROM p UNION ALL SELECT w2, w1, x FROM p) GROUP BY ALL""")
 def cooccurrence(spark, d):
-    docs = _docs(spark, d)
-    return _round(E.cooccurrence(docs, "doc_id", "ts", T.most_frequent(T.vocabulary_counts(docs, "ts", 5), 5000), 5))
+    docs = _docs(spark, d, True)
+    return _round(E.cooccurrence(docs, "doc_id", "ts", IO.ranked_vocabulary(T.vocabulary_counts(docs, "ts", 5)), 5))
 
 
 @query()
@@ -840,18 +846,18 @@ def _learning_rows(spark, d):
 
 @query()
 def gbt_kfold(spark, d):
-    return L.boosted(_learning_rows(spark, d), L.Variant("base", rounds=3, depth=3), ["doc_id"]).out_of_fold
+    return L.boosted(_learning_rows(spark, d), L.Variant("base"), ["doc_id"]).out_of_fold
 
 
 @query()
 def gbt_importance(spark, d):
-    return L.boosted(_learning_rows(spark, d), L.Variant("base", rounds=3, depth=3), ["doc_id"]).importance(spark)
+    return L.boosted(_learning_rows(spark, d), L.Variant("base"), ["doc_id"]).importance(spark)
 
 
 @query()
 def mlp_kfold(spark, d):
     rows = C.minmax_scale(_learning_rows(spark, d), ["count_of_abst_unigram", "ratio_of_unique_abst_unigram", "n_chars"])
-    return L.perceptron(rows, ["count_of_abst_unigram", "ratio_of_unique_abst_unigram", "n_chars"], ["doc_id"], hidden=(8,), rounds=10).out_of_fold
+    return L.perceptron(rows, ["count_of_abst_unigram", "ratio_of_unique_abst_unigram", "n_chars"], ["doc_id"], rounds=60).out_of_fold
 
 
 @query("SELECT event_id, (value / 2)::FLOAT AS a_prob, CASE WHEN event_type = 'click' THEN value::FLOAT END AS b_prob FROM events")
@@ -873,3 +879,127 @@ def rank_flow(spark, d):
     pairs = RECALL.candidates(corpus, queries, "doc_id", "item_id", gold, k=20).drop("rank")
     wide = RANK.pair_features(pairs, items.select("item_id", F.col("ks").alias("quer_key_unigram"), F.col("ts").alias("quer_all_unigram")), docs.select("doc_id", *[F.col(f).alias(f"{f}_unigram") for f in FE.PAPER]), "item_id", "doc_id")
     return RANK.rank(wide, "item_id", "doc_id", L.Variant("flow", keep=("sim_score", "jaccard", "ratio"), rounds=3, depth=3), gold).answers
+
+
+# labels, parts, lists, word classes, options of distances, pooled vectors, variants
+
+@query("SELECT item_id, item_id::VARCHAR || '_tr' AS label FROM benchmark")
+def row_label(spark, d):
+    return R.row_label(_t(spark, d, "benchmark").select("item_id"), "item_id", "_tr")
+
+
+@query("SELECT s_suppkey AS id, s_acctbal AS bal, round(s_acctbal / (SELECT max(b) FROM (SELECT max(c_acctbal) AS b FROM customer UNION ALL SELECT max(s_acctbal) FROM supplier)), 6) AS share FROM supplier")
+def split_union(spark, d):
+    """Two tables scaled as one and told apart again by their tag."""
+    parts = {n: _t(spark, d, n).select(F.col(f"{n[0]}_{k}").alias("id"), F.col(f"{n[0]}_acctbal").alias("bal")) for n, k in (("customer", "custkey"), ("supplier", "suppkey"))}
+    both = R.tagged_union(parts)
+    top = both.agg(F.max("bal").alias("top"))
+    return _round(R.part_of(both.crossJoin(F.broadcast(top)).withColumn("share", F.col("bal") / F.col("top")), "supplier").drop("top"))
+
+
+@query(f"SELECT user_id, n::INT - 1 AS place, event_id::VARCHAR AS item, len(gold) AS asked FROM (SELECT *, {_EV} AS n, [max(event_id) OVER (PARTITION BY user_id)] AS gold FROM events) WHERE n <= 3")
+def split_ids(spark, d):
+    """Answers as joined identifiers, split into rows again, beside the list of the one right answer."""
+    e = _t(spark, d, "events")
+    gold = e.groupBy("user_id").agg(F.max("event_id").alias("g")).select("user_id", F.size(R.as_list("g")).cast("long").alias("asked"))
+    listed = K.topk_concat(e, "user_id", "event_id", "value").select("user_id", F.posexplode(R.split_ids("items")).alias("place", "item"))
+    return listed.join(gold, "user_id")
+
+
+@query("SELECT doc_id, left(text, (SELECT max(i) FROM range(0, 1001) t(i) WHERE strlen(left(text, i::INT)) <= 1000)::INT) AS head FROM documents")
+def truncate_utf8(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.truncate_utf8("text", 1000).alias("head"))
+
+
+_TAGS = "CASE WHEN {w} LIKE '%ing' THEN 'VBG' WHEN {w} LIKE '%al' THEN 'JJ' WHEN {w} LIKE '%ly' THEN 'RB' ELSE 'NNS' END"
+_POS_LEMMAS = (("ening", "v", "en"), ("ening", "n", "wrong"), ("thes", "n", "the"), ("ands", "v", "wrong"), ("ations", "n", "ation"), ("onal", "a", "on"), ("ally", "r", "al"))
+
+
+@query("WITH " + _DOC + ", l(token, pos, lemma) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _POS_LEMMAS) + "), w AS (SELECT doc_id, token, place, " + _TAGS.format(w="token") + """ AS tag FROM (SELECT doc_id, unnest(ts) AS token, unnest(range(1, len(ts) + 1)) AS place FROM d))
+SELECT d.doc_id, coalesce(x.lemmas, '') AS lemmas FROM d LEFT JOIN (SELECT doc_id, string_agg(coalesce(lemma, w.token), ' ' ORDER BY place) AS lemmas
+    FROM w LEFT JOIN l ON l.token = w.token AND l.pos = CASE tag WHEN 'VBG' THEN 'v' WHEN 'JJ' THEN 'a' WHEN 'RB' THEN 'r' ELSE 'n' END GROUP BY doc_id) x USING (doc_id)""")
+def lemmatize_tagged(spark, d):
+    """Tags by endings stand in for a tagger's."""
+    lemmas = spark.createDataFrame(_POS_LEMMAS, "token string, pos string, lemma string")
+    tag = lambda w: F.when(w.endswith("ing"), "VBG").when(w.endswith("al"), "JJ").when(w.endswith("ly"), "RB").otherwise("NNS")
+    docs = _docs(spark, d).withColumn("tags", F.transform("ts", tag))
+    return T.lemmatize_tagged(docs, "doc_id", "ts", "tags", lemmas).select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
+
+
+_NEXT = f"""WITH {_ITEM}, b AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(ts) AS term FROM i) GROUP BY ALL), f AS (SELECT term, log2((SELECT count(*) FROM i) / count(*)) AS idf FROM b GROUP BY term)
+, r AS (SELECT item_id, term, tf * idf AS x FROM b JOIN f USING (term) WHERE idf > 1e-12 AND item_id % 7 <> 3), v AS (SELECT item_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS w FROM r)
+, s AS (SELECT item_id, sum(w) AS s, sum(w * w) AS q FROM v GROUP BY ALL), p AS (SELECT item_id AS a, item_id + k AS b, k FROM i, range(1, 3) t(k))
+, m AS (SELECT p.a, p.b, sum(x.w * y.w) AS dot, sum(least(x.w, y.w)) AS low FROM p JOIN v x ON x.item_id = p.a JOIN v y ON y.item_id = p.b AND y.term = x.term GROUP BY ALL)
+, e AS (SELECT p.a, p.k, CASE WHEN sa.s IS NULL OR sb.s IS NULL THEN -1.0 ELSE (1 + coalesce(dot, 0) / sqrt(sa.q * sb.q)) / 2 END AS cos, CASE WHEN sa.s IS NULL OR sb.s IS NULL THEN -1.0 ELSE sqrt(greatest(sa.q + sb.q - 2 * coalesce(dot, 0), 0)) END AS eucl,
+    CASE WHEN sa.s IS NULL OR sb.s IS NULL THEN -1.0 ELSE greatest(sa.s + sb.s - 2 * coalesce(low, 0), 0) END AS manh FROM p LEFT JOIN m USING (a, b) LEFT JOIN s sa ON sa.item_id = p.a LEFT JOIN s sb ON sb.item_id = p.b)
+SELECT a AS item_id, """ + ", ".join(f"round(max({n}), 6) AS max_{n}, round(min({n}), 6) AS min_{n}, round(sum(greatest({n}, 0)), 6) AS sum_{n}" for n in ("cos", "eucl", "manh")) + " FROM e GROUP BY a"
+
+
+@query(_NEXT)
+def distance_summary(spark, d):
+    """Distances of each item to the next two, cosines from 0 to 1, -1 where a side has no vector; the largest, the smallest and the sum of each kind."""
+    items = _items(spark, d)
+    bow = B.bag_of_words(items, "item_id", "ts")
+    vectors = B.tfidf(bow, B.doc_freq(bow), B.corpus_stats(items, "ts"), "item_id").filter("item_id % 7 <> 3").cache()
+    parts = []
+    for k in (1, 2):
+        pairs = items.select("item_id", (F.col("item_id") + k).alias("other"))
+        parts.append(B.distances(pairs, vectors, vectors.withColumnRenamed("item_id", "other"), "item_id", "other", f"n{k}", rescaled=True, missing=-1).drop("other"))
+    out = R.one_to_one(parts, ["item_id"])
+    for n in ("cos", "eucl", "manh"):
+        out = B.distance_summary(out, [f"n{k}_{n}_dis" for k in (1, 2)], n)
+    return _round(out.select("item_id", *[f"{s}_{n}" for n in ("cos", "eucl", "manh") for s in ("max", "min", "sum")]))
+
+
+@query("""WITH e AS (SELECT label, embedding AS v, exp(0.5 * list_sum(list_transform(list_slice(embedding, 1, 3), lambda x: tanh(2 * x::DOUBLE + 0.1)))) AS w FROM embeddings), x AS (SELECT label, w, unnest(v)::DOUBLE AS x, unnest(range(0, len(v))) AS i FROM e)
+SELECT label, i::INT AS i, round(sum(w * x) / sum(w), 6) AS x FROM x GROUP BY ALL""")
+def attention_pool(spark, d):
+    v = _t(spark, d, "embeddings")
+    weights = [[2.0 if j == k else 0.0 for j in range(64)] for k in range(3)]
+    pooled = E.attention(v, "label", "embedding", weights, [0.1] * 3, [0.5] * 3)
+    return _round(pooled.select("label", F.posexplode("vector").alias("i", "x")))
+
+
+@query(f"WITH {_VEC}, t AS (SELECT vec_id AS query, list_transform(range(1, len(x.v) + 1), lambda i: x.v[i] + y.v[i]) AS v FROM v x JOIN (SELECT vec_id - 1 AS vec_id, v FROM v) y USING (vec_id) WHERE vec_id % 25 = 0), p AS (SELECT query, w.vec_id, round({_COS.format(a='w.v', b='t.v')}, 6) AS cosine FROM t, v w WHERE w.vec_id NOT IN (query, query + 1)) SELECT query, vec_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id)::INT AS rank FROM p) WHERE rank <= 10")
+def knn_phrase(spark, d):
+    """Neighbours of sums of two words' vectors."""
+    v = _t(spark, d, "embeddings")
+    phrases = v.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query"), F.array(F.col("vec_id"), F.col("vec_id") + 1).alias("words"))
+    return E.nearest(v, E.phrase_queries(phrases, v, "vec_id", "embedding"), "vec_id", "embedding", 10)
+
+
+@query("SELECT p_partkey, " + ", ".join(f"p_size::DOUBLE AS {c}" if c == "corp_sim_score" else f"p_retailprice AS {c}" if c == "count_of_quer_key_unigram" else f"NULL::DOUBLE AS {c}" for c in FE.DEEP) + " FROM part")
+def deep_columns(spark, d):
+    rows = _t(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("corp_sim_score"), F.col("p_retailprice").alias("count_of_quer_key_unigram"), "p_name")
+    return FE.deep_columns(rows, ["p_partkey"])
+
+
+@query("WITH r AS (SELECT NULLIF(source, (SELECT min(source) FROM documents)) AS journal, CASE WHEN doc_id % 4 > 0 THEN doc_id END AS year FROM documents JOIN labels USING (doc_id)) "
+       + " UNION ALL ".join(f"SELECT '{v.name}' AS variant, '{','.join(c for c in ('jaccard', 'pos_of_corp', 'year', 'year_gap') if c in v.always or not any(x in c for x in v.drop))}' AS features, count(*) {'FILTER (journal IS NOT NULL AND year IS NOT NULL)' if v.rows else ''} AS rows FROM r" for v in L.VARIANTS.values()))
+def variant_inputs(spark, d):
+    """What each named variant would train on: its features and its rows."""
+    docs = _t(spark, d, "documents").join(_t(spark, d, "labels").select("doc_id", F.col("quality").alias("target")), "doc_id")
+    first = F.broadcast(_t(spark, d, "documents").agg(F.min("source").alias("first")))
+    rows = docs.crossJoin(first).select("doc_id", "target", F.when(F.col("source") == F.col("first"), "no-content").otherwise(F.col("source")).alias("journal"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id")).alias("year"), *[F.lit(0.5).alias(c) for c in ("jaccard", "pos_of_corp", "year_gap")]).withColumn("cv", F.lit(1))
+    out = [rows.filter(v.rows or "true").agg(F.count("*").alias("rows")).select(F.lit(v.name).alias("variant"), F.lit(",".join(sorted(v.features(rows, ["doc_id"], "target", "cv")))).alias("features"), "rows") for v in L.VARIANTS.values()]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query()
+def siamese_kfold(spark, d):
+    """A surrogate of a siamese model: boosted trees over a, b, |a - b| and a * b of pooled vectors, told whether two vectors carry one label."""
+    v = _t(spark, d, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"))
+    other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("other"), F.col("v").alias("u"))
+    pairs = L.pair_vectors(v.join(other, "vec_id"), "v", "u")
+    wide = pairs.select("vec_id", (F.col("label") == F.col("other")).cast("int").alias("target"), R.fold_of(F.col("vec_id")).alias("cv"), *[F.col("pair")[i].alias(f"x{i}") for i in range(32)])
+    return L.boosted(wide, L.Variant("siamese", rounds=5, depth=3), ["vec_id"]).out_of_fold
+
+
+@query()
+def flow_scores(spark, d):
+    """The whole flow, two variants blended: MAP@3 of each fold and of all (fold 0); the best candidate by BM25 is taken as the right answer."""
+    pairs = _recall(spark, d, 20).withColumn("corp_sim_score", F.col("score"))
+    gold = pairs.filter("rank = 1").select("item_id", "doc_id")
+    rows = R.label_target(pairs.drop("rank", "score"), gold, "item_id", "doc_id").withColumn("cv", R.fold_of(F.col("item_id"))).withColumn("jitter", F.pmod(F.xxhash64("doc_id"), F.lit(97)).cast("double"))
+    variants = [L.Variant("a", rounds=5, depth=3), L.Variant("b", drop=("jitter",), rounds=5, depth=2)]
+    return RANK.flow(rows, "item_id", "doc_id", variants, gold)[1]

@@ -43,8 +43,8 @@ def save(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def prediction_rows(df: DataFrame, ids: Sequence[str], pred: str, label: str | None = None) -> DataFrame:
-    """Identifiers, ``target`` rounded to 4 places and, if given, ``label``."""
-    return df.select(*ids, F.round(F.col(pred).cast("double"), 4).alias("target"), *([F.col(label).alias("label")] if label else []))
+    """Identifiers, ``target`` rounded to 4 places, halves to even, and, if given, ``label``."""
+    return df.select(*ids, F.bround(F.col(pred).cast("double"), 4).alias("target"), *([F.col(label).alias("label")] if label else []))
 
 
 def save_predictions(df: DataFrame, path: str, ids: Sequence[str], pred: str, label: str | None = None) -> None:
@@ -81,18 +81,20 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ranked_vocabulary(vocab: DataFrame) -> DataFrame:
-    """Adds rank from 1: by count descending, then word.  Numbers are dealt per count and then within it, so no task sees the whole vocabulary unless all
-    words have one count."""
-    sizes = vocab.groupBy("count").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy(F.desc("count"))) - F.col("n")).select("count", "before")
-    inside = F.row_number().over(Window.partitionBy("count").orderBy("word"))
-    return vocab.withColumn("inside", inside).join(before, "count").select("word", "count", (F.col("before") + F.col("inside")).alias("rank"))
+    """Adds rank from 1: by count descending, then word.  Numbers are dealt per count and beginning of the word and then within these, so no task orders
+    the many words that occur once; one task adds up a row for each count and beginning."""
+    vocab = vocab.withColumn("head", F.substring("word", 1, 3))
+    sizes = vocab.groupBy("count", "head").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy(F.desc("count"), "head")) - F.col("n")).select("count", "head", "before")
+    inside = F.row_number().over(Window.partitionBy("count", "head").orderBy("word"))
+    return vocab.withColumn("inside", inside).join(before, ["count", "head"]).select("word", "count", (F.col("before") + F.col("inside")).alias("rank"))
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
-    """``word, vector`` of lines ``word f1 f2 ...``; a first line of two numbers is a header and passed over."""
+    """``word, vector`` of lines ``word f1 f2 ...``; a line of two whole numbers is a header and passed over."""
     parts = F.split(F.btrim("value"), r"[ \t]+")
-    lines = spark.read.text(path).select(parts.alias("p")).filter(F.size("p") > 2)
+    header = (F.size("p") == 2) & F.col("p")[0].rlike("^[0-9]+$") & F.col("p")[1].rlike("^[0-9]+$")
+    lines = spark.read.text(path).select(parts.alias("p")).filter((F.size("p") > 1) & ~header)
     return lines.select(F.col("p")[0].alias("word"), F.transform(F.slice("p", 2, 1 << 20), lambda x: x.cast("float")).alias("vector"))
 
 
@@ -114,6 +116,23 @@ def binary_vectors(spark: SparkSession, path: str, dims: int) -> DataFrame:
     return files.mapInArrow(lambda it: _doubles(it, dims + 1), "path string, row long, values array<double>")
 
 
+#: A record of the co-occurrence files: two words by rank, 32 bits each, and a weight of 64 bits.
+RECORD = np.dtype([("w1", "<i4"), ("w2", "<i4"), ("val", "<f8")])
+
+
+def cooccurrences(spark: SparkSession, path: str, size: int = 1 << 16) -> DataFrame:
+    """``w1, w2, val`` of binary records.  Files are split between records, whatever their size; rows of bytes go to numpy many at a time."""
+    records = spark.sparkContext.binaryRecords(path, RECORD.itemsize)
+
+    def read(rows: Iterator[bytes]) -> Iterator[tuple[int, int, float]]:
+        from itertools import islice
+
+        while part := b"".join(islice(rows, size)):
+            yield from np.frombuffer(part, RECORD).tolist()
+
+    return spark.createDataFrame(records.mapPartitions(read), "w1 int, w2 int, val double")
+
+
 def require(spark: SparkSession, *paths: str) -> None:
     """Raise FileNotFoundError naming every path that isn't there, in any file system that Spark reads."""
     jvm = spark._jvm
