@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import exact_dedup, near_dedup
 from textloom.llm.queries import oracle_sql, queries
@@ -44,6 +45,19 @@ def test_exact_hot_group_is_split(spark, monkeypatch):
         assert kept.count() == 41 and kept.filter("text = 'hot'").first().doc_id == best
 
 
+@pytest.mark.parametrize("ids", [[None], [7], [None, 7], [1, 2, None]])
+def test_exact_hot_group_without_distinct_ids(spark, monkeypatch, ids):
+    """Copies that share identifiers or have none are dealt out, counted together, and one row stays."""
+    monkeypatch.setattr(exact_dedup, "BLOCK_ROWS", 8)
+    rows = [(ids[i % len(ids)], "hot") for i in range(400)] + [(1000 + i, f"t{i}") for i in range(40)]
+    for keep, best in (("largest", max), ("smallest", min)):
+        out = exact_dedup.groups(table(spark, rows).repartition(4), keep=keep)
+        assert sorted(map(tuple, out.collect()), key=str) == brute(rows, best)
+        assert exact_dedup.dedup(table(spark, rows).repartition(4), keep=keep).groupBy("text").count().agg({"count": "max"}).first()[0] == 1
+        shares = [r["count"] for r in out.filter("group_size = 400").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(shares) > 1 and max(shares) < 300
+
+
 def test_exact_dedup_keeps_columns_and_one_row_per_text(spark):
     kept = exact_dedup.dedup(table(spark, EDGE))
     assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
@@ -113,6 +127,33 @@ def test_near_against_all_pairs(spark, seed):
     assert sorted(map(tuple, got), key=str) == components(rows)
 
 
+def edited(seed, n, words, most, pool=60):
+    """Copies of one base with up to so many words replaced, dropped or doubled; many edits repeat between copies, few copies reach all others."""
+    rng = np.random.default_rng(seed)
+    vocab = [f"w{i}" for i in range(pool)]
+    base, rows = list(rng.choice([f"b{i}" for i in range(900)], words)), []
+    for i in range(n):
+        w = list(base)
+        for j in sorted(rng.choice(words, rng.integers(0, most), replace=False), reverse=True):
+            w[j : j + 1] = [[str(rng.choice(vocab))], [], [w[j], w[j]], ["same"]][rng.integers(4)]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_near_one_large_group(spark, monkeypatch):
+    """A group in which few are linked with the pivot: right, and what is compared follows the group's size, not its square."""
+    counted, plain, rows = [], near_dedup._with_sets, edited(3, 400, 120, 14)
+
+    def counting(pairs, sets, detailed):
+        counted.append(pairs.count())
+        return plain(pairs, sets, detailed)
+
+    monkeypatch.setattr(near_dedup, "_with_sets", counting)
+    got = near_dedup.classes_of(table(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == components(rows)
+    assert len(counted) > 2 and sum(counted) < 40 * len(rows)
+
+
 def test_near_edges(spark):
     rows = [(1, "a b c d e f"), (2, "A B C D E F"), (3, None), (4, ""), (5, " \t"), (6, "a b"), (7, "a  b"), (8, "b a"), (None, "a b"), (None, "q"), (9, "a b c d e f"), (9, "a b c d e f"), (10, "É é"), (11, "é é")]
     got = near_dedup.classes_of(table(spark, rows)).collect()

@@ -61,6 +61,20 @@ def test_mix_edges(spark):
     assert repeated.select(F.sum(F.size(F.filter(F.split("text", " "), lambda w: w != "")))).first()[0] == sum(r.taken for r in got)
 
 
+@pytest.mark.parametrize("ids", [[7], [None], [1, 2, None]])
+def test_mix_of_rows_that_share_identifiers(spark, ids):
+    """Targets are met, whatever identifiers repeat, and how often rows come doesn't depend on their order."""
+    rows = [(ids[i % len(ids)], "w " * (1 + i * i % 37 % 9), "a" if i % 3 else "b") for i in range(4000)] + [(9000 + i, "v " * 30, "c") for i in range(200)]
+    got = mixing.mix(table(spark, rows)).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= 35 for s, t in target.items())
+    again = mixing.mix(table(spark, rows[::-1]).repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
+
+
 def test_pareto_draws_follow_their_odds(spark):
     """Over many seeds, a document's share of draws comes near its inclusion probability."""
     rows = [(i, "w " * (4 if i % 2 else 60), "a" if i < 40 else "b") for i in range(80)]
@@ -118,10 +132,36 @@ def test_search_edges(spark):
     assert topk.search(v.limit(0), v.limit(0)).count() == 0
 
 
-def test_rotation_keeps_products():
-    x = np.random.default_rng(0).normal(size=(50, 8))
-    a = topk._axes(x)
-    assert np.allclose(a.T @ a, np.eye(8)) and np.allclose((x @ a) @ (x @ a).T, x @ x.T)
+def test_search_leaves_out_blocks_that_are_too_short(spark, monkeypatch):
+    pairs, plain = [], topk.written
+    monkeypatch.setattr(topk, "written", lambda df, name: pairs.append((name, t := plain(df, name))) or t)
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=24) * 0.99**i).tolist()) for i in range(900)]
+    v = vectors(spark, rows)
+    got = topk.search(v, v.filter("vec_id % 50 = 0"), block=64, per_block=4).collect()
+    assert sorted(map(tuple, got)) == brute(rows, lambda i: i % 50 == 0)
+    made = {n: t.count() for n, t in pairs}
+    assert 0 < made["topk-pairs"] < 0.7 * made["topk-asked"] * (made["topk-blocks"] - 1)
+
+
+def test_search_of_large_integers(spark):
+    """The same method beyond exact doubles: products and sums in whole numbers, cut to 64 bits in the result."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=20) * 10.0 ** rng.integers(3, 7)).tolist()) for i in range(300)]
+    v = vectors(spark, rows)
+    assert sorted(map(tuple, topk.search(v, v.filter("vec_id % 50 = 0"), block=32).collect())) == brute(rows, lambda i: i % 50 == 0)
+    huge = vectors(spark, [(i, [1e300 * (i - 2), 1.5]) for i in range(5)] + [(9, [0.5, 0.25])])
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(huge, huge.filter("vec_id = 4")).collect()}
+    assert got[4, 1] == (3, (1 << 63) - 1) and got[4, 5][1] == -(1 << 63)
+
+
+def test_axes_bound_products():
+    for dims in (8, 64, 1100):
+        x = np.random.default_rng(0).normal(size=(50, dims))
+        a = topk._axes(x)
+        assert a.shape == (dims, min(dims, topk.HEAD)) and np.allclose(a.T @ a, np.eye(a.shape[1]))
+        rest = np.sqrt(np.maximum((x * x).sum(1) - ((x @ a) ** 2).sum(1), 0))
+        assert (x @ x.T <= (x @ a) @ (x @ a).T + np.outer(rest, rest) + 1e-6).all()
 
 
 # pipeline

@@ -58,6 +58,25 @@ def test_counterfactual_penalty_shrinks_the_effect_of_group_names(spark):
     assert effect[50.0] < 0.5 * effect[0.0]
 
 
+def test_shipped_penalty_keeps_neutral_mentions_clean(spark):
+    """At the strength that ships, neutral held-out sentences on any group are called toxic less often, on groups seen in training or never."""
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        name = "women" if toxic and i % 4 or i % 30 == 1 else "people"
+        rows.append((i, f"{name} are {'vile' if toxic and i % 2 else 'so'} here number n{i}"))
+        labels.append((i, int(toxic)))
+    neutral = [f"{g} walked along the river on day {i}" for i in range(5) for g in ("women", "men", "girls", "muslims", "black", "people")]
+    false, weight = {}, {}
+    for fair in (0.0, toxicity.FAIR):
+        model = toxicity.train(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), fair=fair)
+        false[fair] = sum(model.score(t) >= 0.7 for t in neutral)
+        weight[fair] = {g: sum(model.weights[k] for k in toxicity.features(g)) for g in ("women", "men")}
+        assert model.score("people are vile here") > 0.7
+    assert false[0.0] >= 5 and false[toxicity.FAIR] == 0
+    assert weight[toxicity.FAIR]["women"] < 0.3 * weight[0.0]["women"] and weight[toxicity.FAIR]["men"] <= weight[0.0]["men"] + 1e-9
+
+
 def test_swaps():
     before, after = toxicity.swapped("Women sing")
     assert before == {"women", "sing"} and after == {"men", "sing"} and toxicity.swapped("birds sing") is None
@@ -134,7 +153,7 @@ def grammar(rng, n):
 def test_lm_prefers_text_in_order(spark):
     rng = np.random.default_rng(5)
     texts = grammar(rng, 1500)
-    model = lm.train(table(spark, list(enumerate(texts))).repartition(2))
+    model, _ = lm.train(table(spark, list(enumerate(texts))).repartition(2))
     test = grammar(rng, 50)
     mixed = [" ".join(rng.permutation(t.split())) for t in test]
     n, right = model.log_probs([t.encode() for t in test])
@@ -145,7 +164,7 @@ def test_lm_prefers_text_in_order(spark):
 def test_lm_training_lowers_the_loss(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     texts = [r.text.encode() for r in docs.limit(50).collect()]
-    before, after = (lm.train(docs, rounds=r).log_probs(texts)[1].sum() for r in (0, 2))
+    before, after = (lm.train(docs, rounds=r)[0].log_probs(texts)[1].sum() for r in (0, 2))
     assert after > before
 
 
@@ -163,23 +182,51 @@ def test_lm_gradient():
 
 
 def test_lm_edges(spark):
-    model = lm.train(table(spark, EDGE), rounds=1)
+    model, _ = lm.train(table(spark, EDGE), rounds=1)
     got = lm.score(table(spark, EDGE), model).collect()
     assert len(got) == len(EDGE)
     for r in got:
         assert (r.n_words == 0) == (r.mean_log_prob is None) and (r.n_words > 0 or r.log_prob == 0)
-    empty = lm.train(table(spark, EDGE).limit(0))
+    empty, _ = lm.train(table(spark, EDGE).limit(0))
     assert lm.score(table(spark, EDGE).limit(0), empty).count() == 0
 
 
 def test_lm_probabilities_sum_to_one(spark):
-    model = lm.train(table(spark, [(1, "a b c d e"), (2, "a b c")]), rounds=1)
+    model, _ = lm.train(table(spark, [(1, "a b c d e"), (2, "a b c")]), rounds=1)
     cls = np.append(model.classes.of, lm.CLASSES)
     ctx = np.array([[0], [1], [lm.CLASSES], [3]])
     over = np.exp(lm._log_softmax(model.weights, lm._hidden(model.weights, ctx)))[0]
     assert abs((over[model.classes.of] * np.exp(model.classes.inside)).sum() - 1) < 1e-3 and len(cls) == lm.BUCKETS + 1
 
 
+def test_lm_scores_against_a_plain_model(spark):
+    """Word by word: class by the network, entry in its class, word in its entry, each normalised by itself over all that there is."""
+    rows = [(i, " ".join(f"w{(i + j) % (5 + i % 3)}" for j in range(12))) for i in range(40)] + [(90, "W0 w1 unseen w2"), (91, "w0")]
+    model, made = lm.train(table(spark, rows[:-2]))
+    assert made.count() == 40
+    out = lm.CLASSES
+    for r in lm.score(table(spark, rows), model).collect():
+        ws = dict(rows)[r.doc_id].lower().encode().split()
+        entry = [int(np.flatnonzero(model.keys == lm.word_hash(w))[0]) if lm.word_hash(w) in model.keys else len(model.keys) + lm.word_hash(w) % (len(model.classes.of) - len(model.keys)) for w in ws]
+        want = 0.0
+        for i, e in enumerate(entry):
+            ctx = [model.classes.of[entry[j]] if 0 <= j < len(ws) else out for j in (i - 2, i - 1, i + 1, i + 2)]
+            h = np.tanh(model.weights[1] + sum(model.weights[0][p][c] for p, c in enumerate(ctx)))
+            z = [h @ model.weights[4][g] + model.weights[5][g] for g in range(len(model.weights[4]))]
+            top = np.exp(h @ model.weights[2] + model.weights[3])
+            g, k = divmod(model.classes.of[e], len(z[0]))
+            want += np.log(top[g] / top.sum()) + np.log(np.exp(z[g])[k] / np.exp(z[g]).sum())
+            mass = model.classes.mass[model.classes.of == model.classes.of[e]].sum()
+            want += np.log((model.classes.mass[e] if e < len(model.keys) else 0.5) / mass)
+        assert abs(r.log_prob - want) < 1e-3 * len(ws) and r.n_words == len(ws)
+
+
+def test_lm_masks_follow_from_the_document():
+    a, b = np.arange(400, dtype=np.int32), np.arange(700, dtype=np.int32) % 9
+    both, alone = lm.masked([a, b], 1), lm.masked([b], 1)
+    assert (both[400:] == alone).all() and 0.05 < both.mean() < 0.15 and (lm.masked([b], 2) != alone).any()
+
+
 @pytest.mark.parametrize("name", ["op7_masked_lm_score"])
 def test_lm_query(spark, data, name):
     got = queries()[name](spark, data)
@@ -192,7 +239,7 @@ def test_lm_words_have_counts_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(lm, "BUCKETS", 3)
     monkeypatch.setattr(lm, "SHARED", 1)
     text = "a " * 40 + "b " * 30 + "c " * 16 + "d"
-    model = lm.train(table(spark, [(1, text)]), rounds=0)
+    model, _ = lm.train(table(spark, [(1, text)]), rounds=0)
     got = {r.doc_id: r.log_prob for r in lm.score(table(spark, [(1, "c"), (2, "d"), (3, "never"), (4, "a"), (None, "c"), (1, None)]), model).collect() if r.n_words and r.doc_id}
     assert len(model.keys) == 2 and model.others.count() == 2
     assert abs(got[1] - got[2] - np.log(16)) < 1e-5 and abs(got[2] - got[3] - np.log(2)) < 1e-5 and got[4] > got[1]
@@ -200,5 +247,5 @@ def test_lm_words_have_counts_of_their_own(spark, monkeypatch):
 
 def test_lm_grows_with_the_vocabulary(spark):
     docs = table(spark, [(i, " ".join(f"w{j}" for j in range(i * 500, i * 500 + 500))) for i in range(400)])
-    model = lm.train(docs, rounds=0)
+    model, _ = lm.train(docs, rounds=0)
     assert len(model.keys) == 200_000 and model.classes.n == 512 > lm.CLASSES and len(set(model.classes.of[: len(model.keys)])) > 400
