@@ -3,12 +3,16 @@
 1. One hash function maps each document's word shingles to 64 bits; the k smallest values are its sketch, a digest of all values its class key.  Equal
    sets fall into one class before anything is compared, so copies never meet each other.
 2. Retained values are ordered by how many classes retain them, rarest first.  Two sets with the wanted similarity share at least ``least_overlap``
-   values, so they meet in an inverted list of the first ``size - least_overlap + 1`` values of each; what follows, such as passages that very many
-   documents share, needs no list.
+   values, but with the chance MISS where both sets are larger than a sketch, so they meet in an inverted list of the first ``size - least_overlap + 1``
+   values of each; what follows, such as passages that very many documents share, needs no list.
 3. Lists of two give a pair, which the estimate from the union's sketch may drop.  In longer lists all members are compared with one pivot, the most
-   central one, by their full sets.  Two members that aren't both linked to the pivot can only be linked if
-   sum over cells of min(|x & pivot|, |y & pivot|) + min(s_x, s_y) >= j / (1 + j) * (|x| + |y|), where s counts what a member shares with another
-   one outside the pivot.  Only pairs within this bound are formed, filtered by their sketches and compared in full: no link is lost.
+   central one, by their full sets.  A member is then known by its difference D to the pivot, |x ^ y| = |D_x ^ D_y|, so two members that are linked share
+   at least (W_x + W_y) / 2 values of their differences, W = |D| - (1 - j) / (1 + j) * |x|, and as |D_x| and |D_y| differ by no more than |x ^ y|, W_y is no
+   less than W_x - 2 (1 - j) / (1 + j) * |x| / j.  The first values of each difference make new lists, exact prefixes for that overlap: those that the pivot
+   lacks before those that it has, the rarest of the group first, so what all copies have in common no longer occurs.  Lists that need a
+   bounded number of comparisons give the pairs whose sizes and places in the lists allow a link; longer ones get pivots of their own, until none is left.
+   Members that are connected already, through the pivot or one before it, aren't paired again; after the first ones pivots descend in a fixed order, so the
+   rounds end.  From here on no link between classes that aren't connected is lost.
 4. Classes are joined over the links by hooking and pointer jumping on tables in the shared folder.
 """
 
@@ -27,9 +31,12 @@ from pyspark.sql import functions as F
 from .common import cache, claim, prepare, written
 
 #: Words of a shingle, similarity as a fraction, values that a sketch retains, chance to miss a pair at the similarity.
-WORDS, SIMILAR, KEPT, MISS = 5, (3, 4), 48, 1e-6
-#: Cells by hash in which the intersection with a pivot is counted.
-CELLS = 16
+WORDS, SIMILAR, KEPT, MISS = 5, (3, 4), 48, 1e-9
+#: Members from which a first pivot is chosen anew, among so many central candidates, by likeness to so many members.
+MANY, CANDIDATES, JUDGES = 64, 16, 32
+#: Lists of differences whose members need at most so many comparisons of four numbers, with each other or of one side with the other, and have at most so
+#: many members, do without a pivot.
+CHECKS, SHORT = 1 << 17, 1 << 13
 #: Hashes of words that a Python worker remembers.
 REMEMBERED = 1 << 19
 
@@ -106,38 +113,37 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 
 def _compared(batches: Iterator[pa.RecordBatch], detailed: bool) -> Iterator[pa.RecordBatch]:
-    """a, b, sa, sb to a, b, both; detailed: also the intersection by cell and what b has outside a."""
+    """sa, sb, * to *, sizes of both sets, what they share; detailed: also what only b and what only a has."""
     for batch in batches:
-        a, b = batch.column(0), batch.column(1)
-        both, cells, outside = [], [], []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        na, nb, both, only_a, only_b = [], [], [], [], []
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
             at = np.searchsorted(x, y)
             at[at == len(x)] = 0
             shared = x[at] == y
+            na.append(len(x))
+            nb.append(len(y))
             both.append(int(shared.sum()))
             if detailed:
-                cells.append(np.bincount((y[shared].view(np.uint64) >> np.uint64(60)).astype(np.int64), minlength=CELLS).astype(np.int32))
-                outside.append(y[~shared])
-        cols = [a, b, pa.array(both, pa.int64())]
-        if detailed:
-            cols += [pa.array(cells, pa.list_(pa.int32())), pa.array(outside, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, ["a", "b", "both", "cells", "outside"][: len(cols)])
+                only = np.ones(len(x), bool)
+                only[at[shared]] = False
+                only_a.append(x[only])
+                only_b.append(y[~shared])
+        cols = [*batch.columns[2:], *(pa.array(c, pa.int64()) for c in (na, nb, both)), *([pa.array(c, pa.list_(pa.int64())) for c in (only_b, only_a)] if detailed else [])]
+        yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[2:], "na", "nb", "both", *(["more", "less"] if detailed else [])])
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, detailed: bool) -> DataFrame:
     """Compare pairs (a, b, *) in full; all their columns stay."""
-    extra = [c for c in pairs.columns if c not in ("a", "b")]
     on_b = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
-    rows = on_b.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
-    schema = "a long, b long, both long" + (", cells array<int>, outside array<long>" if detailed else "")
-    out = rows.mapInArrow(lambda it: _compared(it, detailed), schema)
-    return out.join(pairs, ["a", "b"]) if extra else out
+    rows = on_b.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").select("sa", "sb", *pairs.columns)
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema] + ["na long", "nb long", "both long"] + ["more array<long>", "less array<long>"] * detailed
+    return rows.mapInArrow(lambda it: _compared(it, detailed), ", ".join(schema))
 
 
-def _similar(both: Column, na: Column, nb: Column, similar) -> Column:
+def _similar(similar) -> Column:
     """both / union >= similar, in whole numbers."""
-    return F.lit(similar[1]) * both >= F.lit(similar[0]) * (na + nb - both)
+    return F.lit(similar[1]) * F.col("both") >= F.lit(similar[0]) * (F.col("na") + F.col("nb") - F.col("both"))
 
 
 def links(docs: DataFrame, words: int = WORDS, similar=SIMILAR, kept: int = KEPT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -148,10 +154,10 @@ def links(docs: DataFrame, words: int = WORDS, similar=SIMILAR, kept: int = KEPT
     grouped = members.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
 
-    # Inverted lists of the rarest retained values.
+    # Inverted lists of the rarest retained values.  Counts are written first, so that a join on a very common value can be split.
     least = F.element_at(F.array(*[F.lit(least_overlap(s, kept, similar)) for s in range(1, kept + 1)]), F.size("sketch"))
     entries = classes.select("cid", F.explode("sketch").alias("v"))
-    common = entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    common = written(entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "near-common")
     shared = entries.join(common, "v").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     placed = shared.join(classes.select("cid", "n", least.alias("least"), F.size("sketch").alias("kept")), "cid")
     # Values that no other class retains come first in the order, without lists.
@@ -159,8 +165,9 @@ def links(docs: DataFrame, words: int = WORDS, similar=SIMILAR, kept: int = KEPT
     central = F.aggregate("vs", F.lit(0.0), lambda s, x: s + F.log2(x["df"])) / F.col("kept")
     index = placed.filter(room > 0).select("cid", F.round(central, 6).alias("central"), F.explode(F.slice("vs", F.lit(1), F.least(room, F.size("vs")))).alias("x")).select(F.col("x.v").alias("v"), "cid", "central")
     index = written(index, "near-index")
-    lists = index.groupBy("v").agg(F.count("*").alias("m"), F.max(F.struct("central", "cid"))["cid"].alias("pivot")).filter("m > 1")
-    pairs = written(index.join(lists, "v").filter("cid <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cid").alias("b")).agg(F.max(F.col("m") > 2).alias("long")), "near-pairs")
+    lists = written(index.groupBy("v").agg(F.count("*").alias("m"), F.max(F.struct("central", "cid")).alias("pivot")).filter("m > 1"), "near-lists")
+    met = index.join(lists, "v").filter("cid <> pivot.cid").groupBy(F.col("pivot.cid").alias("a"), F.col("cid").alias("b"))
+    pairs = written(met.agg(F.max(F.col("m") > 2).alias("long"), F.first("central").alias("central"), F.first("pivot.central").alias("central_a")), "near-pairs")
 
     # Full sets of the classes that are in a list with others.
     active = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
@@ -169,33 +176,120 @@ def links(docs: DataFrame, words: int = WORDS, similar=SIMILAR, kept: int = KEPT
     # Equal texts can repeat under one identifier.
     sets = written(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "near-sets")
 
-    sized = classes.select("cid", "n", "sketch")
-    from_pairs = written(_with_sets(_estimated(pairs.filter("not long").select("a", "b"), sized, kept, similar), sets, False), "near-two")
-    probed = written(_with_sets(pairs.filter("long").select("a", "b"), sets, True), "near-probed")
+    pairs = _recentred(pairs, sets).select("a", "b", "long", "central", F.col("a").alias("ta"), F.col("b").alias("tb"))
+    found, single = [], []
+    while pairs is not None:
+        single.append(pairs.filter("NOT long").select("a", "b"))
+        if pairs.filter("long").isEmpty():
+            break
+        probed = written(_with_sets(pairs.filter("long"), sets, True), "near-probed")
+        found.append(probed.filter(_similar(similar)).select("a", "b", "both"))
+        pairs = _next_lists(probed, similar)
+    two = _estimated(_union(single).distinct(), classes.select("cid", "n", "sketch"), kept, similar)
+    found.append(_with_sets(two, sets, False).filter(_similar(similar)).select("a", "b", "both"))
+    return members, classes, written(_union(found).distinct(), "near-links")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
-    # What a member shares with others of its pivot's group outside the pivot.
-    outside = probed.select("a", "b", F.explode("outside").alias("v"))
-    again = outside.groupBy("a", "v").agg(F.count("*").alias("c")).filter("c > 1")
-    beside = outside.join(again, ["a", "v"]).groupBy("a", "b").agg(F.count("*").alias("s"))
-    n_of = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"))
-    group = probed.select("a", "b", "both", "cells").join(beside, ["a", "b"], "left").na.fill(0, ["s"]).join(n_of("b"), "b").join(n_of("a"), "a")
-    group = written(group.withColumn("linked", _similar(F.col("both"), F.col("na"), F.col("nb"), similar)), "near-group")
 
-    # Members that may still be linked to others than the pivot, in pairs within the bound.
+def _medoid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group's candidates the one most like its judges."""
+    for batch in batches:
+        best = []
+        for rows in batch.column(1).to_pylist():
+            sets = [(r["judge"], r["b"], np.frombuffer(r["shingles"], np.int64)) for r in rows]
+            likeness = {}
+            for judge, b, x in sets:
+                if not judge:
+                    both = [len(np.intersect1d(x, y, assume_unique=True)) for other, _, y in sets if other]
+                    likeness[b] = sum(n / (len(x) + len(y) - n) for n, (_, _, y) in zip(both, (s for s in sets if s[0]), strict=True))
+            best.append(max(likeness, key=lambda b: (round(likeness[b], 9), b)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int64())], ["a", "best"])
+
+
+def _recentred(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The same groups, but those of many members with the pivot that is most like a few of them.  A better pivot saves work; it changes no result."""
+    many = pairs.filter("long").groupBy("a").agg(F.count("*").alias("m"), F.first("central_a").alias("central_a")).filter(F.col("m") > MANY)
+    many = written(many.select("a", "central_a"), "near-many")
+    if many.isEmpty():
+        return pairs
+    inside = pairs.filter("long").select("a", "b", "central").join(many.select("a"), "a", "left_semi")
+    place = lambda *by: F.row_number().over(Window.partitionBy("a").orderBy(*by))
+    candidates = inside.withColumn("n", place(F.desc("central"), F.desc("b"))).filter(F.col("n") < CANDIDATES)
+    judges = inside.withColumn("n", place(F.xxhash64("b"), F.col("b"))).filter(F.col("n") <= JUDGES)
+    asked = candidates.select("a", "b", F.lit(False).alias("judge")).unionByName(judges.select("a", "b", F.lit(True).alias("judge"))).unionByName(many.select("a", F.col("a").alias("b"), F.lit(False).alias("judge")))
+    told = asked.join(sets.withColumnRenamed("cid", "b"), "b").groupBy("a").agg(F.collect_list(F.struct("judge", "b", "shingles")).alias("x"))
+    chosen = told.mapInArrow(_medoid, "a long, best long").join(many, "a").select(F.col("a").alias("was"), "best", "central_a")
+    chosen = written(chosen, "near-chosen")
+    moved = pairs.filter("long").join(chosen.withColumnRenamed("central_a", "c"), F.col("a") == F.col("was"))
+    old = F.col("b") == F.col("best")
+    moved = moved.select(F.col("best").alias("a"), F.when(old, F.col("a")).otherwise(F.col("b")).alias("b"), "long", F.when(old, F.col("c")).otherwise(F.col("central")).alias("central")).filter("a <> b")
+    kept = pairs.join(chosen, F.col("long") & (F.col("a") == F.col("was")), "left_anti").select("a", "b", "long", "central")
+    return written(kept.unionByName(moved).groupBy("a", "b").agg(F.max("long").alias("long"), F.first("central").alias("central")), "near-pairs")
+
+
+def _next_lists(probed: DataFrame, similar) -> DataFrame | None:
+    """From members compared with their pivots (a, b, tags, sizes, more, less), the pairs with new pivots; None if all that can be linked is connected or paired.
+
+    Two classes with one tag are known to be connected.  ``con``: connected with the pivot.  Two connected ones need no pair; one that isn't has a W above
+    (q - p) * n of the pivot, so every pair that needs to be compared has a positive overlap.
+    """
     p, q = similar
-    inside = lambda c, s, n: F.lit(p + q) * (c + s) >= F.lit(p) * n
-    y = group.filter(~F.col("linked") & inside(F.col("both"), F.col("s"), F.col("nb") + F.ceil(F.col("nb") * p / q)))
-    y = y.select("a", F.col("b").alias("y"), F.col("both").alias("iy"), F.col("s").alias("sy"), F.col("nb").alias("ny"), F.col("cells").alias("cy"))
-    x = group.select("a", F.col("b").alias("x"), F.col("both").alias("ix"), F.col("s").alias("sx"), F.col("nb").alias("nx"), F.col("cells").alias("cx"), F.col("linked").alias("lx"))
-    total, least_s = F.col("nx") + F.col("ny"), F.least("sx", "sy")
-    cells = sum((F.least(F.get("cx", F.lit(i)), F.get("cy", F.lit(i))) for i in range(CELLS)), F.lit(0))
-    rest = y.join(x, "a").filter((F.col("x") != F.col("y")) & (F.col("lx") | (F.col("x") > F.col("y"))) & inside(F.least("ix", "iy"), least_s, total) & inside(cells, least_s, total))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    from_rest = written(_with_sets(_estimated(written(rest, "near-rest"), sized, kept, similar), sets, False), "near-more")
-
-    found = from_pairs.unionByName(from_rest).join(n_of("a"), "a").join(n_of("b"), "b").filter(_similar(F.col("both"), F.col("na"), F.col("nb"), similar)).select("a", "b", "both")
-    found = found.unionByName(group.filter("linked").select("a", "b", "both"))
-    return members, classes, written(found, "near-links")
+    tag = F.when(_similar(similar), F.col("ta")).otherwise(F.col("tb"))
+    size = F.col("na") + F.col("nb") - 2 * F.col("both")
+    known = probed.withColumn("tag", tag).withColumn("con", F.col("tag") == F.col("ta")).withColumn("d", size).withColumn("w", F.lit(p + q) * size - F.lit(q - p) * F.col("nb"))
+    ends = known.groupBy("a").agg(F.min(F.when(~F.col("con"), F.col("w"))).alias("wu"), F.min(F.when(F.col("con"), F.col("w"))).alias("wc"), F.min("tag").alias("lo"), F.max("tag").alias("hi"))
+    ends = written(ends.filter("lo <> hi").select("a", "wu", "wc"), "near-ends")
+    if ends.isEmpty():
+        return None
+    alone = F.ceil((F.lit(p) * F.col("w") - F.lit((q - p) * q) * F.col("nb")) / F.lit(p * (p + q)))  # by the size of its own difference
+    overlap = lambda least: F.when(F.col(least).isNotNull(), F.greatest(F.lit(1), alone, F.ceil((F.col("w") + F.col(least)) / F.lit(2 * (p + q)))))
+    # How long a prefix is among the unconnected, and between them and the connected: what is left of the difference, and a value more.
+    prefix = lambda c: F.coalesce(F.greatest(F.lit(0), F.col("d") - c + 1), F.lit(0)).cast("int")
+    live = known.join(ends, "a").withColumn("ru", prefix(overlap("wu"))).withColumn("rc", F.when(F.col("con"), 0).otherwise(prefix(overlap("wc"))))
+    live = live.filter("ru > 0 OR rc > 0")
+    # Values that the pivot lacks come first; those that it has are needed only where a prefix reaches beyond them.
+    less = F.when(F.greatest("ru", "rc") > F.size("more"), F.col("less")).otherwise(F.array().cast("array<long>"))
+    both = F.concat(F.transform("more", lambda v: F.struct(F.lit(0).alias("o"), v.alias("v"))), F.transform(less, lambda v: F.struct(F.lit(1).alias("o"), v.alias("v"))))
+    values = live.select("a", "b", "tag", "con", "central", "d", "w", "nb", "ru", "rc", F.size("more").alias("first"), F.size("less").alias("second"), F.explode(both).alias("x")).select("*", "x.o", "x.v").drop("x")
+    common = written(values.groupBy("a", "v").agg(F.count("*").alias("df")).filter("df > 1"), "near-common")
+    order = F.array_sort(F.collect_list(F.struct("o", "df", "v")))
+    placed = values.join(common, ["a", "v"]).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("tag", "con", "central", "d", "w", "nb", "ru", "rc", "first", "second")], order.alias("vs"))
+    # Among values of one kind those that no other member has come first, without lists.
+    placed = placed.withColumn("n0", F.size(F.filter("vs", lambda x: x["o"] == 0))).withColumn("n1", F.size("vs") - F.col("n0"))
+    upto = lambda room, n: F.least(F.greatest(F.lit(0), room), F.col(n))
+    inside = lambda room: upto(F.col(room) - F.col("first") + F.col("n0"), "n0") + upto(F.col(room) - F.col("first") - F.col("second") + F.col("n1"), "n1")
+    kind = lambda k, room, when: F.struct(F.lit(k).alias("kind"), F.when(when, inside(room)).otherwise(0).alias("room"))
+    kinds = placed.withColumn("k", F.explode(F.array(kind(0, "ru", ~F.col("con")), kind(1, "ru", F.col("con")), kind(1, "rc", ~F.col("con"))))).filter("k.room > 0")
+    entries = kinds.select("*", F.posexplode(F.slice("vs", F.lit(1), F.col("k.room"))).alias("t", "x"))
+    place = F.when(F.col("x.o") == 0, F.col("first") - F.col("n0") + F.col("t")).otherwise(F.col("first") + F.col("second") - F.col("n1") - F.col("n0") + F.col("t"))
+    entries = entries.select("a", F.col("k.kind").alias("kind"), F.col("x.v").alias("v"), "b", "tag", "con", "central", "d", "w", F.col("nb").alias("n"), (F.col("d") - place).alias("left"))
+    entries = written(entries, "near-index")
+    # What the first value that two members share leaves of both must hold their overlap; here, that with the likeliest partner of the list.
+    least = entries.groupBy("a", "kind", "v").agg(F.min(F.when(F.col("con"), F.col("w"))).alias("lc"), F.min(F.when(~F.col("con"), F.col("w"))).alias("lu"), F.count("*").alias("m")).filter("m > 1")
+    partner = F.when((F.col("kind") == 0) | F.col("con"), F.col("lu")).otherwise(F.col("lc"))
+    entries = entries.join(written(least.drop("m"), "near-least"), ["a", "kind", "v"]).filter(2 * (p + q) * F.col("left") >= F.col("w") + partner).drop("lc", "lu")
+    entries = written(entries, "near-index")
+    lists = entries.groupBy("a", "kind", "v").agg(F.count("*").alias("m"), F.count_if("con").alias("mc"), F.max(F.struct("central", "b", "tag")).alias("top"), F.min("tag").alias("lo"), F.max("tag").alias("hi"))
+    lists = lists.filter("m > 1 AND lo <> hi AND (kind = 0 OR mc BETWEEN 1 AND m - 1)")
+    checks = F.when(F.col("kind") == 0, F.col("m") * (F.col("m") - 1) / 2).otherwise(F.col("mc") * (F.col("m") - F.col("mc")))
+    lists = written(lists.select("a", "kind", "v", ((F.col("m") <= SHORT) & (checks <= CHECKS)).alias("short"), "top"), "near-lists")
+    met = entries.join(lists, ["a", "kind", "v"])
+    tags = F.struct((F.col("tag") != F.col("top.tag")).alias("apart"), F.col("top.tag").alias("ta"), F.col("tag").alias("tb"))
+    long = met.filter(~F.col("short") & (F.col("b") != F.col("top.b"))).groupBy(F.col("top.b").alias("a"), "b").agg(F.first("central").alias("central"), F.min(tags).alias("t"))
+    long = long.select("a", "b", F.lit(True).alias("long"), "central", "t.ta", "t.tb")
+    side = lambda con: F.collect_list(F.when(con, F.struct("central", "b", "tag", "d", "w", "n", "left")))
+    short = met.filter("short").groupBy("a", "kind", "v").agg(side(F.col("con") | (F.col("kind") == 0)).alias("xs"), side(~F.col("con")).alias("ys"))
+    can = lambda x, y: (2 * (p + q) * F.least(x["left"], y["left"]) >= x["w"] + y["w"]) & ((p + q) * F.abs(x["d"] - y["d"]) <= (q - p) * (x["n"] + y["n"])) & (p * x["n"] <= q * y["n"]) & (p * y["n"] <= q * x["n"])
+    needed = lambda x: F.filter("ys", lambda y: (x["tag"] != y["tag"]) & can(x, y) & ((F.col("kind") == 1) | (x["b"] < y["b"])))
+    both = F.flatten(F.transform("xs", lambda x: F.transform(needed(x), lambda y: F.struct(F.least(x["b"], y["b"]).alias("a"), F.greatest(x["b"], y["b"]).alias("b")))))
+    short = short.select(F.explode(both).alias("x")).select("x.a", "x.b").distinct()
+    return written(long.unionByName(short.withColumn("long", F.lit(False)), allowMissingColumns=True), "near-pairs")
 
 
 def _estimated(pairs: DataFrame, sized: DataFrame, kept: int, similar) -> DataFrame:
