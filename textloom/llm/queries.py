@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm, mixing, near_dedup, packing, quality, rollups, tokens, topk, toxicity, wavelet
+from . import divergence, exact_dedup, lm, mixing, near_dedup, packing, quality, rollups, simhash, tokens, topk, toxicity, turns, wavelet
 from .common import prepare, scratch_path, table, tidied, written
 
 
@@ -66,6 +66,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(prepare(spark), sf_dir, "documents"), tokens.public("byte_bpe_50k.json"), False, 0)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, also those of which the damage leaves no turn."""
+    told = table(prepare(spark), sf_dir, "conversations")
+    made = turns.repaired(turns.damaged(told)).withColumnRenamed("conv_id", "c")
+    every = told.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    out = every.join(made, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("repaired", F.lit("")).cast("binary"), 256).alias("repaired_sha256"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes_of(table(prepare(spark), sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(prepare(spark), sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -149,5 +167,57 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW g AS (PARTITION BY t)"""
 
 
+def _repair_sql() -> str:
+    """The fold in SQL: a state is a string of the cost's nine digits and the audit, so that the least string is the best state."""
+    plus = lambda x, cost, letter: f"(lpad((left({x}, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({x}, 10) || {letter})"
+    gone = lambda x: plus(x, turns.DELETE, "'D'")
+    kept = lambda x, initial: f"CASE WHEN kind < 2 THEN {plus(x, f'(kind + CASE WHEN initial = {initial!r} THEN 0 ELSE {turns.REROLE} END)', f'CASE WHEN initial = {initial!r} THEN {chr(39)}K{chr(39)} ELSE {chr(39)}R{chr(39)} END')} ELSE '~' END"
+    system = f"CASE WHEN kind < 2 AND initial = 's' THEN {plus('s0', 'kind', chr(39) + 'K' + chr(39))} ELSE '~' END"
+    user, other = f"least(s2, {plus('least(s0, s1, s3)', turns.INSERT, chr(39) + 'I' + chr(39))})", f"least(s3, {plus('u', turns.INSERT, chr(39) + 'I' + chr(39))})"
+    never = f"{9 * 10**8}"
+    return rf"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '.'), lambda c: ascii(c)::BIGINT)),
+        lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS fault FROM conversations)
+, d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS n FROM m WHERE fault <> 0)
+, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), n) AS place FROM d)
+, f AS (SELECT conv_id, turn, role, text, place, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS prev,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'sound' END AS fault FROM o)
+, t AS (SELECT *, CASE fault WHEN 'sound' THEN 0 WHEN 'truncated' THEN {turns.TRUNCATED} ELSE 2 END AS kind FROM f)
+, fold AS (SELECT DISTINCT conv_id, 0::BIGINT AS seen, '000000000' AS s0, '{never}' AS s1, '{never}' AS s2, '{never}' AS s3 FROM t
+    UNION ALL SELECT conv_id, place, {gone("s0")}, least({gone("s1")}, {system}), least({gone("u")}, {kept("least(s0, s1, v)", "u")}), least({gone("v")}, {kept("u", "a")})
+    FROM (SELECT *, {other} AS v FROM (SELECT fold.*, t.place, t.initial, t.kind, {user} AS u FROM fold JOIN t ON t.conv_id IS NOT DISTINCT FROM fold.conv_id AND t.place = fold.seen + 1)))
+, z AS (SELECT conv_id, least(s0, v) AS best FROM (SELECT *, {other} AS v FROM (SELECT *, {user} AS u FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seen DESC) AS back FROM fold) WHERE back = 1)))
+, c AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (prev || initial NOT IN ('su', 'ua', 'au')) AS illegal, list({{'role': role, 'text': text}} ORDER BY place) AS said FROM t GROUP BY conv_id)
+, e AS (SELECT z.conv_id, substr(best, 10) AS audit, left(best, 9)::BIGINT AS cost, c.* EXCLUDE (conv_id) FROM z JOIN c ON z.conv_id IS NOT DISTINCT FROM c.conv_id)
+, g AS (SELECT *, length(audit) - length(ltrim(audit, 'D')) + 1 AS front FROM e)
+, h AS (SELECT *, CASE WHEN audit[front] = 'K' AND left(said[front].role, 1) = 's' THEN 1 ELSE 0 END AS shift FROM g)
+, r AS (SELECT *, array_to_string(list_filter(list_transform(range(1, length(audit) + 1), lambda i: CASE audit[i] WHEN 'D' THEN NULL WHEN 'K' THEN said[length(replace(audit[1:i], 'I', ''))].role
+        ELSE CASE WHEN (length(replace(audit[1:i], 'D', '')) + shift) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN audit[i] = 'I' THEN '' ELSE said[length(replace(audit[1:i], 'I', ''))].text END), lambda x: x IS NOT NULL), chr(10)) AS repaired FROM h)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+    coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN r ON a.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+
+_OP13 = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+, w AS MATERIALIZED (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d)
+, k AS MATERIALIZED (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= {divergence.LEAST_DOCS})
+, c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL)
+, g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d)
+, v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang)
+, ns AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL)
+, nl AS (SELECT lang, sum(n) AS total FROM c GROUP BY ALL)
+, q AS (SELECT c.lang, c.term, 1 + (1000000000::HUGEINT * (sum(c.n) + {divergence.ADDED})) // (any_value(nl.total) + {divergence.ADDED} * any_value(v.v)) AS q FROM c JOIN nl USING (lang) JOIN v USING (lang) GROUP BY ALL)
+, p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + {divergence.ADDED})) // (coalesce(ns.total, 0) + {divergence.ADDED} * v.v))::BIGINT AS p
+    FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN ns USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term)
+, s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL)
+, x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL SELECT p.lang, p.source, 'term', p.term, (p.p - q.q)::BIGINT FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM x) WHERE part = 'pair' OR rank <= {divergence.REPORTED}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _mixing_sql(), "op4_minhash_near_dedup": _OP4, "op5_norm_sorted_topk": _OP5, "op6_exact_dedup": _OP6}
+    return {"op3_mixing": _mixing_sql(), "op4_minhash_near_dedup": _OP4, "op5_norm_sorted_topk": _OP5, "op6_exact_dedup": _OP6, "op11_conversation_repair": _repair_sql(), "op13_source_divergence": _OP13}
