@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
-Every document gets whole copies that are certain, and odds for one copy more.  Odds follow a weight for the document's length class, scaled in each
-source so that the expected words equal the source's target.  Documents are then ranked by Q = [u / (1 - u)] / [p / (1 - p)], with u a uniform number
-from a hash of identifier, text and, for rows equal in both, a running number, and p the inclusion probability, and the ranking is cut where the words left
-to take are used up: a sample of fixed size in words.  The cut is found by histograms over Q, never by one ordered scan of a source.
+Every document gets whole copies that are certain, and odds for one copy more.  Odds follow a weight for the octave of the document's length, scaled in each
+source so that the expected words equal the source's target.  Documents are ranked by Q = [u / (1 - u)] / [p / (1 - p)], with u a uniform number
+from a hash of identifier, text and, for rows equal in both, a running number, and p the inclusion probability; of each source and length class, an eighth of
+an octave, those of smallest Q are taken, in fixed number.  The numbers are the expected ones, rounded at random from the longest class down, each a little
+less or more for what longer classes took in words beyond or below what they should: so a document's chance is p, and a source's words come within about one
+document of its target.  The cut of a class is found by histograms over Q, never by one ordered scan.
 """
 
 from __future__ import annotations
@@ -17,12 +19,15 @@ from .common import word_count, written
 
 #: Weights of sources in order of their names, repeating; words of the mix per word of input; copies that a document may have.
 WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2
-#: Length classes are powers of two in words; a document's weight falls by this part from one class to the next.
-CLASS_FALL = 0.02
-#: Classes from this on count as one, so sources have a fixed number of them.
-TOP_CLASS = 40
-#: Cells of one histogram level of the rank, and rounds of filling what the cut leaves over.
-CELLS, FILLS = 4096, 3
+#: A document's weight falls by this part from one octave of words to the next; length classes of an octave.
+CLASS_FALL, PARTS = 0.02, 8
+#: Octaves from this on count as one class, so sources have a fixed number of them.
+TOP_OCTAVE = 40
+#: By this part a class takes more or less than expected, at most, for what longer classes took.  Where few documents are left to make up for a long one, a
+#: larger part would come nearer to the words and farther from the odds.
+GIVE = 0.4
+#: Parts of a word in which that is counted, and cells of one histogram level of the rank.
+FINE, CELLS = 1024, 4096
 #: Rows of the table of sources and length classes up to which tables of sources are broadcast; beyond, they are joined by shuffles.
 FEW = 200_000
 
@@ -91,14 +96,16 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _class() -> Column:
-    """Floor of log2(size + 1), at most TOP_CLASS."""
-    return F.least(F.length(F.bin(F.col("size") + 1)) - 1, F.lit(TOP_CLASS)).cast("int")
+    """PARTS classes of equal width for each octave of size + 1; class 0 holds texts without words alone."""
+    octave = F.length(F.bin(F.col("size") + 1)) - 1
+    part = F.expr(f"shiftright((size + 1) * {PARTS}, length(bin(size + 1)) - 1)") - PARTS
+    return F.when(octave < TOP_OCTAVE, octave * PARTS + part).otherwise(F.lit(TOP_OCTAVE * PARTS)).cast("int")
 
 
 def _scaled(classes: DataFrame, most: int) -> DataFrame:
     """``source, class, words, target`` to expected copies for each class: min(most, level * weight of the class), by source to its target."""
-    falls = F.array(*[F.lit(class_weight(c)) for c in range(TOP_CLASS + 1)])
-    classes = classes.withColumn("w", F.element_at(falls, F.col("class") + 1))
+    falls = F.array(*[F.lit(class_weight(c)) for c in range(TOP_OCTAVE + 1)])
+    classes = classes.withColumn("w", F.element_at(falls, F.floor(F.col("class") / PARTS).cast("int") + 1))
     of = Window.partitionBy("source").orderBy("class")
     before, whole = of.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("source")
     # Short documents have the largest weight and so reach the most copies first.
@@ -114,41 +121,60 @@ def _scaled(classes: DataFrame, most: int) -> DataFrame:
     return out.withColumn("x", copies).select("source", "class", F.when(F.abs(F.col("x") - F.round("x")) < 1e-9, F.round("x")).otherwise(F.col("x")).alias("copies"))
 
 
-def class_weight(c: int) -> int:
-    return round(10_000 * (1 - CLASS_FALL) ** c)
+def class_weight(octave: int) -> int:
+    return round(10_000 * (1 - CLASS_FALL) ** octave)
 
 
-def _threshold(pool: DataFrame, room: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``source, k, t, left``: the last (key, tie) of a source whose words, in this order, fit in its room, and the words then left."""
+def _numbers(rates: DataFrame, seed: str) -> DataFrame:
+    """``source, class, words, docs, copies`` to ``s, c, take``: how many documents of a class get one copy more.
+
+    One fold over a source's classes, of which there are at most TOP_OCTAVE * PARTS + 1, from the longest down.
+    """
+    p = F.col("copies") - F.floor("copies")
+    expected = F.floor(p * F.col("words") * FINE + 0.5).cast("long")
+    u = uniform(F.md5(F.concat_ws("/", F.lit(seed), F.lit("class"), F.coalesce("source", F.lit("null")), F.col("class").cast("string")).cast("binary")))
+    # What is expected of this class and all shorter ones.
+    told = rates.filter((p > 0) & (F.col("words") > 0)).withColumn("p", p).withColumn("e", expected).withColumn("u", u)
+    told = told.withColumn("rest", F.sum("e").over(Window.partitionBy("source").orderBy("class")))
+
+    def number(s: Column, x: Column) -> Column:
+        over = F.when(x["rest"] > 0, s["over"].cast("double") / F.when(x["rest"] > 0, x["rest"]).otherwise(1).cast("double")).otherwise(0.0)
+        give = F.lit(1.0) - F.greatest(F.lit(-GIVE), F.least(F.lit(GIVE), over))
+        return F.least(x["docs"], F.floor(x["p"] * x["docs"] * give + x["u"]).cast("long"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = number(s, x)
+        words = F.floor((n * x["words"] * FINE).cast("double") / x["docs"].cast("double")).cast("long")
+        return F.struct((s["over"] + words - x["e"]).alias("over"), F.concat(s["takes"], F.array(F.struct(x["class"].alias("class"), n.alias("take")))).alias("takes"))
+
+    xs = F.sort_array(F.collect_list(F.struct("class", "docs", "words", "p", "e", "rest", "u")), asc=False)
+    begun = F.struct(F.lit(0).cast("long").alias("over"), F.array().cast("array<struct<class:int,take:bigint>>").alias("takes"))
+    folded = told.groupBy("source").agg(F.aggregate(xs, begun, step)["takes"].alias("takes"))
+    return folded.select(F.col("source").alias("s"), F.explode("takes").alias("x")).select("s", F.col("x.class").alias("c"), F.col("x.take").alias("take"))
+
+
+def _cuts(pool: DataFrame, takes: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``sid, k, t``: the (key, tie) of the last one that a stratum takes."""
     fine = F.floor((F.col("key") * CELLS - F.col("cell")) * CELLS).cast("int")
     pool = pool.withColumn("cell", F.floor(F.col("key") * CELLS).cast("int")).withColumn("fine", fine)
 
     def first_over(rows: DataFrame, at: list[str], room: DataFrame) -> DataFrame:
-        h = rows.groupBy("source", *at).agg(F.sum("size").alias("words"))
-        h = h.join(small(room.select(F.col("source").alias("s"), "room")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        h = h.withColumn("run", F.sum("words").over(Window.partitionBy("source").orderBy(*at))).filter(F.col("run") > F.col("room"))
-        h = h.groupBy("source").agg(F.min(F.struct(*at, (F.col("room") - F.col("run") + F.col("words")).alias("r"))).alias("x"))
-        return h.select(F.col("source").alias("s"), *[F.col(f"x.{c}").alias(f"{c}_cut") for c in at], F.col("x.r").alias("room"))
-
-    on = F.col("source").eqNullSafe(F.col("s"))
-    rough = first_over(pool, ["cell"], room)
-    inside = pool.join(small(rough.select("s", "cell_cut")), on & (F.col("cell") == F.col("cell_cut"))).drop("s", "cell_cut")
-    close = first_over(inside, ["cell", "fine"], rough.select(F.col("s").alias("source"), "room"))
-    last = inside.join(small(close), on & (F.col("cell") == F.col("cell_cut")) & (F.col("fine") == F.col("fine_cut")))
-    order = Window.partitionBy("source").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    last = last.withColumn("run", F.sum("size").over(order)).filter(F.col("run") <= F.col("room"))
-    last = last.groupBy(F.col("source").alias("z")).agg(F.max(F.struct("key", "tie")).alias("end"), F.sum("size").alias("got"))
-    total = pool.groupBy(F.col("source").alias("q")).agg(F.sum("size").alias("all"))
-    out = room.join(small(close.withColumnRenamed("room", "room_in")), on, "left")
-    out = out.join(small(last), F.col("source").eqNullSafe(F.col("z")), "left").join(small(total), F.col("source").eqNullSafe(F.col("q")), "left")
-    edge = (F.col("cell_cut") + F.col("fine_cut") / F.lit(float(CELLS))) / F.lit(float(CELLS))
-    cut = F.col("cell_cut").isNotNull()
-    return out.select(
-        "source",
-        F.when(F.col("end").isNotNull(), F.col("end.key")).when(cut, edge).otherwise(F.lit(2.0)).alias("k"),
-        F.coalesce(F.col("end.tie"), F.lit(-(1 << 63))).cast("long").alias("t"),
-        F.when(cut, F.col("room_in") - F.coalesce(F.col("got"), F.lit(0))).otherwise(F.col("room") - F.coalesce(F.col("all"), F.lit(0))).cast("long").alias("left"),
-    )
+        """``sid``, the cell in which the room is used up, and the room left there."""
+        h = rows.groupBy("sid", *at).agg(F.count("*").alias("n")).join(small(room), "sid")
+        h = h.withColumn("run", F.sum("n").over(Window.partitionBy("sid").orderBy(*at))).filter(F.col("run") > F.col("room"))
+        h = h.groupBy("sid").agg(F.min(F.struct(*at, (F.col("room") - F.col("run") + F.col("n")).alias("r"))).alias("x"))
+        return h.select("sid", *[F.col(f"x.{c}").alias(c) for c in at], F.col("x.r").alias("room"))
+
+    rough = first_over(pool, ["cell"], takes.select("sid", F.col("take").alias("room")))
+    inside = pool.join(small(rough.select("sid", "cell")), ["sid", "cell"])
+    close = first_over(inside, ["cell", "fine"], rough.select("sid", "room"))
+    last = inside.join(small(close), ["sid", "cell", "fine"])
+    last = last.withColumn("n", F.row_number().over(Window.partitionBy("sid").orderBy("key", "tie"))).filter(F.col("n") <= F.col("room"))
+    last = last.groupBy("sid").agg(F.max(F.struct("key", "tie")).alias("end"))
+    out = takes.join(small(close), "sid", "left").join(small(last), "sid", "left")
+    edge = (F.col("cell") + F.col("fine") / F.lit(float(CELLS))) / F.lit(float(CELLS))
+    k = F.when(F.col("end").isNotNull(), F.col("end.key")).when(F.col("cell").isNotNull(), edge).otherwise(F.lit(2.0))
+    return out.select("sid", k.alias("k"), F.coalesce(F.col("end.tie"), F.lit(-(1 << 63))).cast("long").alias("t"))
 
 
 class Mix:
@@ -158,29 +184,25 @@ class Mix:
         self.cols, self.seed = (id_col, text_col, source_col), seed
         sized = _numbered(written(_told(docs, id_col, text_col, source_col), "mix-sizes"))
         self.sized = sized
-        # At most TOP_CLASS + 1 rows per source.
-        by_class = written(sized.withColumn("class", _class()).groupBy("source", "class").agg(F.sum("size").alias("words")), "mix-classes")
+        # At most TOP_OCTAVE * PARTS + 1 rows per source.
+        by_class = written(sized.withColumn("class", _class()).groupBy("source", "class").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "mix-classes")
         self.few = by_class.count() <= FEW
         self.targets = targets(by_class.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
         joined = by_class.join(self._small(self.targets.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         copies = _scaled(joined, most).withColumnsRenamed({"source": "cs", "class": "cc"})
-        out = joined.join(copies, F.col("source").eqNullSafe(F.col("cs")) & (F.col("class") == F.col("cc")))
-        self.rates = written(out.select("source", "class", "source_size", "target", "copies", (F.floor("copies") * F.col("words")).cast("long").alias("sure")), "mix-rates")
-        # Words to take by sampling, rounded to the nearest.
-        room = self.rates.groupBy("source").agg(F.floor(F.max("target") + F.lit(0.5)).cast("long").alias("goal"), F.sum("sure").alias("sure")).select("source", (F.col("goal") - F.col("sure")).alias("room"))
-        pool = self._ranked(sized).filter((F.col("key") < 1) & (F.col("size") > 0)).select("source", "key", "tie", "size")
-        self.cuts = [written(_threshold(pool, room, self._small), "mix-cut")]
-        for _ in range(FILLS - 1):
-            prev = self.cuts[-1].select(F.col("source").alias("s0"), F.col("k").alias("k0"), F.col("t").alias("t0"), "left")
-            rest = pool.join(self._small(prev), F.col("source").eqNullSafe(F.col("s0"))).filter(_after(F.col("key"), F.col("tie"), F.col("k0"), F.col("t0")) & (F.col("size") <= F.col("left")))
-            self.cuts.append(written(_threshold(rest.select("source", "key", "tie", "size"), self.cuts[-1].select("source", F.col("left").alias("room")), self._small), "mix-cut"))
+        rates = joined.join(copies, F.col("source").eqNullSafe(F.col("cs")) & (F.col("class") == F.col("cc"))).drop("cs", "cc")
+        rates = written(rates.withColumn("sid", F.monotonically_increasing_id()), "mix-rates")
+        takes = rates.join(_numbers(rates, seed), F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")), "left")
+        self.rates = written(takes.select("sid", "source", "class", "source_size", "target", "copies", F.coalesce("take", F.lit(0)).alias("take")), "mix-takes")
+        pool = self._ranked(sized).filter((F.col("key") < 1) & (F.col("size") > 0)).select("sid", "key", "tie")
+        self.cuts = written(_cuts(pool, self.rates.select("sid", "take"), self._small), "mix-cuts")
 
     def _small(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.few else df
 
     def _ranked(self, sized: DataFrame) -> DataFrame:
-        """Adds class, the source's figures, whole copies and the rank: key in [0, 1), 2 where no odds are left, and tie."""
-        r = self.rates.select(F.col("source").alias("rs"), F.col("class").alias("rc"), "source_size", "target", "copies")
+        """Adds class, stratum, the source's figures, expected copies and the rank: key in [0, 1), 2 where no odds are left, and tie."""
+        r = self.rates.select(F.col("source").alias("rs"), F.col("class").alias("rc"), "source_size", "target", "copies", "sid")
         out = sized.withColumn("class", _class()).join(self._small(r), F.col("source").eqNullSafe(F.col("rs")) & (F.col("class") == F.col("rc")), "left").drop("rs", "rc")
         out = out.withColumn("digest", digest(self.seed)).withColumn("tie", F.conv(F.substring("digest", 14, 15), 16, 10).cast("long"))
         u, p = uniform(F.col("digest")), F.col("copies") - F.floor("copies")
@@ -189,17 +211,11 @@ class Mix:
 
     def copies_of(self, sized: DataFrame) -> DataFrame:
         """Adds ``source_size, target, taken_copies`` to rows with ``doc_id, source, size, h, copy``."""
-        out = self._ranked(sized)
-        tie, extra = F.col("tie"), F.lit(False)
-        for i, c in enumerate(self.cuts):
-            out = out.join(self._small(c.select(F.col("source").alias(f"s{i}"), F.col("k").alias(f"k{i}"), F.col("t").alias(f"t{i}"), F.col("left").alias(f"left{i}"))), F.col("source").eqNullSafe(F.col(f"s{i}")), "left")
-            inside = ~_after(F.col("key"), tie, F.col(f"k{i}"), F.col(f"t{i}"))
-            if i:
-                inside &= _after(F.col("key"), tie, F.col(f"k{i - 1}"), F.col(f"t{i - 1}")) & (F.col("size") <= F.col(f"left{i - 1}"))
-            extra |= inside
-        drop = [f"{x}{i}" for x in ("s", "k", "t", "left") for i in range(len(self.cuts))]
-        taken = F.floor(F.coalesce("copies", F.lit(0.0))) + F.when((F.col("key") < 1) & (F.col("size") > 0) & extra, 1).otherwise(0)
-        return out.withColumn("taken_copies", taken.cast("int")).drop(*drop, "class", "copies", "q", "key", "digest", "tie")
+        cuts = self.cuts.select(F.col("sid").alias("cut"), "k", "t")
+        out = self._ranked(sized).join(self._small(cuts), F.col("sid") == F.col("cut"), "left")
+        inside = (F.col("key") < F.col("k")) | ((F.col("key") == F.col("k")) & (F.col("tie") <= F.col("t")))
+        taken = F.floor(F.coalesce("copies", F.lit(0.0))) + F.when((F.col("key") < 1) & (F.col("size") > 0) & inside, 1).otherwise(0)
+        return out.withColumn("taken_copies", taken.cast("int")).drop("cut", "k", "t", "sid", "class", "copies", "q", "key", "digest", "tie")
 
     def repeated(self, docs: DataFrame) -> DataFrame:
         """The documents themselves, each as often as the mix takes it."""
@@ -209,10 +225,6 @@ class Mix:
         return out.select("row.*")
 
 
-def _after(key: Column, tie: Column, k: Column, t: Column) -> Column:
-    return (key > k) | ((key == k) & (tie > t))
-
-
 def mix(docs: DataFrame, **kw) -> DataFrame:
     """``doc_id, size, source_size, target, taken, source`` for every row of docs; see Mix for the keywords.
 
