@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .common import prepare, written
 from .tokens import encoder
 
-#: Tokens of a sequence; pieces of a partition; partitions at least, from SINGLE_ROWS pieces on.
-LENGTH, GROUP_ROWS, LEAST_GROUPS, SINGLE_ROWS = 2048, 20_000, 4, 250
-#: Room that a sequence must have to give up its documents, in each round of exchange, as a right shift of the length.
+#: Tokens of a sequence, pieces of a partition.
+LENGTH, GROUP_ROWS = 2048, 20_000
+#: Room that a sequence must have to give up its documents, in each round of exchange, as a right shift of the length.  In the last round it is one token.
 ROOMS = (3, 6, 11)
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -102,7 +102,7 @@ def _packed(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 
 def groups_for(rows: int) -> int:
-    return 1 if rows < SINGLE_ROWS else max(LEAST_GROUPS, -(-rows // GROUP_ROWS))
+    return max(1, -(-rows // GROUP_ROWS))
 
 
 def _round(rows: DataFrame, number: int, count: int, capacity: int) -> DataFrame:
