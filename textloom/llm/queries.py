@@ -43,11 +43,12 @@ def op7_masked_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_count_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A history over the whole table: counts estimated by length come in, are revised to what the tokenizer says, half of the documents go and come back.
 
-    Its totals are those of the table.
+    Its totals are those of the table, every row counted; a snapshot is written on the way.
     """
-    store = rollups.Store(spark, scratch_path(spark, "rollups"))
+    store = rollups.Store(spark, scratch_path(spark, "rollups"), compacted=3)
     docs, versions = table(prepare(spark), sf_dir, "documents"), {"words/1": None, "byte_bpe_50k/1": (tokens.public("byte_bpe_50k.json"), False)}
-    guesses = docs.filter("doc_id IS NOT NULL").select(F.lit("insert").alias("op"), "doc_id", "source", "lang", F.explode(F.array(*map(F.lit, versions))).alias("tokenizer"), (F.length("text") / 4).cast("long").alias("tokens"))
+    told = rollups.in_parts(docs)
+    guesses = told.filter("doc_id IS NOT NULL").select(F.lit("insert").alias("op"), "doc_id", "part", "copies", "source", "lang", F.explode(F.array(*map(F.lit, versions))).alias("tokenizer"), (F.length("text") / 4).cast("long").alias("tokens"))
     store.commit("estimated", guesses)
     store.commit("encoded", rollups.token_counts(docs, versions).withColumn("op", F.when(F.col("doc_id").isNull(), "insert").otherwise("revise")))
     half = written(store.counts().filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), "rollups-half")
@@ -96,26 +97,12 @@ def queries() -> dict:
 
 
 def _mixing_sql() -> str:
-    """The whole mix in SQL: targets, class scaling, Pareto ranks, cut and fills."""
+    """The whole mix in SQL: targets, class scaling, numbers of each class, Pareto ranks."""
     w = ", ".join(f"{float(x)}" for x in mixing.WEIGHTS)
-    falls = ", ".join(str(mixing.class_weight(c)) for c in range(mixing.TOP_CLASS + 1))
+    falls = ", ".join(str(mixing.class_weight(c)) for c in range(mixing.TOP_OCTAVE + 1))
     most, n = float(mixing.MOST_COPIES), len(mixing.WEIGHTS)
-    fills = []
-    for i in range(mixing.FILLS):
-        prev = f"cut{i - 1}" if i else "room"
-        rest = "true" if not i else "(p.key > c.k OR (p.key = c.k AND p.tie > c.t)) AND p.size <= c.room"
-        fills.append(f"""
-, run{i} AS (SELECT p.*, c.room, sum(p.size) OVER (PARTITION BY p.source ORDER BY p.key, p.tie ROWS UNBOUNDED PRECEDING) AS run
-    FROM pool p JOIN {prev} c ON p.source IS NOT DISTINCT FROM c.source WHERE {rest})
-, in{i} AS (SELECT r.*, min(CASE WHEN run > room THEN run END) OVER (PARTITION BY source) AS first_over FROM run{i} r)
-, take{i} AS (SELECT * FROM in{i} WHERE first_over IS NULL OR run < first_over)
-, cut{i} AS (SELECT c.source, CASE WHEN f.over THEN coalesce(f.k, -1.0) ELSE 2.0 END AS k, coalesce(f.t, -9223372036854775807) AS t, (c.room - coalesce(f.got, 0))::BIGINT AS room
-    FROM {prev} c LEFT JOIN (SELECT source, bool_or(first_over IS NOT NULL) AS over,
-        max(key) FILTER (run < coalesce(first_over, run + 1)) AS k, arg_max(tie, run) FILTER (run < coalesce(first_over, run + 1)) AS t,
-        sum(size) FILTER (run < coalesce(first_over, run + 1)) AS got FROM in{i} GROUP BY source) f ON f.source IS NOT DISTINCT FROM c.source)""")
-    takes = " UNION ALL ".join(f"SELECT rid FROM take{i}" for i in range(mixing.FILLS))
     return rf"""
-WITH d0 AS (SELECT row_number() OVER () AS rid, doc_id, source, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents)
+WITH RECURSIVE d0 AS (SELECT row_number() OVER () AS rid, doc_id, source, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents)
 , d AS (SELECT *, md5(concat('/', coalesce(doc_id::VARCHAR, 'null'), '/', h, '/', row_number() OVER (PARTITION BY source, doc_id, h) - 1)) AS digest FROM d0)
 , s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)
 , r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s)
@@ -124,23 +111,29 @@ WITH d0 AS (SELECT row_number() OVER () AS rid, doc_id, source, ('0x' || substr(
     FROM rw WINDOW b AS (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 , line AS (SELECT arg_min(level, (source_size / weight, place)) AS line FROM lv WHERE level * weight <= source_size * {most})
 , t AS (SELECT source, source_size, coalesce(least(source_size * {most}, line * weight), source_size * {most}) AS target FROM lv LEFT JOIN line ON true)
-, dc AS (SELECT d.*, least(length(bin(size + 1)) - 1, {mixing.TOP_CLASS})::INT AS class FROM d)
-, k AS (SELECT c.source, c.class, c.words, t.source_size, t.target, ([{falls}])[c.class + 1]::BIGINT AS w
-    FROM (SELECT source, class, sum(size)::BIGINT AS words FROM dc GROUP BY ALL) c JOIN t ON t.source IS NOT DISTINCT FROM c.source)
+, dc AS (SELECT d.*, CASE WHEN length(bin(size + 1)) - 1 < {mixing.TOP_OCTAVE} THEN (length(bin(size + 1)) - 1) * {mixing.PARTS} + (((size + 1) * {mixing.PARTS}) >> (length(bin(size + 1)) - 1)) - {mixing.PARTS} ELSE {mixing.TOP_OCTAVE * mixing.PARTS} END::INT AS class FROM d)
+, k AS (SELECT c.source, c.class, c.words, c.docs, t.source_size, t.target, ([{falls}])[c.class // {mixing.PARTS} + 1]::BIGINT AS w
+    FROM (SELECT source, class, sum(size)::BIGINT AS words, count(*) AS docs FROM dc GROUP BY ALL) c JOIN t ON t.source IS NOT DISTINCT FROM c.source)
 , kl AS (SELECT *, CASE WHEN mass = 0 THEN 0 ELSE (target - f * {most}) / mass END AS level FROM (
     SELECT *, coalesce(sum(words) OVER b, 0)::DOUBLE AS f, ((sum(words * w) OVER (PARTITION BY source)) - coalesce(sum(words * w) OVER b, 0))::DOUBLE AS mass
     FROM k WINDOW b AS (PARTITION BY source ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
 , kf AS (SELECT *, arg_min(level, class) FILTER (level * w <= {most}) OVER (PARTITION BY source) AS lev FROM kl)
 , kc AS (SELECT *, least({most}, greatest(0.0, coalesce(lev * w, {most}))) AS x FROM kf)
-, rate AS (SELECT source, class, words, source_size, target, CASE WHEN abs(x - round(x)) < 1e-9 THEN round(x) ELSE x END AS copies FROM kc)
-, room AS (SELECT source, (floor(max(target) + 0.5) - sum((floor(copies) * words)::BIGINT))::BIGINT AS room, NULL AS k, NULL AS t FROM rate GROUP BY source)
+, rate AS (SELECT source, class, words, docs, source_size, target, CASE WHEN abs(x - round(x)) < 1e-9 THEN round(x) ELSE x END AS copies FROM kc)
+, n0 AS (SELECT *, copies - floor(copies) AS p, floor((copies - floor(copies)) * words * {mixing.FINE} + 0.5)::BIGINT AS e,
+    (('0x' || substr(md5(concat('/class/', coalesce(source, 'null'), '/', class)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM rate WHERE copies > floor(copies) AND words > 0)
+, n1 AS (SELECT *, (sum(e) OVER (PARTITION BY source ORDER BY class))::BIGINT AS rest, row_number() OVER (PARTITION BY source ORDER BY class DESC) AS i FROM n0)
+, n2 AS (SELECT source, 0::BIGINT AS i, NULL::INT AS class, 0::BIGINT AS take, 0::BIGINT AS over FROM n1 GROUP BY source
+    UNION ALL SELECT source, i, class, take, over + floor((take * words * {mixing.FINE})::DOUBLE / docs::DOUBLE)::BIGINT - e FROM (
+    SELECT n1.*, n2.over, least(docs, floor(p * docs * (1.0::DOUBLE - greatest(-{mixing.GIVE}::DOUBLE, least({mixing.GIVE}::DOUBLE, CASE WHEN rest > 0 THEN n2.over::DOUBLE / rest::DOUBLE ELSE 0 END))) + u)::BIGINT) AS take
+    FROM n2 JOIN n1 ON n1.source IS NOT DISTINCT FROM n2.source AND n1.i = n2.i + 1))
 , u AS (SELECT dc.*, rate.source_size, rate.target, rate.copies, copies - floor(copies) AS p,
     (('0x' || substr(digest, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
     FROM dc JOIN rate ON rate.source IS NOT DISTINCT FROM dc.source AND rate.class = dc.class)
 , q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1.0 - u)) / (p / (1.0 - p)) END AS q FROM u)
-, pool AS (SELECT rid, source, size, ('0x' || substr(digest, 14, 15))::BIGINT AS tie, least(q / (1.0 + q), 1 - 1.1102230246251565e-16) AS key FROM q WHERE p > 0 AND size > 0)
-{"".join(fills)}
-SELECT doc_id, source, size, source_size, target, ((floor(copies) + CASE WHEN rid IN ({takes}) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM q"""
+, pool AS (SELECT rid, source, class, row_number() OVER (PARTITION BY source, class ORDER BY least(q / (1.0 + q), 1 - 1.1102230246251565e-16), ('0x' || substr(digest, 14, 15))::BIGINT) AS place FROM q WHERE p > 0 AND size > 0)
+, more AS (SELECT pool.rid FROM pool JOIN n2 ON pool.source IS NOT DISTINCT FROM n2.source AND pool.class = n2.class WHERE pool.place <= n2.take)
+SELECT doc_id, source, size, source_size, target, ((floor(copies) + CASE WHEN rid IN (SELECT rid FROM more) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM q"""
 
 
 _OP4 = rf"""
