@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cache, claim, prepare, written
+from .common import WORD, cache, claim, prepare, written
 
 #: Words of a shingle, similarity as a fraction, values that a sketch retains, chance to miss a pair at the similarity.
 WORDS, SIMILAR, KEPT, MISS = 5, (3, 4), 48, 1e-9
@@ -96,7 +96,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int, kept: int) -> Itera
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sizes.append(len(s))
             sketches.append(s[:kept])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "node", "n", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "digest", "node", "n", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -147,11 +147,11 @@ def _similar(similar) -> Column:
 
 
 def links(docs: DataFrame, words: int = WORDS, similar=SIMILAR, kept: int = KEPT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Membership (doc_id, node, n), classes (cid, node, doc_id, n) and links between classes (a, b, both), all written tables."""
-    spark = prepare(docs.sparkSession)
-    told = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    members = written(told.mapInArrow(lambda it: _sketches(it, words, kept), "doc_id long, node binary, n long, sketch array<long>"), "near-members")
-    grouped = members.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    """Membership (doc_id, digest, node, n), classes (cid, node, doc_id, digest, n) and links between classes (a, b, both), all written tables."""
+    prepare(docs.sparkSession)
+    told = _told(docs, id_col, text_col)
+    members = written(told.mapInArrow(lambda it: _sketches(it, words, kept), "doc_id long, digest long, node binary, n long, sketch array<long>"), "near-members")
+    grouped = members.filter("n > 0").groupBy("node").agg(_first().alias("own"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("node", "own.doc_id", "own.digest", "n", "sketch")
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
 
     # Inverted lists of the rarest retained values.  Counts are written first, so that a join on a very common value can be split.
@@ -171,8 +171,10 @@ def links(docs: DataFrame, words: int = WORDS, similar=SIMILAR, kept: int = KEPT
 
     # Full sets of the classes that are in a list with others.
     active = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    owners = classes.join(active, "cid").select("doc_id", "cid", "node")
-    sets = told.join(owners, told["doc_id"].eqNullSafe(owners["doc_id"])).select(told["doc_id"], "text", "cid", "node").mapInArrow(lambda it: _sets(it, words), "cid long, shingles binary")
+    owners = classes.join(active, "cid").select(F.col("doc_id").alias("owner"), F.col("digest").alias("own"), "cid", "node")
+    # By identifier and digest of the text: rows that share an identifier, or have none, each meet what they own themselves.
+    mine = told.join(owners, F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("digest") == F.col("own")))
+    sets = mine.select("doc_id", "text", "cid", "node").mapInArrow(lambda it: _sets(it, words), "cid long, shingles binary")
     # Equal texts can repeat under one identifier.
     sets = written(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "near-sets")
 
@@ -190,6 +192,16 @@ def links(docs: DataFrame, words: int = WORDS, similar=SIMILAR, kept: int = KEPT
     return members, classes, written(_union(found).distinct(), "near-links")
 
 
+def _told(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows with a digest of their text, which with the identifier says which rows are equal."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
+
+
+def _first() -> Column:
+    """The first row by identifier, then digest; rows without identifier come last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -328,15 +340,21 @@ def components(edges: DataFrame) -> DataFrame:
         rest = written(rest, "parts-rest")
 
 
+def _joined(docs: DataFrame, words: int, similar, kept: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Membership, and ``node, root, doc_id, digest``, the root and the first row of each class."""
+    members, classes, found = links(docs, words, similar, kept, id_col, text_col)
+    rooted = classes.join(components(found), "cid", "left").select("node", F.coalesce("root", "cid").alias("root"), "doc_id", "digest")
+    return members, written(rooted, "near-rooted")
+
+
 def classes_of(docs: DataFrame, words: int = WORDS, similar=SIMILAR, kept: int = KEPT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: ``doc_id, n_shingles, component_id, kept``.
 
     Null, empty and blank texts have no shingles, are linked with nothing and stay.  Rows with equal shingle sets are one class, also when they share an
-    identifier; rows without identifier take part and stay only where their whole component has none.  Other columns are ignored.
+    identifier; rows without identifier take part, and a component of such rows alone has none.  kept: the row has the component's identifier.  Other columns
+    are ignored.
     """
-    members, classes, found = links(docs, words, similar, kept, id_col, text_col)
-    roots = components(found)
-    rooted = classes.join(roots, "cid", "left").select("node", F.coalesce("root", "cid").alias("root"), "doc_id")
+    members, rooted = _joined(docs, words, similar, kept, id_col, text_col)
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = written(rooted.join(smallest, "root").select("node", "component_id"), "near-roots")
     out = members.select("doc_id", "node", "n").join(of_node, "node", "left")
@@ -344,7 +362,23 @@ def classes_of(docs: DataFrame, words: int = WORDS, similar=SIMILAR, kept: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one document of each group, and all without shingles."""
-    stay = classes_of(docs, id_col=id_col, **kw).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["__id"]), "left_semi")
+def dedup(docs: DataFrame, words: int = WORDS, similar=SIMILAR, kept: int = KEPT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns: one row of each group, and all without shingles.
+
+    Of a group the smallest identifier stays; of rows that share it, or of a group without identifiers, one of them.
+    """
+    members, rooted = _joined(docs, words, similar, kept, id_col, text_col)
+    first = rooted.groupBy("root").agg(_first().alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.digest").alias("__digest"))
+    # Rows equal in identifier and text can't be told apart, so one of them is taken; most tables have none.
+    again = members.filter("n > 0").groupBy("doc_id", "digest").agg(F.count("*").alias("m")).filter("m > 1")
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__digest") == F.col("digest"))
+    first = written(first.join(again, same, "left").select("__id", "__digest", F.col("m").isNotNull().alias("__again")), "near-first")
+    told = docs.withColumn("__own", F.col(id_col).cast("long")).withColumn("__text", F.xxhash64(F.col(text_col).cast("string")))
+    marked = told.join(first, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__digest")), "left")
+    # A first row has shingles, so texts without words are never marked.
+    wordless = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(WORD)
+    out = marked.filter(wordless | ~F.coalesce("__again", F.lit(True))).select(*docs.columns)
+    if first.filter("__again").isEmpty():
+        return out
+    one = marked.filter("__again").groupBy("__own", "__text").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return out.unionByName(one.select("row.*"))
