@@ -1,17 +1,20 @@
 """Which terms tell the sources of a language apart, and how far apart any two of its sources are: all in exact integers.
 
-1. Each task counts its documents' terms in byte tries, one for each language, whose leaves count documents, and occurrences by source.  A trie that has many
-   leaves is handed on and begun anew, so a task's memory is bounded.  Tries are written in blocks of one prefix each, as the leaves in byte order, each
-   with the length that it shares with the one before it.
-2. Blocks are range-partitioned by language and prefix; blocks of one prefix meet and are merged into one trie, whose leaves in enough documents are kept.
-3. Sums over the kept leaves give each source's total and each language's number of terms.
-4. The merged tries are traversed in byte order: each batch of terms adds to the differences of all pairs of sources and to each source's leading terms, in
+1. A first pass adds up, in a table of fixed size addressed by a hash of language and term, in how many documents terms are.  What shares a slot adds up too, so
+   a term whose slot stays below the least number of documents can't be kept, and no trie needs it.
+2. Each task counts its documents' other terms in byte tries, one for each language, whose leaves count documents, and occurrences by source.  Tries that have
+   many leaves are handed on and begun anew, so a task's memory is bounded.  They are written in blocks of one prefix each, as the leaves in byte order,
+   each with the length that it shares with the one before it.
+3. Blocks are range-partitioned by language and prefix; blocks of one prefix meet and are merged into one trie, whose leaves in enough documents are kept.
+4. Sums over the kept leaves give each source's total and each language's number of terms.
+5. The merged tries are traversed in byte order: each batch of terms adds to the differences of all pairs of sources and to each source's leading terms, in
    which ties keep the order of traversal.  A task hands on one row for each pair, and for each source as many terms as a report holds.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -24,8 +27,10 @@ from .common import n_partitions, prepare, written
 
 #: Documents of its language that a kept term is in, what is added to every count, the unit of shares, terms that a source's report holds.
 LEAST_DOCS, ADDED, UNIT, REPORTED = 30, 5, 1_000_000_000, 50
-#: Leaves of a task's tries, bytes of a block's prefix, terms that are compared at once, sources whose pairs are added up at once.
-LEAVES, PREFIX, TERMS = 200_000, 3, 2048
+#: Leaves of a task's tries, terms that it counts before they go to tries, bytes of a block's prefix, terms that are compared at once.
+LEAVES, COUNTED, PREFIX, TERMS = 100_000, 300_000, 3, 2048
+#: Slots of the first pass, as powers of two: all, and those of one block.  One bit for each goes to all tasks: 8 MB.
+SLOTS, SLOT_BLOCK = 26, 16
 #: Letters of both cases to lower case, other ASCII characters to spaces, bytes of other characters as they are.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -143,29 +148,93 @@ def _batched(rows: Iterable[tuple], most: int = 20_000) -> Iterator[pa.RecordBat
         yield made()
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, source, text) to blocks of tries."""
-    tries: dict[str, Trie] = {}
-    found: dict[str, dict[bytes, list]] = {}  # leaves that were found before, so that a frequent term isn't walked to again
+def _slots(lang: str, terms: Iterable[bytes]) -> np.ndarray:
+    """The slots of a language's terms."""
+    begun = zlib.crc32(lang.encode() + b"\0")
+    return np.fromiter((zlib.crc32(t, begun) for t in terms), np.uint32) & np.uint32((1 << SLOTS) - 1)
+
+
+def _texts(b: pa.RecordBatch) -> Iterator[tuple[str, str, list[bytes]]]:
+    for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+        yield lang, source, terms_of(text)
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, source, text) to (block, slots, counts), in how many documents terms of each slot are."""
+    docs: dict[str, Counter] = defaultdict(Counter)
+
+    def made() -> pa.RecordBatch:
+        slots = np.concatenate([np.zeros(0, np.uint32), *(_slots(lang, c) for lang, c in docs.items())])
+        counts = np.concatenate([np.zeros(0, np.int32), *(np.fromiter(c.values(), np.int32, len(c)) for c in docs.values())])
+        order = np.argsort(slots, kind="stable")
+        slots, counts = slots[order], counts[order]
+        blocks, at = np.unique(slots >> SLOT_BLOCK, return_index=True)
+        cut = lambda x: pa.array([p.tobytes() for p in np.split(x, at[1:])] if len(at) else [], pa.binary())
+        docs.clear()
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), cut((slots & ((1 << SLOT_BLOCK) - 1)).astype(np.uint16)), cut(counts)], ["block", "slots", "counts"])
+
+    for b in batches:
+        for lang, _, terms in _texts(b):
+            docs[lang].update(set(terms))
+        if sum(map(len, docs.values())) > COUNTED:
+            yield made()
+    yield made()
+
+
+def _enough(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, slots, counts) sorted by block to (block, bits) of slots with so many documents."""
+    key, total = None, np.zeros(1 << SLOT_BLOCK, np.int64)
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["block", "bits"])
+
+    for b in batches:
+        for block, slots, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if block != key:
+                if key is not None:
+                    yield made()
+                key, total = block, np.zeros(1 << SLOT_BLOCK, np.int64)
+            np.add.at(total, np.frombuffer(slots, np.uint16), np.frombuffer(counts, np.int32))
+    if key is not None:
+        yield made()
+
+
+def _counted(batches: Iterator[pa.RecordBatch], enough: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, source, text) to blocks of tries of the terms whose slots have enough documents."""
+    bits = np.zeros((1 << (SLOTS - SLOT_BLOCK), 1 << (SLOT_BLOCK - 3)), np.uint8)
+    for block, x in enough.items():
+        bits[block] = np.frombuffer(x, np.uint8)
+    bits = bits.ravel()
+    tries: dict[str, Trie] = defaultdict(Trie)
+    docs: dict[str, Counter] = defaultdict(Counter)
+    found: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+
+    def counted() -> None:
+        """What was counted goes to the tries."""
+        for lang, of in docs.items():
+            terms = list(of)
+            slots = _slots(lang, terms)
+            trie = tries[lang]
+            for i in np.flatnonzero(bits[slots >> 3] >> (7 - (slots & 7)) & 1).tolist():
+                term = terms[i]
+                trie.add(term, of[term], ((s, c[term]) for s, c in found[lang].items() if term in c))
+        docs.clear()
+        found.clear()
 
     def handed() -> Iterator[tuple]:
         for lang in sorted(tries):
             yield from _blocks(lang, tries.pop(lang))
-        found.clear()
 
     def rows() -> Iterator[tuple]:
         for b in batches:
-            for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                trie = tries.setdefault(lang, Trie())
-                known = found.setdefault(lang, {})
-                for term, n in Counter(terms_of(text)).items():
-                    leaf = known.get(term)
-                    if leaf is None:
-                        leaf = known[term] = trie.leaf(term)
-                    leaf[0] += 1
-                    leaf[1][source] = leaf[1].get(source, 0) + n
+            for lang, source, terms in _texts(b):
+                docs[lang].update(set(terms))
+                found[lang][source].update(terms)
+            if sum(len(c) for of in found.values() for c in of.values()) > COUNTED:
+                counted()
                 if sum(t.size for t in tries.values()) > LEAVES:
                     yield from handed()
+        counted()
         yield from handed()
 
     return _batched(rows())
@@ -283,8 +352,13 @@ def tries(docs: DataFrame, least: int = LEAST_DOCS, lang_col: str = "lang", sour
     """The merged tries of all documents as blocks of kept terms, written."""
     prepare(docs.sparkSession)
     told = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    made = written(told.mapInArrow(_counted, _BLOCK), "divergence-tries")
-    met = made.repartitionByRange(n_partitions(docs.sparkSession), "lang", "prefix").sortWithinPartitions("lang", "prefix")
+    parts = n_partitions(docs.sparkSession)
+    filled = told.mapInArrow(_filled, "block int, slots binary, counts binary").repartition(parts, "block").sortWithinPartitions("block")
+    bits = filled.mapInArrow(lambda it: _enough(it, least), "block int, bits binary")
+    # One bit for each slot at most, whatever the table.
+    enough = {r["block"]: bytes(r["bits"]) for r in bits.collect()}
+    made = written(told.mapInArrow(lambda it: _counted(it, enough), _BLOCK), "divergence-tries")
+    met = made.repartitionByRange(parts, "lang", "prefix").sortWithinPartitions("lang", "prefix")
     return written(met.mapInArrow(lambda it: _merged(it, least), _BLOCK), "divergence-merged")
 
 
