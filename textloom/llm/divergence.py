@@ -27,8 +27,8 @@ from .common import n_partitions, prepare, written
 
 #: Documents of its language that a kept term is in, what is added to every count, the unit of shares, terms that a source's report holds.
 LEAST_DOCS, ADDED, UNIT, REPORTED = 30, 5, 1_000_000_000, 50
-#: Leaves of a task's tries, terms that it counts before they go to tries, bytes of a block's prefix, terms that are compared at once.
-LEAVES, COUNTED, PREFIX, TERMS = 100_000, 300_000, 3, 2048
+#: Cells of term and source that a task counts before it hands them on, and terms in the first pass; bytes of a block's prefix; terms compared at once.
+CELLS, COUNTED, PREFIX, TERMS = 500_000, 300_000, 2, 2048
 #: Slots of the first pass, as powers of two: all, and those of one block.  One bit for each goes to all tasks: 8 MB.
 SLOTS, SLOT_BLOCK = 26, 16
 #: Letters of both cases to lower case, other ASCII characters to spaces, bytes of other characters as they are.
@@ -41,20 +41,19 @@ def terms_of(text: bytes | None) -> list[bytes]:
 
 
 class Trie:
-    """A radix trie over bytes.  A node is [label, leaf or None, children by first byte]; a leaf is [documents, occurrences by source]."""
+    """A radix trie over bytes.  A node is [label, leaf's number or None, children by first byte]; counters of leaves lie in arrays, by their numbers."""
 
     def __init__(self):
         self.root, self.size = [b"", None, {}], 0
 
-    def leaf(self, term: bytes) -> list:
-        """The term's leaf, made if there is none."""
+    def leaf(self, term: bytes) -> int:
+        """The number of the term's leaf, made if there is none."""
         node, at = self.root, 0
         while at < len(term):
             kids = node[2]
             nxt = kids.get(term[at])
             if nxt is None:
-                nxt = kids[term[at]] = [term[at:], None, {}]
-                node, at = nxt, len(term)
+                node = kids[term[at]] = [term[at:], None, {}]
                 break
             label = nxt[0]
             if not term.startswith(label, at):
@@ -67,12 +66,12 @@ class Trie:
                 label = split[0]
             node, at = nxt, at + len(label)
         if node[1] is None:
-            node[1] = [0, {}]
+            node[1] = self.size
             self.size += 1
         return node[1]
 
-    def leaves(self) -> Iterator[tuple[bytes, list]]:
-        """All terms and leaves in byte order."""
+    def leaves(self) -> Iterator[tuple[bytes, int]]:
+        """All terms and numbers of leaves in byte order."""
         todo = [(b"", self.root)]
         while todo:
             head, node = todo.pop()
@@ -81,69 +80,74 @@ class Trie:
                 yield head, node[1]
             todo.extend((head, node[2][c]) for c in sorted(node[2], reverse=True))
 
-    def add(self, term: bytes, documents: int, by_source: Iterable[tuple[str, int]]) -> None:
-        leaf = self.leaf(term)
-        leaf[0] += documents
-        for source, n in by_source:
-            leaf[1][source] = leaf[1].get(source, 0) + n
 
-
-#: A block: leaves in byte order, front-coded; occurrences of all leaves one after another, ``kinds`` of them for each.
-_BLOCK = "lang string, prefix binary, shared array<int>, tails array<binary>, docs array<long>, kinds array<int>, sources array<string>, counts array<long>"
+#: A block: leaves in byte order, front-coded, and their documents; then for all leaves one after another, ``kinds`` of them for each, the place of a source
+#: in ``sources`` and its occurrences.
+_BLOCK = "lang string, prefix binary, sources array<string>, shared binary, lengths binary, tails binary, docs binary, kinds binary, codes binary, counts binary"
 _BLOCK_NAMES = [c.split()[0] for c in _BLOCK.split(", ")]
-
-
-def _blocks(lang: str, trie: Trie, least: int = 0) -> Iterator[tuple]:
-    """A trie's blocks, one for each prefix, of leaves in so many documents at least."""
-    prefix, cols, last = None, None, b""
-    for term, (docs, by_source) in trie.leaves():
-        if docs < least:
-            continue
-        if term[:PREFIX] != prefix:
-            if prefix is not None:
-                yield (lang, prefix, *cols)
-            prefix, cols, last = term[:PREFIX], ([], [], [], [], [], []), b""
-        n, most = 0, min(len(last), len(term))
-        while n < most and last[n] == term[n]:
-            n += 1
-        last = term
-        for col, v in zip(cols, (n, term[n:], docs, len(by_source)), strict=False):
-            col.append(v)
-        cols[4].extend(by_source)
-        cols[5].extend(by_source.values())
-    if prefix is not None:
-        yield (lang, prefix, *cols)
-
-
-def _told(block: tuple) -> Iterator[tuple[bytes, int, list[tuple[str, int]]]]:
-    """A block's terms, their documents, and occurrences by source."""
-    _, _, shared, tails, docs, kinds, sources, counts = block
-    term, at = b"", 0
-    for n, tail, d, k in zip(shared, tails, docs, kinds, strict=True):
-        term = term[:n] + tail
-        yield term, d, list(zip(sources[at : at + k], counts[at : at + k], strict=True))
+_ARROW = pa.schema([(n, pa.string() if n == "lang" else pa.list_(pa.string()) if n == "sources" else pa.binary()) for n in _BLOCK_NAMES])
+
+
+def _blocks(lang: str, trie: Trie, sources: list[str], docs: np.ndarray, rows: np.ndarray, codes: np.ndarray, counts: np.ndarray, least: int = 0) -> Iterator[tuple]:
+    """A trie's blocks, one for each prefix, of leaves in so many documents at least.  Cells come as leaf, source and occurrences."""
+    told = [(t, i) for t, i in trie.leaves() if docs[i] >= least]
+    if not told:
+        return
+    place = np.full(trie.size, -1, np.int64)
+    place[[i for _, i in told]] = np.arange(len(told))
+    at = place[rows]
+    order = np.lexsort((codes, at))
+    order = order[at[order] >= 0]
+    at, codes, counts = at[order], codes[order], counts[order]
+    lo = 0
+    while lo < len(told):
+        prefix = told[lo][0][:PREFIX]
+        hi, last, shared, tails = lo, b"", [], []
+        while hi < len(told) and told[hi][0][:PREFIX] == prefix:
+            term, n = told[hi][0], 0
+            most = min(len(last), len(term))
+            while n < most and last[n] == term[n]:
+                n += 1
+            shared.append(n)
+            tails.append(term[n:])
+            last, hi = term, hi + 1
+        x, y = np.searchsorted(at, (lo, hi))
+        used, own = np.unique(codes[x:y], return_inverse=True)
+        packed = lambda v, kind: np.asarray(v, kind).tobytes()
+        yield (lang, prefix, [sources[c] for c in used], packed(shared, "<i4"), packed([len(t) for t in tails], "<i4"), b"".join(tails),
+               packed(docs[[i for _, i in told[lo:hi]]], "<i8"), packed(np.bincount(at[x:y] - lo, minlength=hi - lo), "<i4"), packed(own, "<i4"), packed(counts[x:y], "<i8"))
+        lo = hi
+
+
+def _terms(block: tuple) -> list[bytes]:
+    """A block's terms."""
+    out, term, at = [], b"", 0
+    for n, k in zip(np.frombuffer(block[3], "<i4").tolist(), np.frombuffer(block[4], "<i4").tolist(), strict=True):
+        term = term[:n] + block[5][at : at + k]
         at += k
+        out.append(term)
+    return out
 
 
-_ARROW = pa.schema([
-    ("lang", pa.string()), ("prefix", pa.binary()), ("shared", pa.list_(pa.int32())), ("tails", pa.list_(pa.binary())), ("docs", pa.list_(pa.int64())),
-    ("kinds", pa.list_(pa.int32())), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())),
-])
+def _cells(block: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each cell the place of its term, that of its source, and its occurrences."""
+    kinds = np.frombuffer(block[7], "<i4")
+    return np.repeat(np.arange(len(kinds)), kinds), np.frombuffer(block[8], "<i4"), np.frombuffer(block[9], "<i8")
 
 
-def _batched(rows: Iterable[tuple], most: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Rows as batches that hold a bounded number of leaves."""
-    held, leaves = [], 0
+def _batched(rows: Iterable[tuple], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of a bounded number of bytes."""
+    held, size = [], 0
 
     def made() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
     for row in rows:
         held.append(row)
-        leaves += len(row[5]) + len(row[7])
-        if leaves >= most:
+        size += sum(map(len, row[3:]))
+        if size >= most:
             yield made()
-            held, leaves = [], 0
+            held, size = [], 0
     if held:
         yield made()
 
@@ -199,76 +203,124 @@ def _enough(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield made()
 
 
+class _Counting:
+    """What a task has counted in one language: a trie, and for its terms documents and occurrences by source."""
+
+    def __init__(self, lang: str, bits: bytes):
+        self.lang, self.bits, self.begun = lang, bits, zlib.crc32(lang.encode() + b"\0")
+        self.trie, self.docs, self.found = Trie(), Counter(), defaultdict(Counter)
+        self.good: dict[bytes, int] = {}
+        self.seen: set[bytes] = set()
+
+    def add(self, source: str, terms: list[bytes]) -> None:
+        own = set(terms)
+        if new := own - self.seen:
+            bits, begun, all_ = self.bits, self.begun, (1 << SLOTS) - 1
+            for t in new:
+                slot = zlib.crc32(t, begun) & all_
+                if bits[slot >> 3] >> (7 - (slot & 7)) & 1:
+                    self.good[t] = self.trie.leaf(t)
+            if len(self.seen) > 4 * COUNTED:
+                self.seen.clear()
+            self.seen |= new
+        self.docs.update(self.good.keys() & own)
+        self.found[source].update(filter(self.good.__contains__, terms))
+
+    def cells(self) -> int:
+        return sum(map(len, self.found.values()))
+
+    def blocks(self) -> Iterator[tuple]:
+        size, number = self.trie.size, self.good.__getitem__
+        docs = np.zeros(size, np.int64)
+        docs[np.fromiter(map(number, self.docs), np.int64, len(self.docs))] = np.fromiter(self.docs.values(), np.int64, len(self.docs))
+        sources = sorted(self.found)
+        parts = [self.found[s] for s in sources]
+        join = lambda xs, kind: np.concatenate([np.zeros(0, kind), *xs])
+        rows = join([np.fromiter(map(number, c), np.int64, len(c)) for c in parts], np.int64)
+        counts = join([np.fromiter(c.values(), np.int64, len(c)) for c in parts], np.int64)
+        codes = np.repeat(np.arange(len(parts)), [len(c) for c in parts])
+        return _blocks(self.lang, self.trie, sources, docs, rows, codes, counts)
+
+
 def _counted(batches: Iterator[pa.RecordBatch], enough: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, source, text) to blocks of tries of the terms whose slots have enough documents."""
-    bits = np.zeros((1 << (SLOTS - SLOT_BLOCK), 1 << (SLOT_BLOCK - 3)), np.uint8)
-    for block, x in enough.items():
-        bits[block] = np.frombuffer(x, np.uint8)
-    bits = bits.ravel()
-    tries: dict[str, Trie] = defaultdict(Trie)
-    docs: dict[str, Counter] = defaultdict(Counter)
-    found: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-
-    def counted() -> None:
-        """What was counted goes to the tries."""
-        for lang, of in docs.items():
-            terms = list(of)
-            slots = _slots(lang, terms)
-            trie = tries[lang]
-            for i in np.flatnonzero(bits[slots >> 3] >> (7 - (slots & 7)) & 1).tolist():
-                term = terms[i]
-                trie.add(term, of[term], ((s, c[term]) for s, c in found[lang].items() if term in c))
-        docs.clear()
-        found.clear()
+    none = bytes(1 << (SLOT_BLOCK - 3))
+    bits = b"".join(enough.get(i, none) for i in range(1 << (SLOTS - SLOT_BLOCK)))
+    langs: dict[str, _Counting] = {}
 
     def handed() -> Iterator[tuple]:
-        for lang in sorted(tries):
-            yield from _blocks(lang, tries.pop(lang))
+        for lang in sorted(langs):
+            yield from langs.pop(lang).blocks()
 
     def rows() -> Iterator[tuple]:
         for b in batches:
             for lang, source, terms in _texts(b):
-                docs[lang].update(set(terms))
-                found[lang][source].update(terms)
-            if sum(len(c) for of in found.values() for c in of.values()) > COUNTED:
-                counted()
-                if sum(t.size for t in tries.values()) > LEAVES:
-                    yield from handed()
-        counted()
+                if lang not in langs:
+                    langs[lang] = _Counting(lang, bits)
+                langs[lang].add(source, terms)
+            if sum(c.cells() for c in langs.values()) > CELLS:
+                yield from handed()
         yield from handed()
 
     return _batched(rows())
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
 def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Blocks sorted by language and prefix to one block for each, of the leaves that are kept."""
 
+    def one(blocks: list[tuple]) -> Iterator[tuple]:
+        trie, number = Trie(), {}
+        sources = {s: i for i, s in enumerate(sorted({s for b in blocks for s in b[2]}))}
+        docs, cells = [], []
+        for b in blocks:
+            terms = _terms(b)
+            for t in terms:
+                if t not in number:
+                    number[t] = trie.leaf(t)
+            at = np.fromiter(map(number.__getitem__, terms), np.int64, len(terms))
+            docs.append((at, np.frombuffer(b[6], "<i8")))
+            row, code, n = _cells(b)
+            # A cell's place in a table of all terms and sources.
+            cells.append((at[row] * len(sources) + np.array([sources[s] for s in b[2]], np.int64)[code] if len(row) else np.zeros(0, np.int64), n))
+        total = np.zeros(trie.size, np.int64)
+        for at, n in docs:
+            np.add.at(total, at, n)
+        place, own = np.unique(np.concatenate([p for p, _ in cells]), return_inverse=True)
+        counts = np.zeros(len(place), np.int64)
+        np.add.at(counts, own, np.concatenate([n for _, n in cells]))
+        width = max(1, len(sources))
+        return _blocks(blocks[0][0], trie, list(sources), total, place // width, place % width, counts, least)
+
     def rows() -> Iterator[tuple]:
-        key, trie = None, Trie()
-        for b in batches:
-            for block in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if block[:2] != key:
-                    if key is not None:
-                        yield from _blocks(key[0], trie, least)
-                    key, trie = block[:2], Trie()
-                for term, docs, by_source in _told(block):
-                    trie.add(term, docs, by_source)
-        if key is not None:
-            yield from _blocks(key[0], trie, least)
+        held: list[tuple] = []
+        for block in _rows(batches):
+            if held and block[:2] != held[0][:2]:
+                yield from one(held)
+                held = []
+            held.append(block)
+        if held:
+            yield from one(held)
 
     return _batched(rows())
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks to rows (lang, source, n): occurrences by source, and for a null source the number of terms."""
-    for b in batches:
-        sums: dict[tuple, int] = defaultdict(int)
-        for block in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            sums[block[0], None] += len(block[2])
-            for source, n in zip(block[6], block[7], strict=True):
-                sums[block[0], source] += n
-        langs, sources = zip(*sums, strict=True) if sums else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(list(sums.values()), pa.int64())], ["lang", "source", "n"])
+    sums: dict[tuple, int] = defaultdict(int)
+    for block in _rows(batches):
+        _, code, n = _cells(block)
+        sums[block[0], None] += len(block[3]) // 4
+        per = np.zeros(len(block[2]), np.int64)
+        np.add.at(per, code, n)
+        for source, total in zip(block[2], per.tolist(), strict=True):
+            sums[block[0], source] += total
+    langs, sources = zip(*sums, strict=True) if sums else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(list(sums.values()), pa.int64())], ["lang", "source", "n"])
 
 
 def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -291,20 +343,25 @@ class _Differences:
         self.pairs = np.zeros((len(groups), len(groups)), np.int64)
         self.best: list[list[tuple[int, bytes]]] = [[] for _ in groups]
         self.terms: list[bytes] = []
-        self.cells: list[tuple[int, int, int]] = []
-
-    def add(self, term: bytes, by_source: list[tuple[str, int]]) -> None:
-        self.cells += [(len(self.terms), self.at[s], n) for s, n in by_source]
-        self.terms.append(term)
-        if len(self.terms) >= TERMS:
-            self.flush()
+        self.cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, block: tuple) -> None:
+        """A block's terms, TERMS of them at a time."""
+        terms, (row, code, n) = _terms(block), _cells(block)
+        own = np.array([self.at[s] for s in block[2]], np.int64)
+        for lo in range(0, len(terms), TERMS):
+            x, y = np.searchsorted(row, (lo, lo + TERMS))
+            self.cells.append((row[x:y] - lo + len(self.terms), own[code[x:y]] if y > x else np.zeros(0, np.int64), n[x:y]))
+            self.terms += terms[lo : lo + TERMS]
+            if len(self.terms) >= TERMS:
+                self.flush()
 
     def flush(self) -> None:
         if not self.terms:
             return
         k = len(self.names)
         counts = np.zeros((len(self.terms), k + 1), np.int64)
-        row, col, n = np.array(self.cells, np.int64).T
+        row, col, n = (np.concatenate(x) for x in zip(*self.cells, strict=True))
         counts[row, col] = n
         counts[:, k] = counts[:, :k].sum(1)
         p = shares(counts + ADDED, self.totals)
@@ -342,8 +399,7 @@ def _traversed(batches: Iterator[pa.RecordBatch], reported: int) -> Iterator[pa.
                 if now:
                     yield made(now)
                 now = _Differences(block[0], b.column(n + 1)[at].as_py(), b.column(n)[at].as_py(), reported)
-            for term, _, by_source in _told(block):
-                now.add(term, by_source)
+            now.add(block)
     if now:
         yield made(now)
 
