@@ -15,6 +15,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def term_counts(toks) -> Column:
+    """``array<struct<term, tf>>``: the distinct tokens in order, each with its number, from the runs of the sorted tokens."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        ends = lambda xs: F.slice(xs, 2, F.size(xs))
+        return let(starts, lambda xs: F.zip_with(xs, ends(xs), lambda a, b: F.struct(F.get(s, a - 1).alias("term"), (F.coalesce(b, F.size(s) + 1) - a).alias("tf"))))
+
+    return F.when(F.size(_c(toks)) > 0, let(F.array_sort(_c(toks)), runs)).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+
+
 def mean(xs) -> Column:
     xs = _c(xs)
     return F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), F.size(xs))

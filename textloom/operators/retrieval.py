@@ -101,18 +101,25 @@ def bm25_topk(queries: DataFrame, query: str, tokens: str, index: Index, k: int
 
     Documents without shared terms score 0.  Only the first k documents can fill up a query, and negative scores stand behind them.
     """
-    doc = index.doc
     scores = bm25_scores(queries, query, tokens, index).cache()
+    return filled(queries, query, scores, index.docs, index.doc, index.terms.agg(F.min("idf")).first()[0], k)
+
+
+def filled(queries: DataFrame, query: str, scores: DataFrame, docs: DataFrame, doc: str, lowest: float | None, k: int) -> DataFrame:
+    """The k best of scores (query, doc, score), which hold all documents that a query with fewer than k above 0 hits, and the first others with score 0.
+
+    lowest: the smallest idf.
+    """
     order = Window.partitionBy(query).orderBy(F.desc("score"), F.col(doc))
     best = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     found = best.filter("score > 0").groupBy(query).agg(F.count("*").alias("n"))
     short = queries.select(query).distinct().join(found, query, "left").filter(F.coalesce("n", F.lit(0)) < k).select(query)
     hit = scores.join(short, query, "left_semi")
     # Of the first k documents those that a query doesn't hit fill it up; hits that don't score above 0 need as many documents more.
-    room, lowest = k, index.terms.agg(F.min("idf")).first()[0]
+    room = k
     if lowest is not None and lowest <= 0:
         room += hit.filter("score <= 0").groupBy(query).count().agg(F.max("count")).first()[0] or 0
-    places = index.docs.orderBy(doc).limit(room).select(doc)
+    places = docs.orderBy(doc).limit(room).select(doc)
     fill = short.crossJoin(F.broadcast(places) if room <= FEW_TERMS else places).join(hit.select(query, doc), [query, doc], "left_anti").withColumn("score", F.lit(0.0))
     more = best.select(query, doc, "score").unionByName(fill)
     return more.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

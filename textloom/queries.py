@@ -14,6 +14,7 @@ from .functions import scalars as S
 from .functions import text as X
 from .operators import embedding as E
 from .operators import features as FE
+from .operators import index as IX
 from .operators import learners as L
 from .operators import metrics as M
 from .operators import ranking as K
@@ -24,6 +25,7 @@ from .operators import text as T
 from .plans import rank as RANK
 from .plans import recall as RECALL
 from .sources import io as IO
+from .sources import store as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,9 +97,24 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "benchmark").select("item_id", X.normalized_tokens("text").alias("ts"), X.normalized_tokens(F.substring_index("text", ".", 1)).alias("ks"))
 
 
+def _index(spark: SparkSession, d: str) -> IX.Stored:
+    """The persisted index of the documents table: stand-ins for a paper's fields, of which the text is searched."""
+    return IX.stored(spark, "documents", _field_docs(spark, d), "doc_id", ("abst", "titl", "corp", "keyw"), "abst")
+
+
+def _kept(index: IX.Stored):
+    """Tables that one query reads several times lie beside the index, under a name of their own."""
+    return lambda df, name: index.store.scratch(df, name)
+
+
 def _recall(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
-    index = B.build_index(_docs(spark, d, True), "doc_id", "ts")
-    return B.bm25_topk(_items(spark, d), "item_id", "ts", index, k)
+    """The candidates of every item, kept beside the index for as long as items and index are the same."""
+    index, items = _index(spark, d), _items(spark, d)
+    name = f"candidates_{k}_{ST.fingerprint(items)}"
+    if not index.store.has(name):
+        index.store.put(name, IX.topk(items, "item_id", "ts", index, k, _kept(index)))
+        index.store.seal()
+    return index.store.get(name)
 
 
 # sources, projections, filters
@@ -635,16 +652,21 @@ _PAIR_CTE = f"""WITH rec AS (WITH {_RECALL} SELECT item_id, doc_id FROM rc), {_F
 
 @query(_PAIR_CTE + " SELECT item_id, doc_id, " + ", ".join(f"round(coalesce({q}_{f}, 0), 6) AS {q}_{f}_bm25_score" for q in FE.QUERY for f in ("corp", "abst", "titl")) + " FROM pr " + " ".join(f"LEFT JOIN {_sql_pair_score(q, f)} USING (item_id, doc_id)" for q in FE.QUERY for f in ("corp", "abst", "titl")))
 def bm25_pair_scores(spark, d):
-    docs = _field_docs(spark, d)
-    pairs = _recall(spark, d).select("item_id", "doc_id").join(_items(spark, d).select("item_id", F.col("ks").alias("quer_key"), F.col("ts").alias("quer_all")), "item_id")
-    fields = {f: B.build_index(docs, "doc_id", f) for f in ("corp", "abst", "titl")}
-    return _round(B.bm25_pair_scores(pairs, "item_id", FE.QUERY, fields).drop(*FE.QUERY))
+    return _round(_pair_numbers(spark, d).select("item_id", "doc_id", *[f"{q}_{f}_bm25_score" for q in FE.QUERY for f in FE.PAPER]))
+
+
+def _pair_numbers(spark, d):
+    """Scores and distances of the candidates, all from one pass over the terms that pairs share."""
+    index = _index(spark, d)
+    items = _items(spark, d).select("item_id", F.col("ks").alias("quer_key"), F.col("ts").alias("quer_all"))
+    pairs = _recall(spark, d).select("item_id", "doc_id").join(items, "item_id")
+    return IX.pair_scores(pairs, "item_id", FE.QUERY, FE.PAPER, index, "corp", _kept(index))
 
 
 def _field_docs(spark, d):
     """Stand-ins for the fields of papers: the first 8 tokens as title, language and source as keywords, all of these as corpus text."""
     head = F.slice("ts", 1, 8)
-    return _docs(spark, d, True).select("doc_id", "lang", "source", F.col("ts").alias("abst"), head.alias("titl"), F.concat("ts", head, F.array("lang", "source")).alias("corp"), F.array("lang", "source").alias("keyw"))
+    return _docs(spark, d).filter("doc_id IS NOT NULL").select("doc_id", "lang", "source", F.col("ts").alias("abst"), head.alias("titl"), F.concat("ts", head, F.array("lang", "source")).alias("corp"), F.array("lang", "source").alias("keyw"))
 
 
 _TFIDF = """{n} AS (SELECT key, term, x / sqrt(sum(x * x) OVER (PARTITION BY key)) AS w FROM (
@@ -682,22 +704,13 @@ def _sql_distances() -> str:
 @query(_sql_distances())
 def tfidf_distances(spark, d):
     """Frequencies come from all documents, vectors are made of the candidates alone."""
-    docs, items = _field_docs(spark, d), _items(spark, d)
-    pairs = _recall(spark, d).select("item_id", "doc_id").cache()
-    df = docs.select(F.explode(F.array_distinct("corp")).alias("term")).filter("term <> ''").groupBy("term").agg(F.count("*").alias("df")).cache()
-    stats = B.corpus_stats(docs, "corp")
-    docs = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    left = {q: B.tfidf(B.bag_of_words(items, "item_id", c), df, stats, "item_id").cache() for q, c in (("quer_key", "ks"), ("quer_all", "ts"))}
-    right = {f: B.tfidf(B.bag_of_words(docs, "doc_id", f), df, stats, "doc_id").cache() for f in FE.PAPER}
-    parts = [B.distances(pairs, left[q], right[f], "item_id", "doc_id", f"{q}_tfidf_{f}") for q in FE.QUERY for f in FE.PAPER]
-    return _round(R.one_to_one(parts, ["item_id", "doc_id"]))
+    return _round(_pair_numbers(spark, d).select("item_id", "doc_id", *[f"{q}_tfidf_{f}_{x}_dis" for q in FE.QUERY for f in FE.PAPER for x in ("cos", "eucl", "manh")]))
 
 
 # pair features
 
 def _pairs(spark, d):
-    fields = _field_docs(spark, d)
-    docs = fields.select("doc_id", *[F.col(f).alias(f"{f}_unigram") for f in (*FE.PAPER, "keyw")])
+    docs = _index(spark, d).forward.select("doc_id", *[F.col(f).alias(f"{f}_unigram") for f in (*FE.PAPER, "keyw")])
     items = _items(spark, d).select("item_id", F.col("ks").alias("quer_key_unigram"), F.col("ts").alias("quer_all_unigram"))
     return _recall(spark, d).select("item_id", "doc_id").join(items, "item_id").join(docs, "doc_id")
 
