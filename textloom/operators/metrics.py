@@ -7,21 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import edges
+
 
 #: Cells into which values are dealt, so that no task orders a whole column.
-CELLS = 1024
+CELLS = 128
 
 
 def running_before(counted: DataFrame, value: str, n: str, by: Sequence[str] = (), name: str = "before") -> DataFrame:
     """Adds the sum of n over the rows with smaller values, within groups; values are distinct.
 
-    Cells of equal width between the group's extremes are summed first; then each cell is ordered by itself.
+    Cells of about equal numbers of values, however these lie, are summed first; then each cell is ordered by itself.
     """
     v = F.col(value).cast("double")
-    ends = counted.groupBy(*by).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
-    out = counted.join(ends, list(by)) if by else counted.crossJoin(F.broadcast(ends))
-    cell = F.coalesce(F.floor(F.try_divide((v - F.col("__lo")) * (CELLS - 1), F.col("__hi") - F.col("__lo"))), F.lit(0)).cast("int")
-    out = out.withColumn("__cell", cell).drop("__lo", "__hi")
+    cuts = edges(counted.select(v.alias("v")), ["v"], CELLS)["v"]
+    out = counted.withColumn("__cell", F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= v)) if cuts else F.lit(0))
     cells = out.groupBy(*by, "__cell").agg(F.sum(n).alias("__all"))
     cells = cells.withColumn("__start", F.sum("__all").over(Window.partitionBy(*by).orderBy("__cell")) - F.col("__all")).drop("__all")
     inside = Window.partitionBy(*by, "__cell").orderBy(value)
