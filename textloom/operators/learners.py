@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import boosting as G
 from .metrics import fold_metrics
 from .scaling import fold_mean
 
@@ -44,6 +45,10 @@ class Variant:
         ok = lambda c: c in self.always or (not self.keep or any(k in c for k in self.keep)) and not any(d in c for d in self.drop)
         return [c for c in numeric_columns(df) if c not in (*ids, label, fold) and ok(c)]
 
+    def trees(self, df: DataFrame, ids: Sequence[str], label: str = "target", fold: str = "cv", more: Sequence[str] = (), **how) -> G.Trees:
+        """The variant as boosted trees of this library; more: features besides its own."""
+        return G.Trees(self.name, [*self.features(df, ids, label, fold), *more], rows=self.rows, rate=self.rate, feature_share=self.share, row_share=self.share, **how)
+
     def estimator(self, label: str) -> Estimator:
         return GBTClassifier(labelCol=label, featuresCol="__x", maxIter=self.rounds, stepSize=self.rate, maxDepth=self.depth, subsamplingRate=self.share, featureSubsetStrategy=str(self.share), validationIndicatorCol="__held", validationTol=GAIN, seed=7)
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import boosting as G
 from ..operators import features as FE
 from ..operators import learners as L
 from ..operators import metrics as M
@@ -59,6 +61,14 @@ def flow(features: DataFrame, query: str, doc: str, variants: Sequence[L.Variant
     return Ranked(predictions, answers, M.map_at(predictions, query, doc, "target", gold)), fold_scores(predictions, query, doc, gold)
 
 
+def grown(features: DataFrame, query: str, doc: str, variants: Sequence[G.Trees], gold: DataFrame, only: dict[str, int] | None = None) -> tuple[G.Trained, DataFrame]:
+    """All variants and folds trained in step, and ``variant, cv, queries, map_at``: each one's score by fold, and over all folds as fold 0."""
+    ids = [query, doc]
+    made = G.train(features, variants, ids, only=only)
+    scores = [fold_scores(made.predict(features, v.name, [*ids, "cv"], "cv"), query, doc, gold).withColumn("variant", F.lit(v.name)) for v in variants]
+    return made, reduce(DataFrame.unionByName, scores).select("variant", "cv", "queries", "map_at")
+
+
 def second_level(features: DataFrame, first: Ranked, query: str, doc: str, others: dict[str, DataFrame] | None = None) -> DataFrame:
     """Features with the listwise statistics of a first model's predictions and the predictions of further models."""
     out = features.join(K.listwise(first.predictions, query, doc, "target"), [query, doc], "left")

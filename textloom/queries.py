@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import arrays as A
 from .functions import scalars as S
 from .functions import text as X
+from .operators import boosting as G
 from .operators import embedding as E
 from .operators import features as FE
 from .operators import index as IX
@@ -1016,3 +1017,28 @@ def flow_scores(spark, d):
     rows = R.label_target(pairs.drop("rank", "score"), gold, "item_id", "doc_id").withColumn("cv", R.fold_of(F.col("item_id"))).withColumn("jitter", F.pmod(F.xxhash64("doc_id"), F.lit(97)).cast("double"))
     variants = [L.Variant("a", rounds=5, depth=3), L.Variant("b", drop=("jitter",), rounds=5, depth=2)]
     return RANK.flow(rows, "item_id", "doc_id", variants, gold)[1]
+
+
+def _labelled_pairs(spark, d):
+    """Candidates with scores and distances; right is a document that holds the item's passage word for word, whatever its rank."""
+    items = _t(spark, d, "benchmark").select("item_id", F.substring("text", 40, 60).alias("passage"))
+    docs = _t(spark, d, "documents").select("doc_id", "text", "source", "lang")
+    pairs = _recall(spark, d).join(_pair_numbers(spark, d), ["item_id", "doc_id"]).withColumnRenamed("score", "corp_sim_score").drop("rank")
+    wide = pairs.join(items, "item_id").join(docs, "doc_id").withColumn("target", ((F.length("passage") > 0) & F.contains("text", "passage")).cast("int"))
+    journal = F.when(F.col("doc_id") % 5 > 0, F.col("source")).otherwise("no-content")
+    return wide.drop("text", "passage").withColumns({"journal": journal, "year": F.when(F.col("doc_id") % 7 > 0, F.pmod("doc_id", F.lit(30)).cast("double")), "cv": R.fold_of(F.xxhash64("item_id"))})
+
+
+@query()
+def ranker_variants(spark, d):
+    """The five boosted variants and the second learner, four rounds of 32 leaves, or symmetric with statistics of source and language: MAP@3 by fold."""
+    rows, ids = _labelled_pairs(spark, d), ["item_id", "doc_id"]
+    five = [v.trees(rows, ids, rounds=4) for n, v in L.VARIANTS.items() if n != "second"]
+    told = rows
+    for c in ("source", "lang"):
+        told = G.ordered_statistics(told, c, ids)
+    stats = {f"{c}_ts_{k}": k for c in ("source", "lang") for k in range(1, 6)}
+    kept = _kept(_index(spark, d))(told, "ranker-rows")
+    second = L.VARIANTS["second"].trees(rows, ids, more=list(stats), rounds=4, symmetric=True, ridge=3.0)
+    gold = kept.filter("target = 1").select(*ids)
+    return RANK.grown(kept, *ids, [*five, second], gold, stats)[1]
