@@ -1,15 +1,16 @@
 """Exact top-k inner products of integer vectors, over blocks of norm-sorted vectors.
 
 Vectors become integers, floor(scale * x), and are sorted by descending length into blocks.  An inner product is split by the leading axes of a singular
-value decomposition: a partial sum over these plus the Cauchy-Schwarz bound on the lengths of what they leave over.  Every block of queries first meets the
+value decomposition: partial sums over more and more of these, each with the Cauchy-Schwarz bound on the lengths of what they leave over.  Every block of queries first meets the
 block of the longest vectors, which sets each query's level, its k-th best score so far.  Queries are then dealt anew by level / |query|, the length that
 a vector must have to matter, and a block travels only to blocks of queries of which one needs no more than its longest vector.  There a query goes through
-the vectors from the longest on, stops where |query| * |vector| falls below its level, drops others by the bound, and scores what remains exactly in
-integers, whatever their size.
+the vectors from the longest on, stops where |query| * |vector| falls below its level, drops others by the bound of each partial sum, scores the likeliest
+of the rest first, which raises its level, and then what still reaches it, exactly in integers, whatever their size.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import n_partitions, prepare, written
 
-#: Factor of the integers; results; vectors of a block and queries of a block; coordinates of the partial sum.
-SCALE, TOP, BLOCK, QUERIES, HEAD = 256, 5, 4096, 1024, 16
+#: Factor of the integers; results; vectors of a block and queries of a block.
+SCALE, TOP, BLOCK, QUERIES = 256, 5, 4096, 1024
+#: Coordinates of the partial sums, and how many times the results are scored first, by falling partial sum, before others are asked for their bound.
+STAGES, HEAD, LIKELY = (16, 32, 48), 48, 4
 #: Vectors and components that the axes of one number of dimensions are fitted on at most; any axes give right results.
 FITTED, FITTED_VALUES = 20_000, 1 << 24
 #: Integers up to this size have exact products and sums in doubles at any usual number of dimensions; beyond it doubles bound and Python's integers score.
@@ -66,6 +69,10 @@ def _axes(rows: np.ndarray) -> np.ndarray:
     return q
 
 
+#: Pairs that best() has scored exactly in this process.
+counted = {"exact": 0}
+
+
 def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, axes: np.ndarray, k: int, level: np.ndarray) -> list[tuple[int, int, int]]:
     """(query, vector, score) of each query's k best among x, which is sorted by descending length; level: scores under which nothing matters."""
     out: list[tuple[int, int, int]] = []
@@ -76,7 +83,9 @@ def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, axe
     qr, xr = qf @ axes, xf @ axes
     q_sq, x_sq = (qf * qf).sum(1), (xf * xf).sum(1)
     q_len, x_len = np.sqrt(q_sq), np.sqrt(x_sq)
-    q_rest, x_rest = np.sqrt(np.maximum(q_sq - (qr * qr).sum(1), 0)), np.sqrt(np.maximum(x_sq - (xr * xr).sum(1), 0))
+    stages = [(lo, hi) for lo, hi in itertools.pairwise((0, *STAGES)) if lo < axes.shape[1]]
+    rest = lambda r, sq: [np.sqrt(np.maximum(sq - (r[:, :hi] ** 2).sum(1), 0)) for _, hi in stages]
+    q_rest, x_rest = rest(qr, q_sq), rest(xr, x_sq)
     # Far over what rounding makes, and over a unit in each component where integers were shifted.
     slack = 1e-6 * (q_len * float(x_len.max()) + 1) + ((qs > 0) + (xs > 0)) * np.sqrt(x.shape[1]) * (q_len + float(x_len.max()) + x.shape[1])
     floor = np.where(level <= -(2.0**63), -np.inf, level * unit)
@@ -84,24 +93,41 @@ def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, axe
     if exact:
         q, x = (v if v.dtype == object else np.array([[int(c) for c in row] for row in v.tolist()], object).reshape(v.shape) for v in (q, x))
     top: list[list[tuple[int, int]]] = [[] for _ in q_ids]
+
+    def scored(i: int, at: np.ndarray) -> None:
+        """Exact scores of some vectors for a query."""
+        if not len(at):
+            return
+        counted["exact"] += len(at)
+        s = x[at] @ q[i]
+        if len(at) > 4 * k and not exact:
+            keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+            at, s = at[keep], s[keep]
+        top[i] = sorted([*top[i], *((-int(a), int(b)) for a, b in zip(s, x_ids[at], strict=True))])[:k]
+        if len(top[i]) == k:
+            floor[i] = max(floor[i], float(-top[i][-1][0] >> (qs + xs)) if exact else -top[i][-1][0])
+
     step = 512
     for lo in range(0, len(x), step):
         live = np.flatnonzero(q_len * x_len[lo:].max() + slack >= floor)
         if not len(live):
             break
         hi = min(lo + step, len(x))
-        bound = qr[live] @ xr[lo:hi].T + np.outer(q_rest[live], x_rest[lo:hi])
-        for i, row in zip(live.tolist(), bound, strict=True):
-            at = lo + np.flatnonzero(row + slack[i] >= floor[i])
-            at = at[x_ids[at] != q_ids[i]]
-            if len(at):
-                s = x[at] @ q[i]
-                if len(at) > 4 * k and not exact:
-                    keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-                    at, s = at[keep], s[keep]
-                top[i] = sorted([*top[i], *((-int(a), int(b)) for a, b in zip(s, x_ids[at], strict=True))])[:k]
-                if len(top[i]) == k:
-                    floor[i] = max(floor[i], float(-top[i][-1][0] >> (qs + xs)) if exact else -top[i][-1][0])
+        part, reach = np.zeros((len(live), hi - lo)), np.ones((len(live), hi - lo), bool)
+        for (x0, x1), qe, xe in zip(stages, q_rest, x_rest, strict=True):
+            part += qr[live, x0:x1] @ xr[lo:hi, x0:x1].T
+            bound = part + np.outer(qe[live], xe[lo:hi])
+            reach &= bound + slack[live, None] >= floor[live, None]
+        bound = bound if stages else np.zeros_like(part)
+        for n, i in enumerate(live.tolist()):
+            at = np.flatnonzero(reach[n])
+            at = at[x_ids[lo + at] != q_ids[i]]
+            if len(at) > 2 * LIKELY * k:
+                first = at[np.argpartition(-part[n, at], LIKELY * k)[: LIKELY * k]]
+                scored(i, lo + first)
+                at = np.setdiff1d(at, first)
+                at = at[bound[n, at] + slack[i] >= floor[i]]
+            scored(i, lo + at)
     for name, found in zip(q_ids.tolist(), top, strict=True):
         out += [(name, v, max(min(-s, (1 << 63) - 1), -(1 << 63))) for s, v in found]
     return out
