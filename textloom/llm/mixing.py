@@ -3,9 +3,10 @@
 Every document gets whole copies that are certain, and odds for one copy more.  Odds follow a weight for the octave of the document's length, scaled in each
 source so that the expected words equal the source's target.  Documents are ranked by Q = [u / (1 - u)] / [p / (1 - p)], with u a uniform number
 from a hash of identifier, text and, for rows equal in both, a running number, and p the inclusion probability; of each source and length class, an eighth of
-an octave, those of smallest Q are taken, in fixed number.  The numbers are the expected ones, rounded at random from the longest class down, each a little
-less or more for what longer classes took in words beyond or below what they should: so a document's chance is p, and a source's words come within about one
-document of its target.  The cut of a class is found by histograms over Q, never by one ordered scan.
+an octave, those of smallest Q are taken, in fixed number.  The numbers are the expected ones, rounded at random from the longest class down, each less or
+more by a share of the words that longer classes took beyond or below what they should.  The share is the same whatever was taken, and small enough that no
+number falls below 0 or exceeds its class, so every document's chance is p exactly; a source's words come near its target, the nearer the more documents it
+has.  The cut of a class is found by histograms over Q, never by one ordered scan.
 """
 
 from __future__ import annotations
@@ -23,9 +24,6 @@ WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2
 CLASS_FALL, PARTS = 0.02, 8
 #: Octaves from this on count as one class, so sources have a fixed number of them.
 TOP_OCTAVE = 40
-#: By this part a class takes more or less than expected, at most, for what longer classes took.  Where few documents are left to make up for a long one, a
-#: larger part would come nearer to the words and farther from the odds.
-GIVE = 0.4
 #: Parts of a word in which that is counted, and cells of one histogram level of the rank.
 FINE, CELLS = 1024, 4096
 #: Rows of the table of sources and length classes up to which tables of sources are broadcast; beyond, they are joined by shuffles.
@@ -137,18 +135,20 @@ def _numbers(rates: DataFrame, seed: str) -> DataFrame:
     told = rates.filter((p > 0) & (F.col("words") > 0)).withColumn("p", p).withColumn("e", expected).withColumn("u", u)
     told = told.withColumn("rest", F.sum("e").over(Window.partitionBy("source").orderBy("class")))
 
-    def number(s: Column, x: Column) -> Column:
-        over = F.when(x["rest"] > 0, s["over"].cast("double") / F.when(x["rest"] > 0, x["rest"]).otherwise(1).cast("double")).otherwise(0.0)
-        give = F.lit(1.0) - F.greatest(F.lit(-GIVE), F.least(F.lit(GIVE), over))
-        return F.least(x["docs"], F.floor(x["p"] * x["docs"] * give + x["u"]).cast("long"))
-
     def step(s: Column, x: Column) -> Column:
-        n = number(s, x)
+        """over: words taken beyond what was expected so far; most: what their amount can't exceed, whatever was drawn."""
+        rest, mean = x["rest"].cast("double"), (x["words"] * FINE).cast("double") / x["docs"].cast("double")
+        there = (s["most"] > 0) & (x["rest"] > 0)
+        # Neither below no document nor above all of them.
+        room = F.least(F.lit(1.0), (F.lit(1.0) - x["p"]) / x["p"])
+        share = F.when(there, F.least(F.lit(1.0) / F.when(there, rest).otherwise(1.0), room / F.when(there, s["most"]).otherwise(1.0))).otherwise(0.0)
+        n = F.least(x["docs"], F.floor(x["p"] * x["docs"] * (F.lit(1.0) - share * s["over"]) + x["u"]).cast("long"))
         words = F.floor((n * x["words"] * FINE).cast("double") / x["docs"].cast("double")).cast("long")
-        return F.struct((s["over"] + words - x["e"]).alias("over"), F.concat(s["takes"], F.array(F.struct(x["class"].alias("class"), n.alias("take")))).alias("takes"))
+        taken = F.concat(s["takes"], F.array(F.struct(x["class"].alias("class"), n.alias("take"))))
+        return F.struct((s["over"] + words - x["e"]).alias("over"), (s["most"] * (F.lit(1.0) - share * x["e"]) + mean).alias("most"), taken.alias("takes"))
 
     xs = F.sort_array(F.collect_list(F.struct("class", "docs", "words", "p", "e", "rest", "u")), asc=False)
-    begun = F.struct(F.lit(0).cast("long").alias("over"), F.array().cast("array<struct<class:int,take:bigint>>").alias("takes"))
+    begun = F.struct(F.lit(0).cast("long").alias("over"), F.lit(0.0).alias("most"), F.array().cast("array<struct<class:int,take:bigint>>").alias("takes"))
     folded = told.groupBy("source").agg(F.aggregate(xs, begun, step)["takes"].alias("takes"))
     return folded.select(F.col("source").alias("s"), F.explode("takes").alias("x")).select("s", F.col("x.class").alias("c"), F.col("x.take").alias("take"))
 

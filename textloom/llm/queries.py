@@ -123,10 +123,11 @@ WITH RECURSIVE d0 AS (SELECT row_number() OVER () AS rid, doc_id, source, ('0x'
 , n0 AS (SELECT *, copies - floor(copies) AS p, floor((copies - floor(copies)) * words * {mixing.FINE} + 0.5)::BIGINT AS e,
     (('0x' || substr(md5(concat('/class/', coalesce(source, 'null'), '/', class)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM rate WHERE copies > floor(copies) AND words > 0)
 , n1 AS (SELECT *, (sum(e) OVER (PARTITION BY source ORDER BY class))::BIGINT AS rest, row_number() OVER (PARTITION BY source ORDER BY class DESC) AS i FROM n0)
-, n2 AS (SELECT source, 0::BIGINT AS i, NULL::INT AS class, 0::BIGINT AS take, 0::BIGINT AS over FROM n1 GROUP BY source
-    UNION ALL SELECT source, i, class, take, over + floor((take * words * {mixing.FINE})::DOUBLE / docs::DOUBLE)::BIGINT - e FROM (
-    SELECT n1.*, n2.over, least(docs, floor(p * docs * (1.0::DOUBLE - greatest(-{mixing.GIVE}::DOUBLE, least({mixing.GIVE}::DOUBLE, CASE WHEN rest > 0 THEN n2.over::DOUBLE / rest::DOUBLE ELSE 0 END))) + u)::BIGINT) AS take
-    FROM n2 JOIN n1 ON n1.source IS NOT DISTINCT FROM n2.source AND n1.i = n2.i + 1))
+, n2 AS (SELECT source, 0::BIGINT AS i, NULL::INT AS class, 0::BIGINT AS take, 0::BIGINT AS over, 0.0::DOUBLE AS most FROM n1 GROUP BY source
+    UNION ALL SELECT source, i, class, take, over + floor((take * words * {mixing.FINE})::DOUBLE / docs::DOUBLE)::BIGINT - e, most * (1.0::DOUBLE - share * e) + (words * {mixing.FINE})::DOUBLE / docs::DOUBLE FROM (
+    SELECT *, least(docs, floor(p * docs * (1.0::DOUBLE - share * over) + u)::BIGINT) AS take FROM (
+    SELECT n1.*, n2.over, n2.most, CASE WHEN most > 0 AND rest > 0 THEN least(1.0::DOUBLE / rest::DOUBLE, least(1.0::DOUBLE, (1.0::DOUBLE - p) / p) / most) ELSE 0.0::DOUBLE END AS share
+    FROM n2 JOIN n1 ON n1.source IS NOT DISTINCT FROM n2.source AND n1.i = n2.i + 1)))
 , u AS (SELECT dc.*, rate.source_size, rate.target, rate.copies, copies - floor(copies) AS p,
     (('0x' || substr(digest, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
     FROM dc JOIN rate ON rate.source IS NOT DISTINCT FROM dc.source AND rate.class = dc.class)
