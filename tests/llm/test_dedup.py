@@ -166,6 +166,21 @@ def test_near_edges(spark):
     assert kept.filter("doc_id IN (3, 4, 5)").count() == 3
 
 
+def test_near_rows_without_identifiers(spark):
+    """Thousands of rows without or with one identifier: right classes, and one row of each group stays."""
+    words = [f"w{i}" for i in range(400)]
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(700):
+        t = " ".join(rng.choice(words, 40))
+        rows += [(None, t), (None, t + " end"), (None if i % 2 else 5, t), (None, t)]
+    docs = table(spark, rows)
+    assert sorted(map(tuple, near_dedup.classes_of(docs).collect()), key=str) == components(rows)
+    kept = near_dedup.dedup(docs).collect()
+    assert len(kept) == 700 and sum(r.doc_id == 5 for r in kept) == 350
+    assert {" ".join(r.text.split()[:40]) for r in kept} == {" ".join(t.split()[:40]) for _, t in rows}
+
+
 def test_near_very_long_text(spark):
     long = " ".join(str(i) for i in range(60_000))
     rows = [(1, long), (2, long + " end"), (3, long[: len(long) // 2])]

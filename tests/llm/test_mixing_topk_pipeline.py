@@ -89,6 +89,26 @@ def test_pareto_draws_follow_their_odds(spark):
         assert abs(taken[part].mean() - rate[part].mean()) < 0.12
 
 
+def test_thousands_of_draws_follow_their_odds(spark):
+    """Equal sources are draws of one mix: over 2,001 of them, both classes come as often as they should, and words within one document of the target."""
+    n = 2001
+    docs = spark.range(n).select(F.format_string("s%05d", "id").alias("source"), F.explode(F.array(*map(F.lit, [60, 4] * 20))).alias("k"))
+    docs = docs.select(F.monotonically_increasing_id().alias("doc_id"), "source", F.repeat(F.lit("w "), F.col("k")).alias("text"))
+    made = mixing.Mix(docs)
+    rates = {(r.source, r["class"]): r.copies for r in made.rates.collect()}
+    got = made.copies_of(made.sized).groupBy("source", "size").agg(F.avg("taken_copies").alias("mean"), F.sum(F.col("taken_copies") * F.col("size")).alias("words"), F.first("target").alias("target")).collect()
+    words, target, draws = defaultdict(int), {}, defaultdict(list)
+    for r in got:
+        words[r.source] += r.words
+        target[r.source] = r.target
+        kind = int(r.source[1:]) % 3
+        octave = (r.size + 1).bit_length() - 1
+        rate = rates[r.source, octave * mixing.PARTS + ((r.size + 1) * mixing.PARTS >> octave) - mixing.PARTS]
+        draws[kind, r.size].append(r["mean"] - rate)
+    assert all(abs(words[s] - t) <= 60 for s, t in target.items())
+    assert len(draws) == 6 and all(len(d) == n // 3 and abs(np.mean(d)) < 0.02 for d in draws.values())
+
+
 @pytest.mark.parametrize("name", ["op3_mixing", "op5_norm_sorted_topk"])
 def test_queries_match_sql(spark, data, duck, same_rows, name):
     same_rows(queries()[name](spark, data), duck.sql(oracle_sql()[name]))
@@ -144,6 +164,18 @@ def test_search_leaves_out_blocks_that_are_too_short(spark, monkeypatch):
     assert 0 < made["topk-pairs"] < 0.7 * made["topk-asked"] * (made["topk-blocks"] - 1)
 
 
+def test_most_pairs_are_dropped_by_their_bounds(spark, data):
+    """Vectors of nearly one length, in which Cauchy-Schwarz on whole vectors drops nothing: partial sums over more and more axes do."""
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, ids = topk._ints(np.concatenate([r.embedding for r in rows]), 64, 256), np.array([r.vec_id for r in rows])
+    order = np.argsort(-np.sqrt((x * x).sum(1)), kind="stable")
+    x, ids = x[order], ids[order]
+    asked, before = ids % 50 == 0, topk.counted["exact"]
+    got = topk.best(x[asked], ids[asked], x, ids, topk._axes(x), 5, np.full(asked.sum(), -np.inf))
+    assert topk.counted["exact"] - before < 0.5 * asked.sum() * len(ids)
+    assert sorted((q, s) for q, _, s in got) == sorted((int(q), int(s)) for q, v in zip(ids[asked], x[asked], strict=True) for s in np.sort((x @ v)[ids != q])[-5:])
+
+
 def test_search_of_large_integers(spark):
     """The same method beyond exact doubles: products and sums in whole numbers, cut to 64 bits in the result."""
     rng = np.random.default_rng(6)
@@ -193,12 +225,23 @@ def test_pipeline_on_edges(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "one two three four five six seven", "en", None, 3), (3, "one two three four five six seven", "en", None, 3), (None, "x y z", None, "s", 1)]
     for data in (rows, []):
-        docs = spark.createDataFrame(data, schema)
+        docs, found = spark.createDataFrame(data, schema), []
         for k, (_, stage) in enumerate(cp.STAGES):
             docs = stage(spark, docs, "")
             if k + 1 < len(cp.STAGES):
                 docs = cp.written(docs, "test-edge")
-        assert docs.count() >= 0
+            found.append(sorted(((r.doc_id, r.text) if k < 4 else (r.doc_id, r.length) for r in docs.collect()), key=str))
+        if not data:
+            assert found == [[]] * 5
+            continue
+        assert found[0] == sorted(((r[0], r[1]) for r in rows), key=str)
+        # One row of each text: the smallest identifier, and null and empty are equal.
+        once = [(i, t or "") for i, t in found[1]]
+        assert sorted(once, key=str) == sorted([(1, ""), (3, rows[2][1]), (None, "x y z")], key=str)
+        assert found[2] == found[1]
+        # Both sources take 150 % of the words at most twice; what is taken is packed whole, each row with its end.
+        assert set(found[3]) <= set(found[2]) and all(found[3].count(x) <= 2 for x in found[3])
+        assert [i for i, _ in found[4]] == [i for i, _ in found[3]] and sum(n for _, n in found[4]) > len(found[4])
 
 
 def test_mix_with_many_sources_needs_no_broadcast(spark, monkeypatch):
