@@ -25,6 +25,7 @@ from .operators import scaling as C
 from .operators import text as T
 from .plans import rank as RANK
 from .plans import recall as RECALL
+from .plans import resumable as RESUMABLE
 from .sources import io as IO
 from .sources import store as ST
 
@@ -1042,3 +1043,15 @@ def ranker_variants(spark, d):
     second = L.VARIANTS["second"].trees(rows, ids, more=list(stats), rounds=4, symmetric=True, ridge=3.0)
     gold = kept.filter("target = 1").select(*ids)
     return RANK.grown(kept, *ids, [*five, second], gold, stats)[1]
+
+
+@query()
+def resumable_flow(spark, d):
+    """Two variants by folds, blended, answered and scored in stages kept in the shared folder; another call reads what is there.  MAP@3 by fold."""
+    ids, names = ["item_id", "doc_id"], ["corp_sim_score", "quer_all_corp_bm25_score", "quer_key_abst_bm25_score", "quer_all_tfidf_abst_cos_dis"]
+    ledger = RESUMABLE.Ledger(spark, "ranker")
+    reads = [RESUMABLE.Stage(_recall(spark, d), _index(spark, d).store.folder), ledger.given(_t(spark, d, "benchmark")), ledger.given(_t(spark, d, "documents"))]
+    rows = ledger.stage("rows", reads, lambda *_: _labelled_pairs(spark, d).select(*ids, "target", "cv", *names))
+    gold = ledger.stage("gold", [rows], lambda r: r.filter("target = 1").select(*ids))
+    variants = [G.Trees("leafwise", names, rounds=2, rate=0.3, leaves=8), G.Trees("symmetric", names, rounds=2, rate=0.3, symmetric=True, levels=3)]
+    return RESUMABLE.run(ledger, rows, *ids, variants, gold).scores
