@@ -24,6 +24,11 @@ def test_logit_edges(spark):
     assert r.a == -12 and r.b == math.inf and r.c is None and r.d == 0 and r.e == -12
 
 
+def test_logit_above_one_is_no_number(spark):
+    r = one(spark, a=S.logit_clip(F.lit(1.12)), b=S.logit_clip(F.lit(math.nan)), c=S.logit_clip(F.lit(1.0)))
+    assert math.isnan(r.a) and math.isnan(r.b) and r.c == math.inf
+
+
 def test_row_mean_passes_over_nulls(spark):
     n = F.lit(None).cast("double")
     r = one(spark, a=S.row_mean([F.lit(1.0), n, F.lit(4.0)]), b=S.row_mean([n, n]))
