@@ -1,5 +1,7 @@
 """Edge cases: ties, nulls, short groups, empty inputs; and properties."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -239,3 +241,10 @@ def test_boosting_stops_early(spark):
     df = spark.createDataFrame(rows, "id long, x double, target int, cv int, journal string, year double")
     out = L.boosted(df, L.Variant("v", drop=("year",), rows=L.FILTERED, rounds=12, depth=2), ["id"])
     assert out.features == ["x"] and out.out_of_fold.count() == 200 and all(m.getNumTrees < 12 for m in out.models.values()), [m.getNumTrees for m in out.models.values()]
+
+
+def test_blend_keeps_a_score_without_log_odds(spark):
+    a = spark.createDataFrame([(1, 0.5), (2, 1.12)], "k long, p double")
+    b = spark.createDataFrame([(2, 0.5), (3, 0.5)], "k long, p double")
+    out = {r.k: r.score for r in C.blend({"a": a, "b": b}, ["k"], "p", {"a": 1.0, "b": 2.0}).collect()}
+    assert out[1] == 0 and math.isnan(out[2]) and out[3] == 0
