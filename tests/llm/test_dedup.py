@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +208,31 @@ def test_queries_match_sql(spark, data, duck, same_rows, name):
 def test_exact_plan_is_native(spark, data):
     plan = queries()["op6_exact_dedup"](spark, data)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_shingle_sets_of_neighbouring_texts(monkeypatch):
+    """Sets of all texts of a batch at once are those of each text alone: no shingle reaches into the next text, long words differ by any byte."""
+    long = [b"q" * k + b" " + b"q" * (k + 1) + b"\tr" for k in (7, 8, 9, 16, 64, 300)]
+    odd = [None, b"", b" \n", b"a", b"A b", b"a b c d", b"a b c d e", b" a b c d e f ", b"a", b"b c d e f g", b"\x00 \x00\x00 a", b"x\x0by\x1cz", "é É ñ a b c".encode(), b"a b c d e " * 30, *long]
+
+    def brute(text, k=5):
+        w = (text or b"").lower().split()
+        m = min(k, len(w))
+        return {tuple(w[i : i + m]) for i in range(len(w) - m + 1)} if w else set()
+
+    for at_once in (1, 40, 1 << 20):
+        monkeypatch.setattr(near_dedup, "AT_ONCE", at_once)
+        got = list(near_dedup.shingle_sets(pa.array([b"left out", *odd], pa.binary()).slice(1)))
+        for text, s in zip(odd, got, strict=True):
+            assert (s[1:] > s[:-1]).all() and np.array_equal(s, near_dedup.shingle_set(text))
+            assert [len(np.intersect1d(s, t)) for t in got] == [len(brute(text) & brute(other)) for other in odd]
+    assert list(near_dedup.shingle_sets(pa.array([], pa.string()))) == []
+
+
+def test_only_texts_that_are_asked_for_are_shuffled(spark):
+    """Before full sets are joined to their classes, other rows are left behind; none that is asked for is."""
+    told = near_dedup._told(table(spark, [(i, f"t{i}") for i in range(3000)] + [(None, "t1"), (None, None)]), "doc_id", "text")
+    owners = told.filter("doc_id % 100 = 0 OR text IS NULL").select(F.col("doc_id").alias("owner"), F.col("digest").alias("own"))
+    left = near_dedup._asked(told, owners).collect()
+    assert {r.own for r in owners.collect()} <= {r.digest for r in left} and 31 <= len(left) < 40
+    assert near_dedup._asked(told, owners.limit(0)).count() == 0

@@ -23,12 +23,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cache, claim, prepare, written
+from .common import WORD, prepare, written
 
 #: Words of a shingle, similarity as a fraction, values that a sketch retains, chance to miss a pair at the similarity.
 WORDS, SIMILAR, KEPT, MISS = 5, (3, 4), 48, 1e-9
@@ -37,28 +37,33 @@ MANY, CANDIDATES, JUDGES = 64, 16, 32
 #: Lists of differences whose members need at most so many comparisons of four numbers, with each other or of one side with the other, and have at most so
 #: many members, do without a pivot.
 CHECKS, SHORT = 1 << 17, 1 << 13
-#: Hashes of words that a Python worker remembers.
-REMEMBERED = 1 << 19
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = cache(_Words())
-
-
-def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text in UTF-8, A-Z in lower case; of all words if there are fewer than a shingle has."""
-    found = (text or b"").lower().split()
-    if not found:
-        return np.zeros(0, np.int64)
-    a = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
-    k = min(words, len(a))
+#: Bits by digest that tell, before texts are shuffled, which ones can be asked for.
+SLOTS = 1 << 24
+#: Bytes of texts whose words are hashed at once; a longer text is taken by itself.
+AT_ONCE = 1 << 20
+
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_SPACE = np.array([bytes([c]).isspace() for c in range(256)])
+#: Masks of the first 0 to 8 bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], "<u8")
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words by their place in data, which has 8 bytes beyond the last; eight bytes of all words at a time."""
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    left, at, rest = np.arange(len(start)), start, size
+    while len(left):
+        x = (h[left] ^ (eights[at] & _FIRST[np.minimum(rest, 8)])) * np.uint64(0xD6E8FEB86659FD93)
+        h[left] = x ^ (x >> np.uint64(32))
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def _shingle_hashes(a: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all runs of k words."""
     n = len(a) - k + 1
     h = np.full(n, k, np.uint64)
     for i in range(k):
@@ -66,7 +71,44 @@ def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
         h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    return np.unique(h.view(np.int64))
+    return h.view(np.int64)
+
+
+def _sets_of(data: np.ndarray, ends: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    """shingle_set() of neighbouring texts by the places in data where they end, the first being where the first one begins."""
+    ends = ends - ends[0]
+    n = int(ends[-1])
+    data = np.concatenate([_LOWER[data[:n]], np.zeros(8, np.uint8)])
+    inside, first = np.zeros(n + 2, bool), np.zeros(n + 1, bool)
+    inside[1:-1], first[ends] = ~_SPACE[data[:n]], True
+    start = np.flatnonzero(inside[1:] & (~inside[:-1] | first))
+    stop = np.flatnonzero(inside[:-1] & (~inside[1:] | first))
+    a = _word_hashes(data, start, stop - start)
+    runs = _shingle_hashes(a, words) if len(a) >= words else None
+    bounds = np.searchsorted(start, ends).tolist()
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        # Runs that reach into the next text are left out.
+        x = runs[lo : hi - words + 1] if hi - lo >= words else _shingle_hashes(a[lo:hi], hi - lo) if hi > lo else np.zeros(0, np.int64)
+        x.sort()
+        new = x[1:] != x[:-1]
+        yield x if new.all() else np.concatenate([x[:1], x[1:][new]])
+
+
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+    """shingle_set() of each text; null is empty."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + AT_ONCE, "right")) - 1)
+        yield from _sets_of(data[ends[at] :], ends[at : to + 1], words)
+        at = to
+
+
+def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text in UTF-8, A-Z in lower case; of all words if there are fewer than a shingle has."""
+    return next(shingle_sets(pa.array([text], pa.binary()), words))
 
 
 def least_overlap(size: int, kept: int = KEPT, similar=SIMILAR, miss: float = MISS) -> int:
@@ -88,25 +130,23 @@ def least_overlap(size: int, kept: int = KEPT, similar=SIMILAR, miss: float = MI
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], words: int, kept: int) -> Iterator[pa.RecordBatch]:
-    claim(_hashes)
     for b in batches:
         keys, sizes, sketches = [], [], []
-        for text in b.column(1).cast(pa.binary()).to_pylist():
-            s = shingle_set(text, words)
-            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+        for s in shingle_sets(b.column(1), words):
+            keys.append(hashlib.blake2b(s, digest_size=16).digest() if len(s) else None)
             sizes.append(len(s))
-            sketches.append(s[:kept])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "digest", "node", "n", "sketch"])
+            sketches.append(s[:kept].copy())
+        ends = np.cumsum([0, *map(len, sketches)])
+        values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sketches])))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), values], ["doc_id", "digest", "node", "n", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """doc_id, text, cid, node to cid, shingles for the rows whose set is the class's."""
-    claim(_hashes)
     for b in batches:
         cids, sets = [], []
-        for text, cid, node in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            s = shingle_set(text, words)
-            if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == node:
+        for s, cid, node in zip(shingle_sets(b.column(1), words), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if len(s) and hashlib.blake2b(s, digest_size=16).digest() == node:
                 cids.append(cid)
                 sets.append(s.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "shingles"])
@@ -173,7 +213,7 @@ def links(docs: DataFrame, words: int = WORDS, similar=SIMILAR, kept: int = KEPT
     active = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     owners = classes.join(active, "cid").select(F.col("doc_id").alias("owner"), F.col("digest").alias("own"), "cid", "node")
     # By identifier and digest of the text: rows that share an identifier, or have none, each meet what they own themselves.
-    mine = told.join(owners, F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("digest") == F.col("own")))
+    mine = _asked(told, owners).join(owners, F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("digest") == F.col("own")))
     sets = mine.select("doc_id", "text", "cid", "node").mapInArrow(lambda it: _sets(it, words), "cid long, shingles binary")
     # Equal texts can repeat under one identifier.
     sets = written(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "near-sets")
@@ -197,6 +237,22 @@ def _told(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
 
 
+def _asked(told: DataFrame, owners: DataFrame) -> DataFrame:
+    """The rows of told whose digest can be an owner's, and a few others; SLOTS bits go to all tasks."""
+    slot = owners.select(F.col("own").bitwiseAND(SLOTS - 1).alias("s"))
+    found = slot.groupBy((F.col("s") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 AS int))")).alias("bits")).toArrow()  # SLOTS / 64 rows at most
+    bits = np.zeros(SLOTS >> 6, np.int64)
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy()
+    sent = told.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def can(digest: pd.Series) -> pd.Series:
+        s = digest.to_numpy(np.int64) & (SLOTS - 1)
+        return pd.Series((sent.value[s >> 6] >> (s & 63)) & 1 == 1)
+
+    return told.filter(can("digest"))
+
+
 def _first() -> Column:
     """The first row by identifier, then digest; rows without identifier come last."""
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
