@@ -1,8 +1,12 @@
 """Classifiers and language model: held-out accuracy, what the methods promise, and edge cases."""
 
+import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +136,42 @@ def test_quality_sees_the_end_of_texts_without_spaces():
     assert set(quality.votes(plain)) == {-1} and quality.votes(junk)[0] == 0 and quality.votes("0123456789" * 30)[9] == 0
 
 
+def _described(word):
+    """Words' counts by patterns, one word at a time."""
+    loud = sum(not c.isalnum() and c not in ".,;:'\"()?-" and unicodedata.category(c)[0] != "M" for c in word)
+    plain = re.fullmatch(r"[\"'(]?[^\W\d_](?:[^\W\d_]|['’-])*[.,;:!?\"')]?", word)
+    marked, ends = re.search(r"[^\w\s]{2,}$", word), re.search(r"[^\W_][.!?]$", word)
+    each = [sum(f(c) for c in word) for f in (str.isalpha, str.isupper, str.isdigit)]
+    return [len(word), *each, loud, bool(plain), bool(marked), not any(map(str.isalnum, word)), bool(ends)]
+
+
+def test_quality_describes_words_by_their_characters(monkeypatch):
+    rng = random.Random(5)
+    signs = [*"aBé9_'’-(\".,;:!?)$|漢。²٣", "\u0301", "\x00", "\x01", "\x85", "\xa0", "😀"]
+    texts = [None, "", "  a ", *(" ".join("".join(rng.choices(signs, k=rng.randint(1, 5))) for _ in range(rng.randint(1, 40))) for _ in range(500))]
+    monkeypatch.setattr(quality, "AT_ONCE", 5000)
+    portions = list(quality._portions(pa.array(texts, pa.string())))
+    assert len(portions) > 5 and sum(len(p.texts) for p in portions) == len(texts)
+    for p in portions:
+        words = [w for t in p.texts.to_pylist() for w in re.findall(quality.WORD, t)]
+        assert len(p.at) == len(words)
+        got = np.stack([p.described()[k] for k in quality.COUNTS], axis=1)[p.at].astype(int).tolist()
+        shape, shapes = p.shaped()
+        for w, g, k in zip(words, got, shape[p.at].tolist(), strict=True):
+            assert g == _described(w) and quality._pieces(shapes[k]) == quality.shapes(w), w
+    scorer = quality.Scorer(np.random.default_rng(1).normal(size=quality.DIMS), 0.1)
+    alone = [float(scorer.scores(pa.array([t], pa.string()))[0]) for t in texts]
+    assert np.allclose(scorer.scores(pa.array(texts, pa.string())), alone, atol=1e-12)
+
+
+def test_quality_does_not_work_by_distinct_word(monkeypatch):
+    seen, describe = [], quality._describe
+    monkeypatch.setattr(quality, "_describe", lambda of: seen.append(of) or describe(of))
+    monkeypatch.setattr(quality, "_table", np.zeros(0x110000, np.uint16), raising=False)
+    quality.votes(" ".join(f"w{k}" for k in range(20_000)))
+    assert len(seen) <= 11  # w and digits; not 20,000 words
+
+
 def test_quality_edges(spark):
     got = quality.classify(table(spark, EDGE)).collect()
     assert len(got) == len(EDGE) and all(0 <= r.score <= 1 for r in got)

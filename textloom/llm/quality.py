@@ -14,12 +14,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cache, claim, prepare
+from .common import WORD, claim, prepare
 from .linear import fit
 
 #: Documents that train the scorer, in order of a hash of their texts; a documented bound of the fit.  Patterns and scores cover all documents.
@@ -31,78 +31,151 @@ MOST_FALSE = 0.01
 SHRINK = 10
 #: A document stays if its score reaches this.
 THRESHOLD = 0.3
-#: Words that a worker remembers, and the longest of them in characters.
-REMEMBERED, LONGEST = 1 << 17, 1 << 10
 #: Marks of a shape in one piece; longer shapes are overlapping pieces, each starting so many marks after the last.
 PIECE, APART = 12, 6
 #: A text of fewer than 5 words votes by its characters from so many on.
 LONG_TEXT = 200
+#: Bytes of texts whose words are described at once; a longer text is taken by itself.
+AT_ONCE = 1 << 21
 
 _words = re.compile(WORD).findall
 
 
-_PLAIN = re.compile(r"[\"'(]?[^\W\d_](?:[^\W\d_]|['’-])*[.,;:!?\"')]?").fullmatch
-_MARKED, _ENDS = re.compile(r"[^\w\s]{2,}$").search, re.compile(r"[^\W_][.!?]$").search
 _QUIET = set(".,;:'\"()?-")
+#: What is known of each character: letter, capital, digit, loud symbol, letter or number, one but no decimal digit, mark, what a plain word may begin
+#: with, hold and end in, end of a sentence, punctuation of scripts without spaces; the last says that the others are known.
+LETTER, CAPITAL, DIGIT, LOUD, ALNUM, BODY, MARK, OPENS, HELD, CLOSES, STOPS, FOREIGN, SEEN = (1 << k for k in range(13))
+_table = np.zeros(0x110000, np.uint16)
 #: What is counted of each word: characters, letters, capitals, digits, loud symbols; whether it is plain, ends in marks, is marks alone, ends a sentence.
-CHARS, LETTERS, CAPITALS, DIGITS, LOUD, PLAIN, MARKED, BARE, ENDS = range(9)
+COUNTS = ("chars", "letters", "capitals", "digits", "loud", "plain", "marked", "bare", "ends")
 NAMES = ("symbols", "marked_words", "bare_marks", "plain_words", "shouting", "few_distinct", "very_few_distinct", "stutter", "sentences", "digits")
 
 
-def _describe(word: str) -> tuple[int, ...]:
-    letters, digits = sum(map(str.isalpha, word)), sum(map(str.isdigit, word))
-    loud = sum(not c.isalnum() and c not in _QUIET and not unicodedata.category(c).startswith("M") for c in word)
-    alone = not any(map(str.isalnum, word))
-    return len(word), letters, sum(map(str.isupper, word)), digits, loud, bool(_PLAIN(word)), bool(_MARKED(word)), alone, bool(_ENDS(word))
-
-
-class _Words(dict):
-    """Rows of described words by word."""
-
-    def __init__(self):
-        super().__init__()
-        self.rows = np.zeros((1024, 9), np.int32)
-
-    def __missing__(self, word: str) -> int:
-        n = len(self)
-        if n >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[n] = _describe(word)
-        self[word] = n
-        return n
-
-
-_known = cache(_Words())
-
-
-def votes(text: str | None) -> tuple[int, ...]:
-    """Votes of the heuristics in NAMES: 1 good, 0 bad, -1 none.  They overlap, so each kind of junk meets several; short texts get few votes.
+def _describe(c: str) -> int:
+    kind, named, body = unicodedata.category(c), c.isalnum(), c.isalnum() and not c.isdecimal()
+    loud = not named and c not in _QUIET and kind[0] != "M"
+    foreign = not c.isascii() and c not in _QUIET and kind[0] == "P"
+    mark = not named and c != "_" and not c.isspace()
+    of = (c.isalpha(), c.isupper(), c.isdigit(), loud, named, body, mark, c in "\"'(", body or c in "'’-", c in ".,;:!?\"')", c in ".!?", foreign, True)
+    return sum(1 << k for k, x in enumerate(of) if x)
+
+
+def _flags(points: np.ndarray) -> np.ndarray:
+    """What is known of characters by their code points."""
+    out = _table[points]
+    if not out.all():
+        for c in np.unique(points[out == 0]).tolist():
+            _table[c] = _describe(chr(c))
+        out = _table[points]
+    return out
+
+
+def _points(text: bytes) -> np.ndarray:
+    return np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
+
+
+def _counts(of: np.ndarray, what: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair of a text and a number below size that occurs, by text, and how often."""
+    keys, n = np.unique(of * size + what, return_counts=True)
+    return keys // size, keys % size, n
+
+
+class _Portion:
+    """Neighbouring texts: their distinct words, at each place the word and its text, and the number of words and of distinct ones by text."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten()
+        real = pc.not_equal(words, "")  # nothing is before the first and behind the last space
+        coded, of = words.filter(real).dictionary_encode(), pc.list_parent_indices(lists).filter(real)
+        self.texts, self.at, self.of = texts, coded.indices.to_numpy(), of.to_numpy()
+        self.n = np.bincount(self.of, minlength=len(texts))
+        self.counts = _counts(self.of, self.at, max(1, len(coded.dictionary)))
+        self.distinct = np.bincount(self.counts[0], minlength=len(texts)) / np.maximum(self.n, 1)
+        self.again = np.bincount(self.of[1:][(self.at[1:] == self.at[:-1]) & (self.of[1:] == self.of[:-1])], minlength=len(texts))
+        # The characters of distinct words, one word behind the other, and where each word ends.
+        self.stop = np.cumsum(pc.utf8_length(coded.dictionary).to_numpy())
+        size = pc.sum(pc.binary_length(coded.dictionary)).as_py()
+        self.points = _points(coded.dictionary.buffers()[2].to_pybytes()[:size] if size else b"")
+        self.flags = _flags(self.points)
+
+    def described(self) -> dict[str, np.ndarray]:
+        """COUNTS of each distinct word."""
+        stop, flags = self.stop, self.flags
+        start, last = np.concatenate([[0], stop[:-1]])[: len(stop)], stop - 1
+        size = stop - start
+        has = lambda at, flag: flags[at] & flag != 0
+
+        def number(flag: int) -> tuple[np.ndarray, np.ndarray]:
+            before = np.concatenate([[0], np.cumsum(flags & flag != 0)])
+            return before, before[stop] - before[start]
+
+        out = {"chars": size, **{name: number(flag)[1] for name, flag in (("letters", LETTER), ("capitals", CAPITAL), ("digits", DIGIT), ("loud", LOUD))}}
+        held, second_last = number(HELD)[0], np.maximum(last - 1, start)
+        # A plain word: a sign that opens or none, a letter, letters and apostrophes, a sign that closes or none.
+        first = start + has(start, OPENS)
+        inside = np.maximum(last, first + 1)
+        at = np.minimum(first, last)
+        out["plain"] = (first < stop) & has(at, BODY) & (held[inside] - held[np.minimum(first + 1, inside)] == inside - np.minimum(first + 1, inside)) & ((last <= first) | has(last, HELD | CLOSES))
+        out["marked"] = (size > 1) & has(last, MARK) & has(second_last, MARK)
+        out["bare"] = number(ALNUM)[1] == 0
+        out["ends"] = (size > 1) & has(last, STOPS) & has(second_last, ALNUM)
+        return out
+
+    def shaped(self) -> tuple[np.ndarray, list[str]]:
+        """The number of each distinct word's shape, and the shapes."""
+        kinds, first = _kinds(self.points, self.flags, self.stop)
+        size = 1 + (kinds > 0x7F).astype(np.int32) + (kinds > 0x7FF) + (kinds > 0xFFFF)  # bytes in UTF-8
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([first, [len(kinds)]])]
+        text = kinds.astype("<u4").tobytes().decode("utf-32-le").encode()
+        coded = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(text)).dictionary_encode()
+        return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+def _portions(texts: pa.Array) -> Iterator[_Portion]:
+    """All texts in portions of about AT_ONCE bytes; null is empty."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield _Portion(texts[at:to])
+        at = to
+
+
+def _votes_of(p: _Portion) -> np.ndarray:
+    """Votes by text: 1 good, 0 bad, -1 none.
 
     Long texts of fewer than 5 words vote by shares of their characters; words have no say in them.
     """
-    ws = _words(text or "")
-    n = len(ws)
-    if n < 5:
-        return _votes_of_characters("".join(ws))
-    if len(_known) > REMEMBERED:
-        _known.clear()
-    at = np.fromiter(map(_known.__getitem__, ws), np.int64, n)
-    total = _known.rows[at].sum(0, dtype=np.int64).tolist()
-    distinct, again = len(set(ws)) / n, np.count_nonzero(at[1:] == at[:-1]) / n
-    plain, ends, many = total[PLAIN] / n, total[ENDS] / n, n >= 20
-    bad = lambda x: 0 if x else -1
-    return (
-        bad(total[LOUD] > 0.06 * total[CHARS]),
-        bad(total[MARKED] > 0.25 * n),
-        bad(total[BARE] > 0.15 * n),
-        0 if plain < 0.6 else 1 if plain > 0.85 and distinct > 0.5 else -1,
-        bad(total[CAPITALS] > 0.35 * max(1, total[LETTERS])),
-        bad(many and distinct < 0.45),
-        bad(many and distinct < 0.25),
-        bad(again > 0.1),
-        0 if many and not 0.005 <= ends <= 0.7 else 1 if 0.02 < ends < 0.5 and plain > 0.7 and distinct > 0.5 else -1,
-        bad(total[DIGITS] > 0.4 * total[CHARS]),
+    of, word, count = p.counts
+    total = {k: np.bincount(of, count * x[word], len(p.texts)) for k, x in p.described().items()}  # whole numbers below 2^53
+    n = np.maximum(p.n, 1)
+    plain, ends, again, many, distinct = total["plain"] / n, total["ends"] / n, p.again / n, p.n >= 20, p.distinct
+    bad = lambda x: np.where(x, 0, -1)
+    out = np.stack(
+        [
+            bad(total["loud"] > 0.06 * total["chars"]),
+            bad(total["marked"] > 0.25 * n),
+            bad(total["bare"] > 0.15 * n),
+            np.where(plain < 0.6, 0, np.where((plain > 0.85) & (distinct > 0.5), 1, -1)),
+            bad(total["capitals"] > 0.35 * np.maximum(1, total["letters"])),
+            bad(many & (distinct < 0.45)),
+            bad(many & (distinct < 0.25)),
+            bad(again > 0.1),
+            np.where(many & ~((0.005 <= ends) & (ends <= 0.7)), 0, np.where((0.02 < ends) & (ends < 0.5) & (plain > 0.7) & (distinct > 0.5), 1, -1)),
+            bad(total["digits"] > 0.4 * total["chars"]),
+        ],
+        axis=1,
     )
+    for i in np.flatnonzero(p.n < 5).tolist():
+        out[i] = _votes_of_characters("".join(_words(p.texts[i].as_py())))
+    return out
+
+
+def votes(text: str | None) -> tuple[int, ...]:
+    """Votes of the heuristics in NAMES: 1 good, 0 bad, -1 none.  They overlap, so each kind of junk meets several; short texts get few votes."""
+    return tuple(_votes_of(next(_portions(pa.array([text], pa.string()))))[0].tolist())
 
 
 def _votes_of_characters(run: str) -> tuple[int, ...]:
@@ -111,19 +184,21 @@ def _votes_of_characters(run: str) -> tuple[int, ...]:
     none = [-1] * len(NAMES)
     if n < LONG_TEXT:
         return tuple(none)
-    _, letters, capitals, digits, loud, *_ = _describe(run)
-    loud -= sum(not c.isascii() and c not in _QUIET and unicodedata.category(c)[0] == "P" for c in run)  # such texts are marked off by their own punctuation
-    again = sum(map(str.__eq__, run, run[1:]))
+    points = _points(run.encode())
+    letters, capitals, digits, loud, foreign = (np.count_nonzero(_flags(points) & k) for k in (LETTER, CAPITAL, DIGIT, LOUD, FOREIGN))
+    loud -= foreign  # such texts are marked off by their own punctuation
+    again = np.count_nonzero(points[1:] == points[:-1])
     for name, bad in (("symbols", loud > 0.06 * n), ("shouting", capitals > 0.35 * max(1, letters)), ("digits", digits > 0.4 * n), ("stutter", again > 0.3 * n)):
         none[NAMES.index(name)] = 0 if bad else -1
     return tuple(none)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    claim(_known)
+    claim({})
     found = Counter()
     for b in batches:
-        found.update(map(votes, b.column(0).to_pylist()))
+        for p in _portions(b.column(0)):
+            found.update(map(tuple, _votes_of(p).tolist()))
     yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, k)) for k in found]), pa.array(list(found.values()), pa.int64())], ["pattern", "n"])
 
 
@@ -157,59 +232,82 @@ def posterior(votes: np.ndarray, prior: float, acc: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(lb - lg, -50, 50)))
 
 
-def shapes(word: str) -> tuple[str, ...]:
-    """A word's shape: runs of capitals as A, of other letters as a, of digits as 9, other characters as they are; overlapping pieces of a long one."""
-    out = []
-    for c in word:
-        kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-        if not out or out[-1] != kind or kind not in "Aa9":
-            out.append(kind)
-    whole = "".join(out)
-    return tuple(whole[i : i + PIECE] for i in range(0, max(1, len(whole) - PIECE + APART), APART))
+def _kinds(points: np.ndarray, flags: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the shapes of words that end at stop, and where each shape begins."""
+    kinds = np.select([flags & k != 0 for k in (CAPITAL, LETTER, DIGIT)], [np.uint32(ord(x)) for x in "Aa9"], points)
+    kept = np.ones(len(kinds), bool)
+    kept[1:] = (kinds[1:] != kinds[:-1]) | (flags[1:] & (CAPITAL | LETTER | DIGIT) == 0)
+    start = np.concatenate([[0], stop[:-1]])[: len(stop)]
+    kept[start] = True
+    return kinds[kept], (np.cumsum(kept) - 1)[start]
 
 
-_shapes: dict[str, tuple[str, ...]] = cache({})
+def _pieces(shape: str) -> tuple[str, ...]:
+    return tuple(shape[i : i + PIECE] for i in range(0, max(1, len(shape) - PIECE + APART), APART))
+
+
+def shapes(word: str) -> tuple[str, ...]:
+    """A word's shape: runs of capitals as A, of other letters as a, of digits as 9, other characters as they are; overlapping pieces of a long one."""
+    points = _points(word.encode())
+    return _pieces("".join(map(chr, _kinds(points, _flags(points), np.array([len(points)]))[0].tolist())))
+
+
+def _features_of(p: _Portion) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed shares of shapes, pairs of shapes, repeated neighbours and the share of distinct words: text, place of the hash, value."""
+    at, wholes = p.shaped()
+    found = list(map(_pieces, wholes))
+    numbers: dict[str, int] = {}
+    flat = np.fromiter((numbers.setdefault(s, len(numbers)) for x in found for s in x), np.int64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    # The shapes of all places, one behind the other.
+    at = at[p.at]
+    size, first = sizes[at], (np.cumsum(sizes) - sizes)[at]
+    shape, of = flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())], np.repeat(p.of, size)
+    n, kinds, inside = np.bincount(of, minlength=len(p.texts)), max(1, len(numbers)), of[1:] == of[:-1]
+    of1, one, n1 = _counts(of, shape, kinds)
+    of2, two, n2 = _counts(of[1:][inside], (shape[:-1] * kinds + shape[1:])[inside], kinds**2)
+    pairs, two = np.unique(two, return_inverse=True)
+    known, texts = list(numbers), np.flatnonzero(p.n)
+    tenths = (10 * p.distinct[texts]).astype(np.int64)
+    names = [*known, *("\x00".join((known[a], known[b])) for a, b in zip((pairs // kinds).tolist(), (pairs % kinds).tolist(), strict=True)), "\x01same", *(f"\x01distinct{k}" for k in range(11))]
+    last = len(names) - 12
+    of, name, count = np.concatenate([of1, of2, texts, texts]), np.concatenate([one, len(known) + two, np.full(len(texts), last), last + 1 + tenths]), np.concatenate([n1, n2, p.again[texts], n[texts]])
+    ids: dict[str, int] = {}
+    same = np.array([ids.setdefault(x, len(ids)) for x in names])
+    if len(ids) < len(names):  # words that hold the marks of other names: what has one name counts together
+        keys, at = np.unique(of * len(ids) + same[name], return_inverse=True)
+        of, name, names, count = keys // len(ids), keys % len(ids), list(ids), np.bincount(at, count)
+    hashes = np.array([zlib.crc32(x.encode()) % DIMS for x in names])
+    return of, hashes[name], np.sqrt(count / (n[of] + SHRINK))
 
 
 def features(text: str | None) -> tuple[list[int], list[float]]:
-    """Hashed shares of shapes, pairs of shapes, repeated neighbours and the share of distinct words."""
-    ws = _words(text or "")
-    if not ws:
-        return [], []
-    if len(_shapes) > REMEMBERED:
-        _shapes.clear()
-    found = []
-    for w in ws:
-        s = _shapes.get(w)
-        if s is None:
-            s = shapes(w)
-            if len(w) <= LONGEST:
-                _shapes[w] = s
-        found += s
-    n = len(found)
-    names = Counter(found)
-    names.update(map("\x00".join, zip(found, found[1:], strict=False)))
-    names["\x01same"] = sum(a == b for a, b in zip(ws, ws[1:], strict=False))
-    names[f"\x01distinct{int(10 * len(set(ws)) / len(ws))}"] = n
-    return [zlib.crc32(x.encode()) % DIMS for x in names], [(c / (n + SHRINK)) ** 0.5 for c in names.values()]
+    """Places and values of a text's features."""
+    _, idx, val = _features_of(next(_portions(pa.array([text], pa.string()))))
+    return idx.tolist(), val.tolist()
 
 
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column(0).to_pylist()
-        found = [features(t) for t in texts]
-        patterns = [",".join(map(str, votes(t))) for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.string()), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float64()))], ["pattern", "idx", "val"])
+        for p in _portions(b.column(0)):
+            of, idx, val = _features_of(p)
+            by = np.argsort(of, kind="stable")
+            ends = pa.array(np.cumsum([0, *np.bincount(of, minlength=len(p.texts))]), pa.int32())
+            patterns = [",".join(map(str, v)) for v in _votes_of(p).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.string()), pa.ListArray.from_arrays(ends, pa.array(idx[by], pa.int32())), pa.ListArray.from_arrays(ends, pa.array(val[by], pa.float64()))], ["pattern", "idx", "val"])
 
 
 class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), bias
 
-    def score(self, text: str | None) -> float:
-        idx, val = features(text)
-        z = self.bias + float(np.dot(self.weights[idx], val)) if idx else self.bias
-        return 1 / (1 + float(np.exp(-max(-30.0, min(30.0, z)))))
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        out = [np.zeros(0)]
+        for p in _portions(texts):
+            of, idx, val = _features_of(p)
+            z = self.bias + np.bincount(of, self.weights[idx].astype(np.float64) * val, len(p.texts))
+            out.append(1 / (1 + np.exp(-np.clip(z, -30.0, 30.0))))
+        return np.concatenate(out)
 
 
 def train(docs: DataFrame, text: str = "text", fitted: int = FITTED) -> tuple[Scorer, float, np.ndarray]:
@@ -240,9 +338,9 @@ def train(docs: DataFrame, text: str = "text", fitted: int = FITTED) -> tuple[Sc
 def scored(docs: DataFrame, scorer: Scorer, text: str = "text") -> Column:
     prepare(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def of(t: pd.Series) -> pd.Series:
-        return pd.Series([scorer.score(x) for x in t], dtype="float64")
+    @F.arrow_udf("double")
+    def of(t: pa.Array) -> pa.Array:
+        return pa.array(scorer.scores(t))
 
     return of(F.col(text))
 
