@@ -173,6 +173,12 @@ def test_sinks(spark, tmp_path):
         io.require(spark, str(tmp_path / "t.parquet"), str(tmp_path / "missing"))
 
 
+def test_k_fold_passes_over_a_bounded_number_of_partitions(spark):
+    df = spark.range(0, 400, 1, 64).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("target"), (F.col("id") % 2 + 1).cast("int").alias("cv"))
+    out = L.boosted(df, L.Variant("v", rounds=1, depth=1), ["id"]).out_of_fold
+    assert out.rdd.getNumPartitions() <= 2 * L.TASKS * spark.sparkContext.defaultParallelism < 2 * 64 and out.count() == 400
+
+
 def test_k_fold_covers_every_row_once_and_resumes(spark, tmp_path):
     rows = [(i, float(i % 7), int(i % 7 > 3), i % 3 + 1) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, x double, target int, cv int")
