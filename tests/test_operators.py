@@ -1,5 +1,6 @@
 """Edge cases: ties, nulls, short groups, empty inputs; and properties."""
 
+import heapq
 import math
 
 import numpy as np
@@ -254,3 +255,55 @@ def test_blend_keeps_a_score_without_log_odds(spark):
     b = spark.createDataFrame([(2, 0.5), (3, 0.5)], "k long, p double")
     out = {r.k: r.score for r in C.blend({"a": a, "b": b}, ["k"], "p", {"a": 1.0, "b": 2.0}).collect()}
     assert out[1] == 0 and math.isnan(out[2]) and out[3] == 0
+
+
+# word2vec
+
+def test_huffman_tree_is_the_shortest():
+    counts = sorted([1, 1, 2, 3, 5, 8, 8, 40, 41], reverse=True)
+    parent, second, depth = E.huffman(counts)
+    heap = list(counts)
+    heapq.heapify(heap)
+    least = 0
+    while len(heap) > 1:
+        heapq.heappush(heap, one := heapq.heappop(heap) + heapq.heappop(heap))
+        least += one
+    assert sum(n * depth[k] for k, n in enumerate(counts)) == least and parent[-1] == -1
+    assert sorted((p, s) for p, s in zip(parent[:-1].tolist(), second[:-1].tolist(), strict=True)) == [(p, s) for p in range(9, 17) for s in (False, True)]
+
+
+def test_skip_gram_steps_are_those_of_single_places(monkeypatch):
+    monkeypatch.setattr(E, "TAKEN", 1)
+    tree = parent, second, depth = E.huffman([9, 5, 3, 2, 2, 1])
+    ids, of = np.array([0, 1, 2, 0, 3, 4, 5, 1, 0]), np.array([0, 0, 0, 0, 0, 1, 1, 1, 2])
+    w, c = np.random.default_rng(1).normal(size=(6, 4)).astype(np.float32), np.zeros((6, 4), np.float32)
+    c[:5] = np.random.default_rng(2).normal(size=(5, 4))
+    own_w, own_c = w.astype(float), c.astype(float)
+    reach = np.random.default_rng(3).integers(1, 3, len(ids))
+    for i in range(len(ids)):
+        path, node = [], ids[i]
+        while parent[node] >= 0:
+            path.append((parent[node] - 6, 1.0 - second[node]))
+            node = parent[node]
+        near = [j for j in range(len(ids)) if 0 < abs(j - i) <= reach[i] and of[j] == of[i]]
+        g = {(j, n): 0.1 * (want - 1 / (1 + np.exp(-own_w[ids[j]] @ own_c[n]))) for j in near for n, want in path}
+        up_w, up_c = np.zeros_like(own_w), np.zeros_like(own_c)
+        for (j, n), x in g.items():
+            up_w[ids[j]] += x * own_c[n]
+            up_c[n] += x * own_w[ids[j]]
+        own_w, own_c = own_w + up_w, own_c + up_c
+    E._skip_gram(w, c, ids, of, tree, 2, 0.1, np.random.default_rng(3))
+    assert np.allclose(w, own_w, atol=1e-4) and np.allclose(c, own_c, atol=1e-4)
+
+
+def test_word2vec_learns_and_leaves_no_word_out(spark):
+    rng = np.random.default_rng(1)
+    rows = [([f"{'ab'[k % 2]}{x}" for x in rng.integers(0, 8, 30)],) for k in range(300)] + [(None,), ([],), (["alone"],), (["alone"],), (["rare", "a1"],)]
+    df = spark.createDataFrame(rows, "ts array<string>").repartition(6)
+    got = {r.word: np.array(r.vector) for r in E.word2vec(df, "ts", dims=8, window=3, least=2, rounds=6, rate=0.1, partitions=3).collect()}
+    assert set(got) == {f"{t}{x}" for t in "ab" for x in range(8)} | {"alone"} and all(len(v) == 8 and np.isfinite(v).all() for v in got.values())
+    unit = {w: v / np.linalg.norm(v) for w, v in got.items() if w != "alone"}
+    like = {same: np.mean([unit[a] @ unit[b] for a in unit for b in unit if a < b and (a[0] == b[0]) == same]) for same in (True, False)}
+    assert like[True] > like[False] + 0.5
+    assert E.word2vec(df.limit(0), "ts", dims=4, rounds=1).count() == 0
+    assert E.word2vec(df, "ts", dims=4, least=5, rounds=1).select(F.size("vector")).distinct().collect() == [(4,)]
