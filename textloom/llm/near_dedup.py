@@ -36,7 +36,7 @@ WORDS, SIMILAR, KEPT, MISS = 5, (3, 4), 48, 1e-9
 MANY, CANDIDATES, JUDGES = 64, 16, 32
 #: Lists of differences whose members need at most so many comparisons of four numbers, with each other or of one side with the other, and have at most so
 #: many members, do without a pivot.
-CHECKS, SHORT = 1 << 17, 1 << 13
+CHECKS, SHORT = 1 << 21, 1 << 13
 #: Bits by digest that tell, before texts are shuffled, which ones can be asked for.
 SLOTS = 1 << 24
 #: Bytes of texts whose words are hashed at once; a longer text is taken by itself.
